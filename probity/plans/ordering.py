@@ -68,38 +68,38 @@ def running_sums(df: DataFrame, order: str, values, keys=(), descending: bool =
     sign = -1.0 if descending else 1.0
     src = df.where(as_col(order).isNotNull()).select(
         *[as_col(k).alias(k) for k in keys],
-        (as_col(order).cast("double") * F.lit(sign) + F.lit(0.0)).alias("_s"),
+        (as_col(order).cast("double") * F.lit(sign) + F.lit(0.0)).alias("__o"),
         *[as_col(v).alias(v) for v in values])
-    pre = src.groupBy(*keys, "_s").agg(*[F.sum(v).alias(v) for v in values])
-    pre = pre.withColumn("_b", order_bucket("_s", per_binade))
+    pre = src.groupBy(*keys, "__o").agg(*[F.sum(v).alias(v) for v in values])
+    pre = pre.withColumn("__b", order_bucket("__o", per_binade))
 
-    w_in = Window.partitionBy(*keys, "_b").orderBy("_s")
+    w_in = Window.partitionBy(*keys, "__b").orderBy("__o")
     w_run = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pre = pre.select(
         "*",
         *[F.sum(v).over(w_run).alias(f"_in_{v}") for v in values],
-        F.lag("_s").over(w_in).alias("_prev_in"),
-        F.lead("_s").over(w_in).alias("_next_in"))
+        F.lag("__o").over(w_in).alias("_prev_in"),
+        F.lead("__o").over(w_in).alias("_next_in"))
 
-    tot = pre.groupBy(*keys, "_b").agg(
+    tot = pre.groupBy(*keys, "__b").agg(
         *[F.sum(v).alias(f"_t_{v}") for v in values],
-        F.min("_s").alias("_bmin"), F.max("_s").alias("_bmax"))
-    w_b = Window.partitionBy(*keys).orderBy("_b")
+        F.min("__o").alias("_bmin"), F.max("__o").alias("_bmax"))
+    w_b = Window.partitionBy(*keys).orderBy("__b")
     w_before = w_b.rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(
-        *keys, "_b",
+        *keys, "__b",
         *[F.coalesce(F.sum(f"_t_{v}").over(w_before), F.lit(0)).alias(f"_off_{v}") for v in values],
         F.lag("_bmax").over(w_b).alias("_prev_b"),
         F.lead("_bmin").over(w_b).alias("_next_b"))
 
     t = tot.alias("t")
     p = pre.alias("p")
-    cond = [F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys] + [F.col("p._b") == F.col("t._b")]
+    cond = [F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys] + [F.col("p.__b") == F.col("t.__b")]
     joined = p.join(t, cond, "inner")
     back = F.lit(sign)
     out = joined.select(
         *[F.col(f"p.{k}").alias(k) for k in keys],
-        (F.col("p._s") * back + F.lit(0.0)).alias(order),
+        (F.col("p.__o") * back + F.lit(0.0)).alias(order),
         *[F.col(f"p.{v}").alias(v) for v in values],
         *[(F.col(f"p._in_{v}") + F.col(f"t._off_{v}")).alias(f"cum_{v}") for v in values],
         (F.coalesce(F.col("p._prev_in"), F.col("t._prev_b")) * back + F.lit(0.0)).alias(f"prev_{order}"),
