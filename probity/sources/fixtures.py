@@ -224,3 +224,22 @@ def with_views(sql: str, *names: str, ctes: str | None = None) -> str:
 
 
 BUILDERS = {"clf": clf, "reg": reg, "multi": multi, "docs": docs, "ev": ev, "nul": nul}
+
+
+def clf_scorer():
+    """The binary fixture scorer as a ``Scorer`` (for re-scoring perturbed rows)."""
+    from probity.operators.scoring import Scorer
+
+    def fn(df):
+        out = clf_score(df)
+        return out.withColumn("probs", F.array(F.lit(1.0) - F.col("p"), F.col("p")))
+    return Scorer(fn=fn, task="classification")
+
+
+def reg_scorer():
+    from probity.operators.scoring import Scorer
+    return Scorer(fn=reg_score, task="regression")
+
+
+# linear weights of ``reg_score`` (intercept 0)
+REG_WEIGHTS = {"f1": 2000.0, "f3": -5000.0, "f4": 10000.0}
