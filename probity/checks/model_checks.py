@@ -11,7 +11,7 @@ from probity.operators.resilience import worst_cluster
 from probity.operators.scoring import Scorer
 from probity.registry import register, rounded
 from probity.sources import files, fixtures as fx
-from probity.sources.fixtures import CLF_P, REG_YH, H, with_views
+from probity.sources.fixtures import CLF_P, G, H, U, with_views
 
 _FEATS = fx.FEATURES
 _TEST = "t AS (SELECT * FROM clf WHERE split = 'test')"
@@ -32,13 +32,14 @@ _PI = f"""
 nb AS (SELECT greatest(1, CAST(ceil(count(*) / 1000000.0) AS BIGINT)) AS nb FROM t),
 k AS (SELECT t.*, CAST(floor({H('id', 'pb:0')} * nb) AS INTEGER) AS b FROM t CROSS JOIN nb),
 rv AS (SELECT k.*, row_number() OVER (PARTITION BY b ORDER BY {H('id', 'self:0')}, id) AS rn FROM k),
-fr AS (SELECT f, r FROM (SELECT unnest(['f1', 'f2', 'f3', 'f4']) AS f) fs CROSS JOIN
+fr AS (SELECT f, r, fi * 5 + r - 1 AS idx FROM
+       (SELECT unnest(['f1', 'f2', 'f3', 'f4']) AS f, unnest(range(4)) AS fi) fs CROSS JOIN
        (SELECT unnest(range(1, 6)) AS r) rr),
-dn AS (SELECT fr.f, fr.r, k.b,
-              CASE fr.f WHEN 'f1' THEN k.f1 WHEN 'f2' THEN k.f2 WHEN 'f3' THEN k.f3 ELSE k.f4 END AS val,
-              row_number() OVER (PARTITION BY fr.f, fr.r, k.b
-                                 ORDER BY {H("k.id, fr.f, CAST(fr.r AS VARCHAR)", 'perm:0')}, k.id) AS rn
-       FROM k CROSS JOIN fr),
+ku AS (SELECT k.*, [{", ".join(U("id", "perm:0", 20))}] AS us FROM k),
+dn AS (SELECT fr.f, fr.r, ku.b,
+              CASE fr.f WHEN 'f1' THEN ku.f1 WHEN 'f2' THEN ku.f2 WHEN 'f3' THEN ku.f3 ELSE ku.f4 END AS val,
+              row_number() OVER (PARTITION BY fr.f, fr.r, ku.b ORDER BY ku.us[fr.idx + 1], ku.id) AS rn
+       FROM ku CROSS JOIN fr),
 pr AS (SELECT fr.f AS feat, fr.r AS rep, rv.y, {", ".join(_case_feature(c, "fr.f", "dn.val").replace(
     f"ELSE {c} END", f"ELSE rv.{c} END") for c in _FEATS)}
        FROM rv CROSS JOIN fr JOIN dn ON dn.f = fr.f AND dn.r = fr.r AND dn.b = rv.b AND dn.rn = rv.rn),
@@ -141,12 +142,6 @@ def pdp_two_way(spark, d):
 
 # ------------------------------------------------------------------ overfit
 
-def _gauss(key: str, salt: str) -> str:
-    u1 = f"((('0x' || substr(md5(concat_ws(':', '{salt}:u1', {key})), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
-    u2 = H(key, f"{salt}:u2")
-    return f"(sqrt(-2.0 * ln({u1})) * cos(2.0 * pi() * {u2}))"
-
-
 @register("noise_sensitivity", with_views(f"""
 SELECT feat AS feature, 'ACC' AS metric, round(score, 6) AS score, round(base - score, 6) AS drop,
        CAST(base - score > 0.02 AS BIGINT) AS sensitive
@@ -155,8 +150,11 @@ FROM (SELECT feat, avg(CASE WHEN y = CASE WHEN p >= 0.5 THEN 1 ELSE 0 END THEN 1
               SELECT feat, y, {", ".join(
                   f"CASE WHEN feat = '{c}' THEN {c} + z * 0.1 * coalesce(nullif(s{i}, 0), 1.0) ELSE {c} END AS {c}"
                   for i, c in enumerate(_FEATS))}
-              FROM (SELECT t.*, feat, {_gauss("id, feat", "noise:42")} AS z
-                    FROM t CROSS JOIN (SELECT unnest(['f1', 'f2', 'f3', 'f4']) AS feat) fs) nz
+              FROM (SELECT t2.*, feat, CASE feat WHEN 'f1' THEN z0 WHEN 'f2' THEN z1 WHEN 'f3' THEN z2
+                                                  ELSE z3 END AS z
+                    FROM (SELECT t.*, {", ".join(f"{g} AS z{i}" for i, g in enumerate(G("id", "noise:42", 4)))}
+                          FROM t) t2
+                    CROSS JOIN (SELECT unnest(['f1', 'f2', 'f3', 'f4']) AS feat) fs) nz
               CROSS JOIN (SELECT {", ".join(f"stddev_samp({c}) AS s{i}" for i, c in enumerate(_FEATS))} FROM t) sd
             ) pt) ps GROUP BY feat) sc
 CROSS JOIN (SELECT avg(CASE WHEN y = yh THEN 1.0 ELSE 0.0 END) AS base FROM t) b""", "clf", ctes=_TEST))
@@ -200,16 +198,16 @@ def learning_curve(spark, d):
 
 # --------------------------------------------------------------- robustness
 
-_SIZES_SQL = ", ".join(f"({repr(s)}::DOUBLE)" for s in robust.DEFAULT_SIZES)
+_SIZES_SQL = ", ".join(f"({repr(s)}::DOUBLE, {i})" for i, s in enumerate(robust.DEFAULT_SIZES))
 _RUNS = f"""
 {_TEST},
 vr AS (SELECT {", ".join(f"var_samp({c}) AS v{i}" for i, c in enumerate(_FEATS))} FROM t),
-rn AS (SELECT t.*, sz.size, it.iteration FROM t
-       CROSS JOIN (SELECT * FROM (VALUES {_SIZES_SQL}) s(size)) sz
+rn AS (SELECT t.*, sz.size, it.iteration, sz.si * 10 + it.iteration - 1 AS run FROM t
+       CROSS JOIN (SELECT * FROM (VALUES {_SIZES_SQL}) s(size, si)) sz
        CROSS JOIN (SELECT unnest(range(1, 11)) AS iteration) it),
 pt AS (SELECT size, iteration, y, {", ".join(
-    f"{c} + {_gauss(f'id, iteration, size, {chr(39)}{c}{chr(39)}', 'raw:0')} * size * v{i} AS {c}"
-    for i, c in enumerate(_FEATS))} FROM rn CROSS JOIN vr),
+    f"{c} + {g} * size * v{i} AS {c}" for i, (c, g) in enumerate(zip(_FEATS, G("id, run", "raw:0", 4))))}
+       FROM rn CROSS JOIN vr),
 runs AS (SELECT size, iteration,
                 avg(CASE WHEN y = CASE WHEN p >= 0.5 THEN 1 ELSE 0 END THEN 1.0 ELSE 0.0 END) AS value
          FROM (SELECT *, {CLF_P} AS p FROM pt) x GROUP BY size, iteration)
@@ -232,15 +230,17 @@ def robustness_summary(spark, d):
     return rounded(robust.robustness_summary(runs))
 
 
+_CU = U("r.id, r.run", "cat:0", 2)
+
+
 @register("category_noise", with_views(f"""
 SELECT round(size, 6) AS size, iteration, lang, count(*) AS n FROM (
   SELECT r.size, r.iteration,
-         CASE WHEN {H("r.id, r.iteration, r.size, 'lang'", 'flip:0')} < r.size
-              THEN (SELECT c.lang FROM cum c WHERE {H("r.id, r.iteration, r.size, 'lang'", 'pick:0')} >= c.lo
-                    AND {H("r.id, r.iteration, r.size, 'lang'", 'pick:0')} < c.hi)
+         CASE WHEN {_CU[0]} < r.size
+              THEN (SELECT c.lang FROM cum c WHERE {_CU[1]} >= c.lo AND {_CU[1]} < c.hi)
               ELSE r.lang END AS lang
-  FROM (SELECT docs.id, docs.lang, sz.size, it.iteration FROM docs
-        CROSS JOIN (SELECT * FROM (VALUES {_SIZES_SQL}) s(size)) sz
+  FROM (SELECT docs.id, docs.lang, sz.size, it.iteration, sz.si * 3 + it.iteration - 1 AS run FROM docs
+        CROSS JOIN (SELECT * FROM (VALUES {_SIZES_SQL}) s(size, si)) sz
         CROSS JOIN (SELECT unnest(range(1, 4)) AS iteration) it) r) x
 GROUP BY size, iteration, lang""", "docs", ctes="""
 fq AS (SELECT lang, count(*) AS n FROM docs GROUP BY lang),
@@ -259,9 +259,9 @@ SELECT round(size, 6) AS size, iteration, round(avg(val), 6) AS mean_f2, round(m
        round(max(val), 6) AS max_f2 FROM (
   SELECT size, iteration, CASE WHEN tt >= 0.5 THEN vb - (vb - va) * (1.0 - tt) ELSE va + (vb - va) * tt END AS val
   FROM (SELECT q.size, q.iteration, pos - floor(pos) AS tt, a.v AS va, b.v AS vb
-        FROM (SELECT size, iteration, least(greatest(pct + ({H("id, iteration, size, 'f2'", 'qn:0')} * 2.0 - 1.0)
-                                                       * size, 0.0), 1.0) * (n - 1) AS pos
-              FROM pc CROSS JOIN (SELECT * FROM (VALUES (0.1::DOUBLE), (0.2::DOUBLE)) s(size)) sz
+        FROM (SELECT size, iteration, least(greatest(pct + ({U("id, si * 2 + iteration - 1", 'qn:0:f2', 1)[0]}
+                                                             * 2.0 - 1.0) * size, 0.0), 1.0) * (n - 1) AS pos
+              FROM pc CROSS JOIN (SELECT * FROM (VALUES (0.1::DOUBLE, 0), (0.2::DOUBLE, 1)) s(size, si)) sz
               CROSS JOIN (SELECT unnest(range(1, 3)) AS iteration) it) q
         LEFT JOIN srt a ON a.k = CAST(floor(q.pos) AS BIGINT) + 1
         LEFT JOIN srt b ON b.k = CAST(ceil(q.pos) AS BIGINT) + 1) j) v

@@ -54,3 +54,33 @@ def gaussian(*id_cols, salt=None) -> Column:
 def uniform(lo: float, hi: float, *id_cols, salt=None) -> Column:
     """Uniform draw in [lo, hi)."""
     return F.lit(float(lo)) + hash01(*id_cols, salt=salt) * F.lit(float(hi - lo))
+
+
+def uniforms(*id_cols, salt, n: int) -> list[Column]:
+    """``n`` independent uniforms in (0, 1) from ceil(n/4) md5 digests.
+
+    Digest j is md5(salt#j:id...), and its four 32-bit words are four draws, so a
+    row that needs several draws pays for one hash per four of them (Spark's
+    subexpression elimination evaluates each digest once per row).
+    """
+    out = []
+    for j in range((n + 3) // 4):
+        digest = F.md5(_keyed(id_cols, f"{salt}#{j}"))
+        for w in range(4):
+            if len(out) == n:
+                break
+            word = F.conv(F.substring(digest, 1 + 8 * w, 8), 16, 10).cast("bigint")
+            out.append((word + F.lit(0.5)) / F.lit(TWO_POW_32))
+    return out
+
+
+def gaussians(*id_cols, salt, n: int) -> list[Column]:
+    """``n`` standard normal draws: Box-Muller on pairs of ``uniforms``, both the
+    cosine and the sine branch used."""
+    us = uniforms(*id_cols, salt=salt, n=2 * ((n + 1) // 2))
+    out = []
+    for k in range(0, len(us), 2):
+        r = F.sqrt(F.lit(-2.0) * F.log(us[k]))
+        theta = F.lit(2.0 * math.pi) * us[k + 1]
+        out += [r * F.cos(theta), r * F.sin(theta)]
+    return out[:n]

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probity.functions.hashing import gaussian, hash01
+from probity.functions.hashing import gaussian, hash01, uniforms
 from probity.functions.util import as_col, quote
 from probity.operators.metrics import LOWER_IS_BETTER, evaluate
 from probity.operators.scoring import Scorer, eval_kwargs
@@ -63,13 +63,14 @@ def permutation_importance(df: DataFrame, scorer: Scorer, features, metric: str
     recv = recv.select("*", F.explode(grid).alias("_fr")).select(
         *[F.col(quote(c)) for c in recv.columns], F.col("_fr.f").alias("_feat"), F.col("_fr.r").alias("_rep"))
     vals = F.create_map(*[x for f in features for x in (F.lit(f), as_col(f).cast("string"))])
-    donors = keyed.select(as_col(id_col).alias("_id"), "_b", vals.alias("_vals")) \
-                  .select("_id", "_b", "_vals", F.explode(grid).alias("_fr")) \
+    # the donor order of (feature, repeat) number i is word i of the row's draws
+    draws = F.array(*uniforms(id_col, salt=f"perm:{seed}", n=len(features) * repeats))
+    donors = keyed.select(as_col(id_col).alias("_id"), "_b", vals.alias("_vals"), draws.alias("_us")) \
+                  .select("_id", "_b", "_vals", "_us", F.posexplode(grid).alias("_i", "_fr")) \
                   .select("_id", "_b", F.col("_fr.f").alias("_feat"), F.col("_fr.r").alias("_rep"),
-                          F.col("_vals")[F.col("_fr.f")].alias("_val"))
-    w_don = Window.partitionBy("_feat", "_rep", "_b").orderBy(
-        hash01("_id", "_feat", "_rep", salt=f"perm:{seed}"), F.col("_id"))
-    donors = donors.withColumn("_rn", F.row_number().over(w_don)).drop("_id")
+                          F.col("_vals")[F.col("_fr.f")].alias("_val"), F.col("_us")[F.col("_i")].alias("_o"))
+    w_don = Window.partitionBy("_feat", "_rep", "_b").orderBy("_o", "_id")
+    donors = donors.withColumn("_rn", F.row_number().over(w_don)).drop("_id", "_o")
     paired = recv.join(donors, ["_feat", "_rep", "_b", "_rn"], "inner")
     shuffled = _replace_features(paired, features, "_feat", "_val", kinds)
     scores = evaluate(scorer.score(shuffled), metric, by=["_feat", "_rep"], y=y, **kw)
@@ -277,8 +278,10 @@ def partial_dependence(df: DataFrame, scorer: Scorer, features, grid_resolution:
     """Average prediction with the feature(s) set to each grid point.
 
     One feature: (value, average); two features: the product grid (value_1,
-    value_2, average).  The grid (≤ grid_resolution² rows) is broadcast; rows ×
-    grid are scored in one stage and averaged per grid point.
+    value_2, average).  The grid (≤ grid_resolution² points) is broadcast; rows ×
+    grid are scored in one stage and partially aggregated per grid point before
+    the only shuffle.  Catalyst prunes the row side to the columns the scorer
+    still reads once the grid features are replaced.
     """
     features = [features] if isinstance(features, str) else list(features)
     grids = [pdp_grid(df, f, grid_resolution, percentiles).withColumnRenamed("value", f"value_{i + 1}")
@@ -286,6 +289,7 @@ def partial_dependence(df: DataFrame, scorer: Scorer, features, grid_resolution:
     grid = grids[0]
     for g in grids[1:]:
         grid = grid.crossJoin(g)
+    # at most grid_resolution^k points: the definition of the plot, not data
     grid = bounded_broadcast(grid, grid_resolution ** len(features))
     j = df.crossJoin(grid)
     for i, f in enumerate(features):

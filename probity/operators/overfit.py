@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.functions.hashing import gaussian, hash01
-from probity.functions.util import as_col
+from probity.functions.hashing import gaussians, hash01
+from probity.functions.util import as_col, quote
 from probity.operators.metrics import evaluate
 from probity.operators.scoring import Scorer, eval_kwargs
 from probity.session import cut_lineage
@@ -104,16 +104,20 @@ def noise_sensitivity(df: DataFrame, scorer: Scorer, features, y: str = "y", id_
     kw = eval_kwargs(scorer)
     stds = df.agg(*[F.stddev_samp(as_col(f)).alias(f"_sd{i}") for i, f in enumerate(features)])
     base = evaluate(scorer.score(df), metric, y=y, **kw).select(F.col("value").alias("base"))
-    ex = df.crossJoin(F.broadcast(stds)).withColumn("_feat", F.explode(F.array(*[F.lit(f) for f in features])))
+    # one draw per (row, feature), all drawn before the rows are multiplied
+    zs = gaussians(id_col, salt=f"noise:{seed}", n=len(features))
+    drawn = df.select("*", *[z.alias(f"_z{i}") for i, z in enumerate(zs)])
+    ex = drawn.crossJoin(F.broadcast(stds)).withColumn("_feat", F.explode(F.array(*[F.lit(f) for f in features])))
     cols = []
-    for c in ex.columns:
+    for c in df.columns:
         if c in features:
             i = features.index(c)
             sd = F.coalesce(F.when(F.col(f"_sd{i}") != 0, F.col(f"_sd{i}")), F.lit(1.0))
-            noisy = as_col(c) + gaussian(id_col, F.lit(c), salt=f"noise:{seed}") * F.lit(scale) * sd
+            noisy = as_col(c) + F.col(f"_z{i}") * F.lit(scale) * sd
             cols.append(F.when(F.col("_feat") == F.lit(c), noisy).otherwise(as_col(c)).alias(c))
-        elif not c.startswith("_sd"):
-            cols.append(F.col(c))
+        else:
+            cols.append(F.col(quote(c)))
+    cols.append(F.col("_feat"))
     noisy = ex.select(*cols)
     sc = evaluate(scorer.score(noisy), metric, by=["_feat"], y=y, **kw)
     drop = F.col("base") - F.col("value")

@@ -243,3 +243,26 @@ def reg_scorer():
 
 # linear weights of ``reg_score`` (intercept 0)
 REG_WEIGHTS = {"f1": 2000.0, "f3": -5000.0, "f4": 10000.0}
+
+
+def U(keys: str, salt: str, n: int) -> list[str]:
+    """DuckDB twin of ``hashing.uniforms``."""
+    out = []
+    for j in range((n + 3) // 4):
+        digest = f"md5(concat_ws(':', '{salt}#{j}', {keys}))"
+        for w in range(4):
+            if len(out) == n:
+                break
+            out.append(f"((('0x' || substr({digest}, {1 + 8 * w}, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)")
+    return out
+
+
+def G(keys: str, salt: str, n: int) -> list[str]:
+    """DuckDB twin of ``hashing.gaussians``."""
+    us = U(keys, salt, 2 * ((n + 1) // 2))
+    out = []
+    for k in range(0, len(us), 2):
+        r = f"sqrt(-2.0 * ln({us[k]}))"
+        th = f"(2.0 * pi() * {us[k + 1]})"
+        out += [f"({r} * cos({th}))", f"({r} * sin({th}))"]
+    return out[:n]
