@@ -113,7 +113,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return ev_score(read(spark, sf_dir, "events"))
+
+
+def ev_score(e: DataFrame) -> DataFrame:
+    """Scored events view from a batch or streaming ``events`` DataFrame."""
     df = e.select(
         F.col("event_id").alias("id"), F.col("ts"), F.col("event_type"),
         F.col("value").alias("f1"),
