@@ -324,3 +324,21 @@ def spearman_target(spark, d):
 def removal_report(spark, d):
     scores = select.pearson_target(fx.reg(spark, d), "y", _SEL)
     return rounded(select.removal_report(scores, ["f1", "f3"], "r", 0.1))
+
+
+_SP_RANKS = """
+lg AS (SELECT id, 'f1' AS feature, f1 AS value FROM reg UNION ALL SELECT id, 'f2', f2 FROM reg
+       UNION ALL SELECT id, 'f3', f3 FROM reg UNION ALL SELECT id, 'f4', f4 FROM reg),
+rk AS (SELECT id, feature, rank() OVER (PARTITION BY feature ORDER BY value)
+              + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS r FROM lg),
+wd AS (SELECT id, max(CASE WHEN feature = 'f1' THEN r END) AS f1, max(CASE WHEN feature = 'f2' THEN r END) AS f2,
+              max(CASE WHEN feature = 'f3' THEN r END) AS f3, max(CASE WHEN feature = 'f4' THEN r END) AS f4
+       FROM rk GROUP BY id)
+"""
+
+
+@register("spearman_matrix", with_views(" UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS r FROM wd"
+    for i, a in enumerate(fx.FEATURES) for b in fx.FEATURES[i + 1:]), "reg", ctes=_SP_RANKS))
+def spearman_matrix(spark, d):
+    return rounded(profile.spearman_matrix(fx.reg(spark, d), fx.FEATURES, "id"))

@@ -227,3 +227,20 @@ def evaluate_dispatch(spark, d):
     for p in parts[1:]:
         out = out.unionByName(p)
     return rounded(out.select("fixture", "split", "metric", "value"))
+
+
+@register("segment_metrics", with_views("""
+SELECT grp, split, n, round(CAST(tp + tn AS DOUBLE) / n, 6) AS accuracy,
+       round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END, 6) AS precision,
+       round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END, 6) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1,
+       round(CASE WHEN tn + fp = 0 THEN NULL ELSE CAST(tn AS DOUBLE) / (tn + fp) END, 6) AS specificity
+FROM (SELECT grp, split, count(*) AS n,
+             sum(CASE WHEN y = 1 AND yh = 1 THEN 1 ELSE 0 END) AS tp,
+             sum(CASE WHEN y = 0 AND yh = 1 THEN 1 ELSE 0 END) AS fp,
+             sum(CASE WHEN y = 0 AND yh = 0 THEN 1 ELSE 0 END) AS tn,
+             sum(CASE WHEN y = 1 AND yh = 0 THEN 1 ELSE 0 END) AS fn
+      FROM clf GROUP BY grp, split) t""", "clf"))
+def segment_metrics(spark, d):
+    """Segment- and group-level performance (V8): any grouping columns."""
+    return rounded(m.binary_metrics(fx.clf(spark, d), p=None, by=["grp", "split"]))

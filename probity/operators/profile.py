@@ -186,3 +186,15 @@ def outlier_fences(df: DataFrame, cols=None, k: float = 1.5) -> DataFrame:
         count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).alias("n_outliers"))
     return q.join(n_out, "feature", "left").select("feature", "q1", "q3", "iqr", "lower", "upper",
                                                    F.coalesce("n_outliers", F.lit(0)).alias("n_outliers"))
+
+
+def spearman_matrix(df: DataFrame, cols, id_col: str = "id") -> DataFrame:
+    """Spearman rho for every pair a < b: average ranks per column (skew-safe
+    ``average_ranks`` on the long table), pivoted back by id, then Pearson of the
+    ranks (V6).  Ranks are taken over each column's non-null values."""
+    from probity.plans.ordering import average_ranks
+    cols = list(cols)
+    long = to_long(df, [id_col], cols).where(F.col("value").isNotNull())
+    ranked = average_ranks(long, "value", ["feature"], out="_rank")
+    wide = ranked.groupBy(id_col).pivot("feature", cols).agg(F.first("_rank"))
+    return pearson_matrix(wide, cols)
