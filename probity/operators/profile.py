@@ -106,13 +106,21 @@ def binned_pairs(df: DataFrame, x: str, y: str, nx: int = 10, ny: int = 10) -> D
     return b.groupBy("bin_x", "bin_y").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
 
 
-def pearson_matrix(df: DataFrame, cols=None) -> DataFrame:
+WIDE_PAIRS = 500
+
+
+def pearson_matrix(df: DataFrame, cols=None, wide_pairs: int = WIDE_PAIRS) -> DataFrame:
     """Pairwise-complete Pearson r for every pair a < b (P9), null for a constant column.
 
     Uses the stable ``covar_pop``/``var_pop`` aggregates on the rows where both are
-    present; one aggregation pass for all pairs.
+    present; one aggregation pass for all pairs.  Above ``wide_pairs`` pairs (about
+    32 columns) the per-pair expressions would swamp code generation, so the matrix
+    comes from ``ml.stat.Correlation`` on assembled vectors instead (rows with a null
+    in any of the columns are left out there, not pairwise).
     """
     cols = cols or numeric_columns(df)
+    if len(cols) * (len(cols) - 1) // 2 > wide_pairs:
+        return _pearson_wide(df, cols)
     exprs = []
     pairs = []
     for i, a in enumerate(cols):
@@ -133,6 +141,17 @@ def pearson_matrix(df: DataFrame, cols=None) -> DataFrame:
     return agg.select(F.explode(F.array(*rows)).alias("_p")).select("_p.*")
 
 
+def _pearson_wide(df: DataFrame, cols) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    vec = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip").transform(
+        df.select(*[as_col(c).cast("double").alias(c) for c in cols]))
+    mat = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()   # k × k: schema-sized
+    rows = [(a, b, None if mat[i, j] != mat[i, j] else float(mat[i, j]))
+            for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
+
+
 def correlated_pairs(df: DataFrame, cols=None, threshold: float = 0.8) -> DataFrame:
     """Predictor pairs with |r| > threshold (V5)."""
     return pearson_matrix(df, cols).where(F.abs("r") > F.lit(threshold))

@@ -61,8 +61,8 @@ def psi(df: DataFrame, features, side: str = "side", expected="expected", actual
     grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bin"))
     j = grid.join(counts.where(F.col("bin").isNotNull()), ["feature", "bin"], "left") \
             .join(bounded_broadcast(n, len(features)), "feature")
-    e = F.col("_ce") / F.col("_ne")
-    a = F.col("_ca") / F.col("_na")
+    e = F.try_divide(F.col("_ce"), F.col("_ne"))
+    a = F.try_divide(F.col("_ca"), F.col("_na"))
     e = F.when(F.coalesce(F.col("_ce"), F.lit(0)) == 0, F.lit(PSI_FLOOR)).otherwise(e)
     a = F.when(F.coalesce(F.col("_ca"), F.lit(0)) == 0, F.lit(PSI_FLOOR)).otherwise(a)
     return j.groupBy("feature").agg(F.sum((e - a) * F.log(e / a)).alias("psi"))
@@ -84,7 +84,7 @@ def distribution_distances(df: DataFrame, features, side: str = "side", a="expec
     rs = running_sums(w, "value", ["ca", "cb"], ["feature"])
     n = w.groupBy("feature").agg(F.sum("ca").alias("_na"), F.sum("cb").alias("_nb"))
     j = rs.join(bounded_broadcast(n, len(features)), "feature")
-    diff = F.abs(F.col("cum_ca") / F.col("_na") - F.col("cum_cb") / F.col("_nb"))
+    diff = F.abs(F.try_divide(F.col("cum_ca"), F.col("_na")) - F.try_divide(F.col("cum_cb"), F.col("_nb")))
     step = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
     return j.groupBy("feature").agg(F.sum(diff * step).alias("wasserstein"), F.max(diff).alias("ks"))
 

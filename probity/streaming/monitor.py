@@ -43,9 +43,12 @@ def slice_metrics(rows: DataFrame, ts: str, feature: str, edges, ref_shares, dur
     ``feature`` against the reference shares.  Works on a batch or a streaming
     DataFrame (with ``watermark`` for bounded state)."""
     bins = len(edges) - 1
-    if isinstance(rows.schema[ts].dataType, T.TimestampNTZType):
-        # watermarks need TIMESTAMP; wall-clock values are read in the session time zone
-        rows = rows.withColumn(ts, as_col(ts).cast("timestamp"))
+    ntz = isinstance(rows.schema[ts].dataType, T.TimestampNTZType)
+    tz = rows.sparkSession.conf.get("spark.sql.session.timeZone")
+    if ntz:
+        # Watermarks need TIMESTAMP.  The wall clock is taken as UTC so that windows
+        # cut at wall-clock boundaries whatever the session time zone is.
+        rows = rows.withColumn(ts, F.from_utc_timestamp(as_col(ts).cast("timestamp"), tz))
     src = rows.withWatermark(ts, watermark) if (watermark and rows.isStreaming) else rows
     lit_edges = F.array(*[F.lit(float(e)) for e in edges])
     b = bin_index(as_col(feature).cast("double"), lit_edges, bins)
@@ -63,7 +66,8 @@ def slice_metrics(rows: DataFrame, ts: str, feature: str, edges, ref_shares, dur
         a = F.when(F.col(f"_c{i}") == 0, F.lit(PSI_FLOOR)).otherwise(a)
         e = F.lit(float(ref_shares[i]) if ref_shares[i] > 0 else PSI_FLOOR)
         psi = psi + (e - a) * F.log(e / a)
-    return g.select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH:mm").alias("slice"), "n",
+    start = F.to_utc_timestamp(F.col("w.start"), tz) if ntz else F.col("w.start")
+    return g.select(F.date_format(start, "yyyy-MM-dd HH:mm").alias("slice"), "n",
                     (F.col("_ok") / F.col("n")).alias("accuracy"), (F.col("_sq") / F.col("n")).alias("brier"),
                     (F.col("_sel") / F.col("n")).alias("selection_rate"), psi.alias("psi"))
 

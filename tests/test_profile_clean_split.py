@@ -118,3 +118,13 @@ def test_sources_csv_and_ids(spark, tmp_path):
     out = files.prepare_preset(files.with_row_id(df), spec)
     assert out.count() == 1 and "Unnamed: 0" not in out.columns
     assert files.catalog(spark).count() == len(files.CATALOG)
+
+
+def test_pearson_wide_branch_agrees(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 5))
+    df = spark.createDataFrame([tuple(float(v) for v in row) for row in x], "a double, b double, c double, d double, e double")
+    narrow = {(r["feature_a"], r["feature_b"]): r["r"] for r in profile.pearson_matrix(df).collect()}
+    wide = {(r["feature_a"], r["feature_b"]): r["r"] for r in profile.pearson_matrix(df, wide_pairs=1).collect()}
+    assert narrow.keys() == wide.keys()
+    assert all(math.isclose(narrow[k], wide[k], abs_tol=1e-9) for k in narrow)
