@@ -4,6 +4,8 @@ DuckDB twin can re-score too; MLlib fits are rows-only checks."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from probity.operators import explain, overfit, robust, train, weakspot
@@ -27,22 +29,26 @@ def _case_feature(col: str, key: str, val: str) -> str:
 
 # ------------------------------------------------------- permutation importance
 
+def _perm_grid():
+    combos = [(f, r) for f in _FEATS for r in range(1, 6)]
+    primes = explain._primes_above(explain._PERM_PRIME_BASE, len(combos))
+    offs = [int(hashlib.md5(f"perm:0:{k}".encode()).hexdigest()[:7], 16) for k in range(len(combos))]
+    return ", ".join(f"('{f}', {r}, {p}, {c})" for (f, r), p, c in zip(combos, primes, offs))
+
+
 _PI = f"""
 {_TEST},
 nb AS (SELECT greatest(1, CAST(ceil(count(*) / 1000000.0) AS BIGINT)) AS nb FROM t),
 k AS (SELECT t.*, CAST(floor({H('id', 'pb:0')} * nb) AS INTEGER) AS b FROM t CROSS JOIN nb),
-rv AS (SELECT k.*, row_number() OVER (PARTITION BY b ORDER BY {H('id', 'self:0')}, id) AS rn FROM k),
-fr AS (SELECT f, r, fi * 5 + r - 1 AS idx FROM
-       (SELECT unnest(['f1', 'f2', 'f3', 'f4']) AS f, unnest(range(4)) AS fi) fs CROSS JOIN
-       (SELECT unnest(range(1, 6)) AS r) rr),
-ku AS (SELECT k.*, [{", ".join(U("id", "perm:0", 20))}] AS us FROM k),
-dn AS (SELECT fr.f, fr.r, ku.b,
-              CASE fr.f WHEN 'f1' THEN ku.f1 WHEN 'f2' THEN ku.f2 WHEN 'f3' THEN ku.f3 ELSE ku.f4 END AS val,
-              row_number() OVER (PARTITION BY fr.f, fr.r, ku.b ORDER BY ku.us[fr.idx + 1], ku.id) AS rn
-       FROM ku CROSS JOIN fr),
-pr AS (SELECT fr.f AS feat, fr.r AS rep, rv.y, {", ".join(_case_feature(c, "fr.f", "dn.val").replace(
+sz AS (SELECT b, count(*) AS m FROM k GROUP BY b),
+rv AS (SELECT k.*, row_number() OVER (PARTITION BY b ORDER BY {H('id', 'self:0')}, id) - 1 AS rn FROM k),
+fr AS (SELECT * FROM (VALUES {_perm_grid()}) g(f, r, p, c)),
+dn AS (SELECT fr.f, fr.r, rv.b, (fr.p * rv.rn + fr.c) % sz.m AS target,
+              CASE fr.f WHEN 'f1' THEN rv.f1 WHEN 'f2' THEN rv.f2 WHEN 'f3' THEN rv.f3 ELSE rv.f4 END AS val
+       FROM rv JOIN sz ON rv.b = sz.b CROSS JOIN fr),
+pr AS (SELECT dn.f AS feat, dn.r AS rep, rv.y, {", ".join(_case_feature(c, "dn.f", "dn.val").replace(
     f"ELSE {c} END", f"ELSE rv.{c} END") for c in _FEATS)}
-       FROM rv CROSS JOIN fr JOIN dn ON dn.f = fr.f AND dn.r = fr.r AND dn.b = rv.b AND dn.rn = rv.rn),
+       FROM rv JOIN dn ON dn.b = rv.b AND dn.target = rv.rn),
 sc AS (SELECT feat, rep, avg(CASE WHEN y = CASE WHEN p >= 0.5 THEN 1 ELSE 0 END THEN 1.0 ELSE 0.0 END) AS score
        FROM (SELECT *, {CLF_P} AS p FROM pr) x GROUP BY feat, rep),
 base AS (SELECT avg(CASE WHEN y = yh THEN 1.0 ELSE 0.0 END) AS base FROM t)

@@ -9,6 +9,7 @@ or shuffled as a whole; only grouped sums move between stages.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probity.functions.hashing import gaussian, hash01, uniforms
+from probity.functions.hashing import gaussian, hash01
 from probity.functions.util import as_col, quote
 from probity.operators.metrics import LOWER_IS_BETTER, evaluate
 from probity.operators.scoring import Scorer, eval_kwargs
@@ -38,14 +39,30 @@ def _replace_features(df: DataFrame, features, key: str, value: str, kinds: dict
 
 # ------------------------------------------------------ permutation importance
 
+def _primes_above(start: int, count: int) -> list[int]:
+    """The first ``count`` primes above ``start`` (trial division; start ≈ 2^31)."""
+    out, c = [], start + 1
+    while len(out) < count:
+        if c % 2 and all(c % d for d in range(3, int(c ** 0.5) + 1, 2)):
+            out.append(c)
+        c += 1
+    return out
+
+
+_PERM_PRIME_BASE = 2 ** 31
+
+
 def permutation_importance(df: DataFrame, scorer: Scorer, features, metric: str = "ACC", y: str = "y",
                            id_col: str = "id", repeats: int = 10, seed: int = 0,
                            bucket_rows: int = 1_000_000, n_rows: int | None = None) -> DataFrame:
     """Score change when one feature is shuffled, every repeat kept.
 
-    A shuffle is a random pairing of rows inside hash buckets of about
-    ``bucket_rows`` rows: receivers are numbered by one hash order, donors (per
-    feature and repeat) by another, and the two are joined on (bucket, number).
+    Rows are spread over hash buckets of about ``bucket_rows`` rows and numbered
+    0..m−1 inside their bucket in a hash order (one window over the data).  The
+    shuffle of (feature, repeat) k is the bijection i → (P_k·i + C_k) mod m with P_k a
+    prime above 2^31 (so coprime with any bucket size): the row numbered i gives its
+    value to the row numbered π_k(i).  Only narrow (bucket, target, value) rows are
+    exploded and shuffled; the receivers are shuffled once, not once per repeat.
     Returns (feature, repeat, score, importance); importance = base − score for
     higher-is-better metrics and score − base otherwise.
     """
@@ -56,22 +73,24 @@ def permutation_importance(df: DataFrame, scorer: Scorer, features, metric: str
     n = n_rows if n_rows is not None else df.count()
     nb = max(1, math.ceil(n / bucket_rows))
     keyed = df.withColumn("_b", F.floor(hash01(id_col, salt=f"pb:{seed}") * F.lit(nb)).cast("int"))
+    sizes = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_m"))           # nb rows
     w_self = Window.partitionBy("_b").orderBy(hash01(id_col, salt=f"self:{seed}"), as_col(id_col))
-    recv = keyed.withColumn("_rn", F.row_number().over(w_self))
-    grid = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"))
-                     for f in features for r in range(1, repeats + 1)])
-    recv = recv.select("*", F.explode(grid).alias("_fr")).select(
-        *[F.col(quote(c)) for c in recv.columns], F.col("_fr.f").alias("_feat"), F.col("_fr.r").alias("_rep"))
+    numbered = keyed.withColumn("_rn", (F.row_number().over(w_self) - F.lit(1)).cast("bigint"))
+    combos = [(f, r) for f in features for r in range(1, repeats + 1)]
+    primes = _primes_above(_PERM_PRIME_BASE, len(combos))
+    offsets = [int(hashlib.md5(f"perm:{seed}:{k}".encode()).hexdigest()[:7], 16) for k in range(len(combos))]
+    grid = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"), F.lit(p).cast("bigint").alias("p"),
+                              F.lit(c).cast("bigint").alias("c"))
+                     for (f, r), p, c in zip(combos, primes, offsets)])
     vals = F.create_map(*[x for f in features for x in (F.lit(f), as_col(f).cast("string"))])
-    # the donor order of (feature, repeat) number i is word i of the row's draws
-    draws = F.array(*uniforms(id_col, salt=f"perm:{seed}", n=len(features) * repeats))
-    donors = keyed.select(as_col(id_col).alias("_id"), "_b", vals.alias("_vals"), draws.alias("_us")) \
-                  .select("_id", "_b", "_vals", "_us", F.posexplode(grid).alias("_i", "_fr")) \
-                  .select("_id", "_b", F.col("_fr.f").alias("_feat"), F.col("_fr.r").alias("_rep"),
-                          F.col("_vals")[F.col("_fr.f")].alias("_val"), F.col("_us")[F.col("_i")].alias("_o"))
-    w_don = Window.partitionBy("_feat", "_rep", "_b").orderBy("_o", "_id")
-    donors = donors.withColumn("_rn", F.row_number().over(w_don)).drop("_id", "_o")
-    paired = recv.join(donors, ["_feat", "_rep", "_b", "_rn"], "inner")
+    donors = numbered.select("_b", "_rn", vals.alias("_vals")) \
+                     .join(bounded_broadcast(sizes, nb), "_b") \
+                     .select("_b", "_rn", "_m", "_vals", F.explode(grid).alias("_k")) \
+                     .select(F.col("_b").alias("_db"), F.col("_k.f").alias("_feat"), F.col("_k.r").alias("_rep"),
+                             F.pmod(F.col("_k.p") * F.col("_rn") + F.col("_k.c"), F.col("_m")).alias("_target"),
+                             F.col("_vals")[F.col("_k.f")].alias("_val"))
+    paired = numbered.join(donors, (numbered["_b"] == donors["_db"]) & (numbered["_rn"] == donors["_target"]),
+                           "inner").drop("_db", "_target")
     shuffled = _replace_features(paired, features, "_feat", "_val", kinds)
     scores = evaluate(scorer.score(shuffled), metric, by=["_feat", "_rep"], y=y, **kw)
     sign = -1.0 if metric.upper() in LOWER_IS_BETTER else 1.0

@@ -14,21 +14,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from probity.functions.util import as_col, count_if, safe_div
-from probity.operators.resilience import decile_bins
+from probity.operators.resilience import decile_edges, label_with_edges
 
 
 def attribute_labels(df: DataFrame, attributes, edges_from: DataFrame | None = None) -> DataFrame:
     """One string label column per attribute: the category itself, or the decile
-    bin 1..B of a numeric attribute with edges on ``edges_from`` (all data) (N1, N3)."""
+    bin 1..B of a numeric attribute with edges on ``edges_from`` (all data) (N1, N3).
+    Edges of all numeric attributes come from one quantile pass."""
+    numeric = [a for a in attributes if isinstance(df.schema[a].dataType, T.NumericType)]
     out = df
+    if numeric:
+        src = (edges_from if edges_from is not None else df).select(*numeric)
+        out = out.crossJoin(F.broadcast(decile_edges(src, numeric)))
     for a in attributes:
-        if isinstance(df.schema[a].dataType, T.NumericType):
-            src = edges_from.select(a) if edges_from is not None else None
-            out = decile_bins(out, a, out=f"_lab_{a}", edges_from=src)
+        if a in numeric:
+            i = numeric.index(a)
+            out = label_with_edges(out, a, f"_e_{i}", f"_lab_{a}")
             out = out.withColumn(f"_lab_{a}", F.col(f"_lab_{a}").cast("string"))
         else:
             out = out.withColumn(f"_lab_{a}", as_col(a).cast("string"))
-    return out
+    return out.drop(*[f"_e_{i}" for i in range(len(numeric))])
 
 
 def group_table(df: DataFrame, attributes, y="y", yh="yh", edges_from: DataFrame | None = None) -> DataFrame:

@@ -55,9 +55,8 @@ def psi(df: DataFrame, features, side: str = "side", expected="expected", actual
     counts = binned.groupBy("feature", "bin").agg(
         F.sum(F.when(F.col("_side") == expected, 1).otherwise(0)).alias("_ce"),
         F.sum(F.when(F.col("_side") == actual, 1).otherwise(0)).alias("_ca"))
-    n = binned.groupBy("feature").agg(
-        F.sum(F.when(F.col("_side") == expected, 1).otherwise(0)).alias("_ne"),
-        F.sum(F.when(F.col("_side") == actual, 1).otherwise(0)).alias("_na"))
+    # sample sizes from the (feature × bin) table, null bin included: no second scan
+    n = counts.groupBy("feature").agg(F.sum("_ce").alias("_ne"), F.sum("_ca").alias("_na"))
     grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bin"))
     j = grid.join(counts.where(F.col("bin").isNotNull()), ["feature", "bin"], "left") \
             .join(bounded_broadcast(n, len(features)), "feature")
@@ -103,22 +102,39 @@ def residual_column(df: DataFrame, task: str = "classification", y="y", p="p", y
     return df.withColumn(out, r)
 
 
+def decile_edges(src: DataFrame, features, q: int = 10) -> DataFrame:
+    """One row: for every feature, ``pd.qcut``-style edges = linear quantiles at
+    linspace(0, 1, q+1) with duplicates dropped, as column ``_e_<i>`` (one pass for all
+    features over the long reshape)."""
+    features = list(features)
+    qs = [1.0 if i == q else i * (1.0 / q) for i in range(q + 1)]
+    long = to_long(src, [], features).where(F.col("value").isNotNull())
+    qt = exact_quantiles(long, "value", qs, ["feature"])
+    per = qt.groupBy("feature").agg(F.array_distinct(F.array_sort(F.collect_list("quantile"))).alias("_e"))
+    return per.agg(*[F.max(F.when(F.col("feature") == f, F.col("_e"))).alias(f"_e_{i}")
+                     for i, f in enumerate(features)])
+
+
+def label_with_edges(df: DataFrame, feature: str, edges_col: str, out: str, include_lowest: bool = True):
+    """Bin label 1..B of ``feature`` for (a, b] edges in ``edges_col``; null outside."""
+    v = as_col(feature).cast("double")
+    e = F.col(edges_col)
+    inner = F.slice(e, 2, F.greatest(F.size(e) - 2, F.lit(0)))
+    idx = F.size(F.filter(inner, lambda x: x < v)) + F.lit(1)
+    lo, hi = F.element_at(e, 1), F.element_at(e, -1)
+    ok = ((v >= lo) if include_lowest else (v > lo)) & (v <= hi) & (F.size(e) >= 2)
+    return df.withColumn(out, F.when(v.isNotNull() & ok, idx))
+
+
 def decile_bins(df: DataFrame, feature: str, q: int = 10, out: str = "bin", edges_from: DataFrame | None = None,
                 include_lowest: bool = True) -> DataFrame:
     """``pd.qcut``-style bins: edges = linear quantiles at linspace(0, 1, q+1) of
     ``edges_from`` (default: ``df``), duplicates dropped, (a, b] with the lowest
     value included; label 1..B, null for values outside or null (N1, K7)."""
     src = edges_from if edges_from is not None else df
-    qs = [1.0 if i == q else i * (1.0 / q) for i in range(q + 1)]
-    qt = exact_quantiles(src.select(as_col(feature).alias("_f")), "_f", qs)
-    edges = qt.agg(F.array_distinct(F.array_sort(F.collect_list("quantile"))).alias("_e"))
+    edges = decile_edges(src.select(as_col(feature).alias(feature)), [feature], q)
     j = df.crossJoin(F.broadcast(edges))
-    v = as_col(feature).cast("double")
-    inner = F.slice(F.col("_e"), 2, F.greatest(F.size("_e") - 2, F.lit(0)))
-    idx = F.size(F.filter(inner, lambda e: e < v)) + F.lit(1)
-    lo, hi = F.element_at(F.col("_e"), 1), F.element_at(F.col("_e"), -1)
-    ok = ((v >= lo) if include_lowest else (v > lo)) & (v <= hi) & (F.size("_e") >= 2)
-    return j.withColumn(out, F.when(v.isNotNull() & ok, idx)).drop("_e")
+    return label_with_edges(j, feature, "_e_0", out, include_lowest).drop("_e_0")
 
 
 def worst_samples(df: DataFrame, alpha: float = 0.1, residual: str = "residual", id_col: str = "id",
