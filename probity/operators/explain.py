@@ -22,7 +22,7 @@ from probity.functions.util import as_col, quote
 from probity.operators.metrics import LOWER_IS_BETTER, evaluate
 from probity.operators.scoring import Scorer, eval_kwargs
 from probity.plans.quantiles import exact_quantiles
-from probity.plans.reshape import bounded_broadcast
+from probity.plans.reshape import bounded_broadcast, spread_for_fanout
 
 
 def _replace_features(df: DataFrame, features, key: str, value: str, kinds: dict) -> DataFrame:
@@ -149,7 +149,7 @@ def sampled_shap(df: DataFrame, scorer: Scorer, features, background: DataFrame,
     if bgk is None:
         raise ValueError("background must hold at most 1,000,000 rows")
     bgk = bounded_broadcast(bgk, 1_000_000)
-    ex = df.select(as_col(id_col).alias("_id"), *[as_col(f) for f in features]) \
+    ex = spread_for_fanout(df, id_col).select(as_col(id_col).alias("_id"), *[as_col(f) for f in features]) \
            .withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
     ex = ex.withColumn("_zi", F.floor(hash01("_id", "_m", salt=f"bg:{seed}") * F.lit(nbg)).cast("int"))
     ex = ex.join(bgk, "_zi")
@@ -208,7 +208,8 @@ def lime(df: DataFrame, scorer: Scorer, features, train: DataFrame, id_col: str
     kw = kernel_width if kernel_width is not None else 0.75 * math.sqrt(k)
     stats = train.agg(*[x for i, f in enumerate(features) for x in
                         (F.avg(as_col(f)).alias(f"_mu{i}"), F.stddev_samp(as_col(f)).alias(f"_sd{i}"))])
-    ex = df.select(as_col(id_col).cast("string").alias("_id"), *[as_col(f) for f in features]) \
+    ex = spread_for_fanout(df, id_col).select(as_col(id_col).cast("string").alias("_id"),
+                                              *[as_col(f) for f in features]) \
            .crossJoin(F.broadcast(stats)).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
     pert, zcols = [], []
     for i, f in enumerate(features):
@@ -310,7 +311,7 @@ def partial_dependence(df: DataFrame, scorer: Scorer, features, grid_resolution:
         grid = grid.crossJoin(g)
     # at most grid_resolution^k points: the definition of the plot, not data
     grid = bounded_broadcast(grid, grid_resolution ** len(features))
-    j = df.crossJoin(grid)
+    j = spread_for_fanout(df).crossJoin(grid)
     for i, f in enumerate(features):
         j = j.withColumn(f, F.col(f"value_{i + 1}").cast(df.schema[f].dataType))
     sc = scorer.score(j)

@@ -14,6 +14,7 @@ from probity.functions.hashing import gaussians, hash01
 from probity.functions.util import as_col, quote
 from probity.operators.metrics import evaluate
 from probity.operators.scoring import Scorer, eval_kwargs
+from probity.plans.reshape import spread_for_fanout
 from probity.session import cut_lineage
 
 CLASSIFICATION_SET = (("Accuracy", "ACC", True), ("AUC", "AUC", True), ("F1", "F1", True))
@@ -106,7 +107,7 @@ def noise_sensitivity(df: DataFrame, scorer: Scorer, features, y: str = "y", id_
     base = evaluate(scorer.score(df), metric, y=y, **kw).select(F.col("value").alias("base"))
     # one draw per (row, feature), all drawn before the rows are multiplied
     zs = gaussians(id_col, salt=f"noise:{seed}", n=len(features))
-    drawn = df.select("*", *[z.alias(f"_z{i}") for i, z in enumerate(zs)])
+    drawn = spread_for_fanout(df, id_col).select("*", *[z.alias(f"_z{i}") for i, z in enumerate(zs)])
     ex = drawn.crossJoin(F.broadcast(stds)).withColumn("_feat", F.explode(F.array(*[F.lit(f) for f in features])))
     cols = []
     for c in df.columns:

@@ -50,3 +50,18 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Dat
 
 def select_quoted(df: DataFrame, names) -> DataFrame:
     return df.select(*[F.col(quote(n)) for n in names])
+
+
+def spread_for_fanout(df: DataFrame, key=None, target: int | None = None) -> DataFrame:
+    """Give a row-multiplying stage (explode × scoring) enough tasks.
+
+    When ``df`` has fewer partitions than the cluster's default parallelism (a
+    small table, or a file with few row groups), the un-multiplied rows are
+    hash-repartitioned by ``key`` first: a shuffle of n rows instead of a
+    fan-out of k·n rows squeezed into a few tasks.  Large inputs, which already
+    have at least that many splits, are left alone (no extra shuffle).
+    """
+    want = target or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, as_col(key)) if key is not None else df.repartition(want)
