@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.functions.util import as_col, numeric_columns
-from probity.plans.ordering import average_ranks
+from probity.plans.ordering import rank_table
 from probity.plans.reshape import to_long
 
 
@@ -50,9 +50,13 @@ def spearman_target(df: DataFrame, target: str, features=None, threshold: float
     base = df.select(*[as_col(i) for i in ids], *[as_col(f) for f in features],
                      as_col(target).cast("double").alias("_y"))
     long = to_long(base, ids + ["_y"], features).where(F.col("value").isNotNull() & F.col("_y").isNotNull())
-    rx = average_ranks(long, "value", ["feature"], out="_rx")
-    ry = average_ranks(rx, "_y", ["feature"], out="_ry")
-    out = ry.groupBy("feature").agg(
+    # both rank tables come from the long table directly (not one from the other),
+    # and are joined back once each on (feature, value) / (feature, y)
+    rx = rank_table(long, "value", ["feature"], out="_rx", value_out="_vx")
+    ry = rank_table(long, "_y", ["feature"], out="_ry", value_out="_vy")
+    k = long.select("feature", (F.col("value") + F.lit(0.0)).alias("_vx"), (F.col("_y") + F.lit(0.0)).alias("_vy"))
+    ranked = k.join(rx, ["feature", "_vx"]).join(ry, ["feature", "_vy"])
+    out = ranked.groupBy("feature").agg(
         F.try_divide(F.covar_pop("_rx", "_ry"), F.sqrt(F.var_pop("_rx") * F.var_pop("_ry"))).alias("r"))
     return _flag(out, threshold)
 

@@ -108,6 +108,17 @@ def running_sums(df: DataFrame, order: str, values, keys=(), descending: bool =
     return out
 
 
+def rank_table(df: DataFrame, order: str, keys=(), out: str = "rank", value_out: str = "_v") -> DataFrame:
+    """(keys..., value, average rank) per distinct value: the table behind
+    ``average_ranks``, for callers that join several rank tables back at once."""
+    keys = list(keys)
+    base = df.select(*[as_col(k).alias(k) for k in keys], as_col(order).alias(order),
+                     F.lit(1).cast("bigint").alias("_one"))
+    rs = running_sums(base, order, ["_one"], keys)
+    return rs.select(*keys, F.col(order).alias(value_out),
+                     (F.col("cum__one") - F.col("_one") + (F.col("_one") + F.lit(1)) / F.lit(2.0)).alias(out))
+
+
 def average_ranks(df: DataFrame, order: str, keys=(), out: str = "rank") -> DataFrame:
     """Attach the average (fractional) rank of ``order`` within ``keys`` to every row.
 

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probity.sources import fixtures as fx
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,4 +60,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-__all__ = ["ORACLES", "REGISTRY", "fx", "oracle_sql", "queries", "register", "rounded"]
+__all__ = ["ORACLES", "REGISTRY", "oracle_sql", "queries", "register", "rounded"]
