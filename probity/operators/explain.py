@@ -136,8 +136,9 @@ def sampled_shap(df: DataFrame, scorer: Scorer, features, background: DataFrame,
     For each row and sample m: a feature order and a background row z are drawn
     from hashes; the row is walked from z to x one feature at a time in that order
     and the score change of each step is that feature's contribution.  Per sample
-    the contributions add up exactly to f(x) − f(z).  Background rows are paired
-    with explained rows through hash buckets (no cross join).
+    the contributions add up exactly to f(x) − f(z).  Background rows are picked by
+    a hash-drawn index into the background (≤ 1,000,000 rows, counted, broadcast):
+    an equi-join, no cross join.
     """
     features = list(features)
     k = len(features)
@@ -166,12 +167,21 @@ def sampled_shap(df: DataFrame, scorer: Scorer, features, background: DataFrame,
     hy = ex.select("_id", "_m", "_step", "_order", *hybrid)
     sc = scorer.score(hy)
     out_col = "p" if output == "p" and scorer.task != "regression" else "yh"
-    w = Window.partitionBy("_id", "_m").orderBy("_step")
-    diffs = sc.select("_id", "_m", "_step", "_order", F.col(out_col).cast("double").alias("_f")) \
-              .withColumn("_d", F.col("_f") - F.lag("_f").over(w)).where(F.col("_step") > 0)
+    # Telescoping: the score at step s counts + for the feature at order position s-1
+    # and - for the feature at position s.  Each scored row emits those (at most two)
+    # signed contributions; all steps of a row are produced in the same task, so the
+    # partial aggregation collapses them before the only shuffle (n·k rows).
+    fval = F.col(out_col).cast("double")
+    contrib = F.array(
+        F.struct(F.element_at("_order", F.greatest(F.col("_step"), F.lit(1))).alias("i"),
+                 F.when(F.col("_step") >= 1, fval).otherwise(F.lit(0.0)).alias("v")),
+        F.struct(F.element_at("_order", F.least(F.col("_step") + 1, F.lit(k))).alias("i"),
+                 F.when(F.col("_step") < k, -fval).otherwise(F.lit(0.0)).alias("v")))
     named = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(i), F.lit(f))])
-    diffs = diffs.withColumn("feature", named[F.element_at("_order", F.col("_step"))])
-    return diffs.groupBy(F.col("_id").alias("id"), "feature").agg(F.avg("_d").alias("phi"))
+    parts = sc.select("_id", F.explode(contrib).alias("_c")) \
+              .select("_id", named[F.col("_c.i")].alias("feature"), F.col("_c.v").alias("_v"))
+    return parts.groupBy(F.col("_id").alias("id"), "feature").agg(
+        (F.sum("_v") / F.lit(float(n_samples))).alias("phi"))
 
 
 def shap_global(phi: DataFrame, by_class: bool = False) -> DataFrame:
