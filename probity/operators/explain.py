@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probity.functions.hashing import gaussian, hash01
+from probity.functions.hashing import gaussians, hash01
 from probity.functions.util import as_col, quote
 from probity.operators.metrics import LOWER_IS_BETTER, evaluate
 from probity.operators.scoring import Scorer, eval_kwargs
@@ -222,10 +222,13 @@ def lime(df: DataFrame, scorer: Scorer, features, train: DataFrame, id_col: str
                                               *[as_col(f) for f in features]) \
            .crossJoin(F.broadcast(stats)).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
     pert, zcols = [], []
+    draws = gaussians("_id", "_s", salt=f"lime:{seed}", n=k)      # one digest per 4 draws
+    is0 = (F.col("_s") == 0).cast("double")
     for i, f in enumerate(features):
         sd = F.coalesce(F.when(F.col(f"_sd{i}") > 0, F.col(f"_sd{i}")), F.lit(1.0))
-        z = F.when(F.col("_s") == 0, (as_col(f) - F.col(f"_mu{i}")) / sd).otherwise(
-            gaussian("_id", "_s", F.lit(i), salt=f"lime:{seed}"))
+        # sample 0 is the row itself; an arithmetic blend (not CASE) keeps the shared
+        # digest outside a conditional branch, so Spark evaluates it once per row
+        z = is0 * F.coalesce((as_col(f) - F.col(f"_mu{i}")) / sd, F.lit(0.0)) + (F.lit(1.0) - is0) * draws[i]
         zcols.append(z.alias(f"_z{i}"))
     ex = ex.select("*", *zcols)
     for i, f in enumerate(features):
