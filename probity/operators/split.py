@@ -44,6 +44,10 @@ class ValidationSpec:
         return [c for c in df.columns if c not in (self.target, self.id_col)]
 
 
+def _names(*names):
+    return F.array(*[F.lit(n) for n in names])
+
+
 def train_test_split(df: DataFrame, id_col: str = "id", test_ratio: float = 0.2, seed=0,
                      out: str = "split") -> DataFrame:
     """'test' for hash(seed, id) < test_ratio, else 'train' (D2)."""
@@ -54,10 +58,9 @@ def train_test_split(df: DataFrame, id_col: str = "id", test_ratio: float = 0.2,
 def train_val_test_split(df: DataFrame, id_col: str = "id", test_ratio: float = 0.2, val_share: float = 0.25,
                          seed=42, out: str = "split") -> DataFrame:
     """test_ratio to test, then ``val_share`` of the rest to validation (D3)."""
-    u1 = hash01(id_col, salt=f"tt:{seed}")
-    u2 = hash01(id_col, salt=f"val:{seed}")
-    return df.withColumn(out, F.when(u1 < F.lit(float(test_ratio)), F.lit("test"))
-                         .when(u2 < F.lit(float(val_share)), F.lit("val")).otherwise(F.lit("train")))
+    is_test = (hash01(id_col, salt=f"tt:{seed}") < F.lit(float(test_ratio))).cast("int")
+    is_val = (hash01(id_col, salt=f"val:{seed}") < F.lit(float(val_share))).cast("int") * (F.lit(1) - is_test)
+    return df.withColumn(out, F.element_at(_names("train", "val", "test"), F.lit(1) + is_val + F.lit(2) * is_test))
 
 
 def diagnosis_split(df: DataFrame, id_col: str = "id", shares=(0.6, 0.2, 0.2), seed=42,
@@ -65,8 +68,9 @@ def diagnosis_split(df: DataFrame, id_col: str = "id", shares=(0.6, 0.2, 0.2), s
     """Train / calibration / test by cumulative shares, 60/20/20 by default."""
     a, b, _ = shares
     u = hash01(id_col, salt=f"diag:{seed}")
-    return df.withColumn(out, F.when(u < F.lit(float(a)), F.lit("train"))
-                         .when(u < F.lit(float(a + b)), F.lit("cal")).otherwise(F.lit("test")))
+    # index by comparisons outside any CASE: the hash is evaluated once per row
+    idx = F.lit(1) + (u >= F.lit(float(a))).cast("int") + (u >= F.lit(float(a + b))).cast("int")
+    return df.withColumn(out, F.element_at(_names("train", "cal", "test"), idx))
 
 
 def assign_folds(df: DataFrame, id_col: str = "id", k: int = 3, seed=0, out: str = "fold") -> DataFrame:
