@@ -38,3 +38,13 @@ def test_selection_remove_revert_and_rank(spark):
     assert [r["keep"] for r in select.rethreshold(imp, 0.0).orderBy("feature").collect()] == [True, False, True]
     signed = select.removal_report(imp.withColumnRenamed("importance", "r"), ["a", "b", "c"], "r", 0.0, signed=True)
     assert {r["feature"] for r in signed.where("status = 'removed'").collect()} == {"b"}
+
+
+def test_spread_for_fanout(spark):
+    from probity.plans.reshape import spread_for_fanout
+    par = spark.sparkContext.defaultParallelism
+    one = spark.range(100).coalesce(1)
+    spread = spread_for_fanout(one, "id")
+    assert spread.rdd.getNumPartitions() == par and spread.count() == 100
+    many = spark.range(100).repartition(par + 3)
+    assert spread_for_fanout(many, "id").rdd.getNumPartitions() == par + 3   # left alone
