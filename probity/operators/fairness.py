@@ -24,15 +24,15 @@ def attribute_labels(df: DataFrame, attributes, edges_from: DataFrame | None = N
     numeric = [a for a in attributes if isinstance(df.schema[a].dataType, T.NumericType)]
     out = df
     if numeric:
-        src = (edges_from if edges_from is not None else df).select(*numeric)
+        src = (edges_from if edges_from is not None else df).select(*[as_col(a) for a in numeric])
         out = out.crossJoin(F.broadcast(decile_edges(src, numeric)))
-    for a in attributes:
+    for k, a in enumerate(attributes):      # label columns are numbered: names may hold dots
         if a in numeric:
             i = numeric.index(a)
-            out = label_with_edges(out, a, f"_e_{i}", f"_lab_{a}")
-            out = out.withColumn(f"_lab_{a}", F.col(f"_lab_{a}").cast("string"))
+            out = label_with_edges(out, a, f"_e_{i}", f"_lab{k}")
+            out = out.withColumn(f"_lab{k}", F.col(f"_lab{k}").cast("string"))
         else:
-            out = out.withColumn(f"_lab_{a}", as_col(a).cast("string"))
+            out = out.withColumn(f"_lab{k}", as_col(a).cast("string"))
     return out.drop(*[f"_e_{i}" for i in range(len(numeric))])
 
 
@@ -42,8 +42,8 @@ def group_table(df: DataFrame, attributes, y="y", yh="yh", edges_from: DataFrame
     attributes = list(attributes)
     lab = attribute_labels(df, attributes, edges_from)
     pred, truth = as_col(yh).cast("double"), as_col(y)
-    stack = F.explode(F.array(*[F.struct(F.lit(a).alias("feature"), F.col(f"_lab_{a}").alias("cls"))
-                                for a in attributes]))
+    stack = F.explode(F.array(*[F.struct(F.lit(a).alias("feature"), F.col(f"_lab{k}").alias("cls"))
+                                for k, a in enumerate(attributes)]))
     long = lab.select(stack.alias("_g"), pred.alias("_p"), truth.alias("_t")).select("_g.*", "_p", "_t")
     aggs = [F.count(F.lit(1)).alias("n"), F.sum("_p").alias("sel"),
             count_if((F.col("_p") == 1) & (F.col("_t") == 1)).alias("tp"),
