@@ -129,6 +129,21 @@ def linear_shap(df: DataFrame, weights: dict, intercept: float = 0.0, background
             .select("id", "_r.feature", "_r.phi", "base")
 
 
+def number_background(background: DataFrame, features) -> DataFrame:
+    """Background rows as (_zi, _z_0.._z_k-1) with _zi = 0..n-1 in a hash order.
+
+    Ids are content hashes plus a copy number (skew-free for duplicated rows) and
+    the numbering is ``row_numbers`` (bucketed running counts), so any background
+    size works."""
+    from probity.plans.ordering import row_numbers
+    from probity.sources.files import with_row_id
+    bg = background.select(*[as_col(f).alias(f"_z_{i}") for i, f in enumerate(features)])
+    bg = with_row_id(bg, out="_bid")
+    bg = bg.withColumn("_bh", F.conv(F.substring(F.md5("_bid"), 1, 13), 16, 10).cast("bigint").cast("double"))
+    return row_numbers(bg, "_bh", "_bid", out="_zi1").select(
+        (F.col("_zi1") - F.lit(1)).cast("int").alias("_zi"), *[f"_z_{i}" for i in range(len(list(features)))])
+
+
 def sampled_shap(df: DataFrame, scorer: Scorer, features, background: DataFrame, id_col: str = "id",
                  n_samples: int = 32, seed: int = 0, output: str = "p") -> DataFrame:
     """Shapley values by sampled permutations (Strumbelj-Kononenko) for any model.
@@ -137,23 +152,18 @@ def sampled_shap(df: DataFrame, scorer: Scorer, features, background: DataFrame,
     from hashes; the row is walked from z to x one feature at a time in that order
     and the score change of each step is that feature's contribution.  Per sample
     the contributions add up exactly to f(x) − f(z).  Background rows are picked by
-    a hash-drawn index into the background (≤ 1,000,000 rows, counted, broadcast):
-    an equi-join, no cross join.
+    a hash-drawn index into the background, numbered without a single-partition
+    window (``number_background``): an equi-join, no cross join, no size bound.
     """
     features = list(features)
     k = len(features)
     kinds = {f: df.schema[f].dataType.simpleString() for f in features}
-    nbg = background.count()
-    bgk = background.select(*[as_col(f).alias(f"_z_{i}") for i, f in enumerate(features)]) \
-                    .withColumn("_zi", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(
-                        *[F.col(f"_z_{i}") for i in range(k)])) - F.lit(1)) if nbg <= 1_000_000 else None
-    if bgk is None:
-        raise ValueError("background must hold at most 1,000,000 rows")
-    bgk = bounded_broadcast(bgk, 1_000_000)
+    bgk = number_background(background, features)
+    nbg = bgk.count()
     ex = spread_for_fanout(df, id_col).select(as_col(id_col).alias("_id"), *[as_col(f) for f in features]) \
            .withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
     ex = ex.withColumn("_zi", F.floor(hash01("_id", "_m", salt=f"bg:{seed}") * F.lit(nbg)).cast("int"))
-    ex = ex.join(bgk, "_zi")
+    ex = ex.join(bgk, "_zi")          # equi-join; AQE broadcasts a small background
     # feature order: sort features by a hash per (row, sample)
     keys = F.array(*[F.struct(hash01("_id", "_m", F.lit(f), salt=f"ord:{seed}").alias("h"), F.lit(i).alias("i"))
                      for i, f in enumerate(features)])

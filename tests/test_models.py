@@ -137,7 +137,9 @@ def test_sampled_shap_matches_window_form(spark, data):
     # brute force: same draws, explicit differences between consecutive steps
     import numpy as np
     rows = {r["id"]: r for r in test.collect()}
-    bgl = sorted((r["x1"], r["x2"], r["x3"]) for r in bg.collect())
+    numbered = {r["_zi"]: (r["_z_0"], r["_z_1"], r["_z_2"])
+                for r in explain.number_background(bg, ["x1", "x2", "x3"]).collect()}
+    bgl = [numbered[i] for i in range(len(numbered))]
     from probity.functions.hashing import hash01
     feats = ["x1", "x2", "x3"]
     keys = test.select("id").withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(4))))
