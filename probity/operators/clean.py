@@ -46,7 +46,7 @@ def impute_values(df: DataFrame, cols, strategy: str = "mean", fill_value=None)
         return {c: row[f"_{i}"] for i, c in enumerate(cols)}
     if strategy == "median":
         long = to_long(df, [], cols).where(F.col("value").isNotNull())
-        q = exact_quantiles(long, "value", [0.5], ["feature"]).collect()
+        q = exact_quantiles(long, "value", [0.5], ["feature"], max_groups=len(cols)).collect()
         got = {r["feature"]: r["quantile"] for r in q}
         return {c: got.get(c) for c in cols}
     # most_frequent: numeric and string columns in separate long passes

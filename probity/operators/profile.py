@@ -40,7 +40,7 @@ def numeric_summary(df: DataFrame, cols=None, method: str = "exact") -> DataFram
     basic = long.groupBy("feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    q = quantile_table(long, "value", [0.25, 0.5, 0.75], ["feature"], method=method)
+    q = quantile_table(long, "value", [0.25, 0.5, 0.75], ["feature"], method=method, max_groups=len(cols))
     qw = q.groupBy("feature").agg(
         *[F.max(F.when(F.col("q") == v, F.col("quantile"))).alias(n)
           for v, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
@@ -194,7 +194,7 @@ def outlier_fences(df: DataFrame, cols=None, k: float = 1.5) -> DataFrame:
     """Quartile fences q1 − k·IQR, q3 + k·IQR and outlier count per column (V7)."""
     cols = cols or numeric_columns(df)
     long = to_long(df, [], cols).where(F.col("value").isNotNull())
-    q = quantile_table(long, "value", [0.25, 0.75], ["feature"]).groupBy("feature").agg(
+    q = quantile_table(long, "value", [0.25, 0.75], ["feature"], max_groups=len(cols)).groupBy("feature").agg(
         F.max(F.when(F.col("q") == 0.25, F.col("quantile"))).alias("q1"),
         F.max(F.when(F.col("q") == 0.75, F.col("quantile"))).alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \

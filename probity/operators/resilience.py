@@ -44,7 +44,7 @@ def psi(df: DataFrame, features, side: str = "side", expected="expected", actual
         edges = st.select("feature", scaled_edges("_lo", "_hi", buckets).alias("_e"))
     elif kind == "quantiles":
         qs = [(i / buckets * 100) / 100 for i in range(buckets + 1)]
-        q = exact_quantiles(exp_rows, "value", qs, ["feature"])
+        q = exact_quantiles(exp_rows, "value", qs, ["feature"], max_groups=len(features))
         edges = q.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("q", "quantile"))).alias("_qq")) \
                  .select("feature", F.transform("_qq", lambda s: s["quantile"]).alias("_e"))
     else:
@@ -109,7 +109,7 @@ def decile_edges(src: DataFrame, features, q: int = 10) -> DataFrame:
     features = list(features)
     qs = [1.0 if i == q else i * (1.0 / q) for i in range(q + 1)]
     long = to_long(src, [], features).where(F.col("value").isNotNull())
-    qt = exact_quantiles(long, "value", qs, ["feature"])
+    qt = exact_quantiles(long, "value", qs, ["feature"], max_groups=len(features))
     per = qt.groupBy("feature").agg(F.array_distinct(F.array_sort(F.collect_list("quantile"))).alias("_e"))
     return per.agg(*[F.max(F.when(F.col("feature") == f, F.col("_e"))).alias(f"_e_{i}")
                      for i, f in enumerate(features)])

@@ -18,11 +18,13 @@ from probity.plans.ordering import running_sums
 from probity.plans.reshape import bounded_broadcast
 
 
-def exact_quantiles(df: DataFrame, value: str, qs, keys=(), max_groups: int = 100_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, qs, keys=(), max_groups: int | None = None) -> DataFrame:
     """(keys..., q, quantile) for each q in ``qs``; nulls ignored, empty groups absent.
 
-    ``max_groups`` is the bound on distinct key combinations used to justify the
-    broadcast of the position table (feature-level keys are schema-sized).
+    The position table has (groups × len(qs) × 2) rows.  Without keys that is a
+    proven bound and it is broadcast; with keys it is broadcast only when the caller
+    states a bound (``max_groups``, e.g. the number of features), otherwise AQE
+    decides from the runtime size.
     """
     keys = list(keys)
     qs = [float(q) for q in qs]
@@ -41,7 +43,11 @@ def exact_quantiles(df: DataFrame, value: str, qs, keys=(), max_groups: int = 10
         F.struct(F.lit(0).alias("side"), F.col("_k0").alias("k")),
         F.struct(F.lit(1).alias("side"), F.col("_k1").alias("k")))).alias("_t")) \
         .select(*keys, "_qi", "q", "_frac", F.col("_t.side").alias("_side"), F.col("_t.k").alias("_k"))
-    look = bounded_broadcast(look, max_groups * len(qs) * 2).alias("l")
+    if not keys:
+        look = bounded_broadcast(look, len(qs) * 2)
+    elif max_groups is not None:
+        look = bounded_broadcast(look, max_groups * len(qs) * 2)
+    look = look.alias("l")
     rs = rs.alias("r")
     cond = [F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys] + [
         F.col("r._lo_rank") <= F.col("l._k"), F.col("l._k") < F.col("r._hi_rank")]
@@ -59,11 +65,11 @@ def exact_quantiles(df: DataFrame, value: str, qs, keys=(), max_groups: int = 10
 
 
 def quantile_table(df: DataFrame, value: str, qs, keys=(), method: str = "exact",
-                   accuracy: int = 10000) -> DataFrame:
+                   accuracy: int = 10000, max_groups: int | None = None) -> DataFrame:
     """Exact (rank-based) or approximate (``percentile_approx``) quantiles, long form."""
     keys = list(keys)
     if method == "exact":
-        return exact_quantiles(df, value, qs, keys)
+        return exact_quantiles(df, value, qs, keys, max_groups)
     qarr = F.array(*[F.lit(float(q)) for q in qs])
     g = df.groupBy(*keys).agg(F.percentile_approx(as_col(value).cast("double"), qarr, accuracy).alias("_qv"))
     return g.select(*keys, F.posexplode("_qv").alias("_i", "quantile")) \
