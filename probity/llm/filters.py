@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from probity.llm.common import rows
+from probity.llm.common import mix, rows
 
 SECTION = 1 << 16           # bytes of a filter that are merged together
 MERGE_TASKS = 64
@@ -70,8 +70,13 @@ def _sections(*arrays: np.ndarray):
                 names=names)
 
 
-def _merged(parts: DataFrame, merge: Callable, finish: Callable, size: int) -> np.ndarray:
-    """Merge sections in streams (a task holds its own sections only) and put them together."""
+def _merged(parts: DataFrame, merge: Callable, finish: Callable, size: int, raw: int | None = None) -> np.ndarray:
+    """Merge sections in streams (a task holds its own sections only) and put them together.
+
+    ``raw``: bytes before ``finish``, if not ``size``.
+    """
+    raw = raw or size
+
     def run(batches):
         kept: dict[int, tuple] = {}
         for pdf in batches:
@@ -81,7 +86,7 @@ def _merged(parts: DataFrame, merge: Callable, finish: Callable, size: int) -> n
         for section, state in kept.items():
             yield pd.DataFrame({"section": [section], "bytes": [zlib.compress(finish(state).tobytes(), 1)]})
 
-    merged = parts.repartition(MERGE_TASKS, "section").mapInPandas(run, "section int, bytes binary")
+    merged = parts.repartition(max(1, min(MERGE_TASKS, raw // SECTION)), "section").mapInPandas(run, "section int, bytes binary")
     out = np.zeros(size, dtype=np.uint8)
     width = None
     for row in merged.collect():  # bounded by the cap on the filter's size
@@ -145,7 +150,24 @@ def count_sketch(df: DataFrame, make_keys: Callable[[], Callable[[bytes], np.nda
 
     width = 1 << log2
     parts = df.mapInArrow(run, "section int, a0 binary")
-    return _merged(parts, merge, finish, width)
+    return _merged(parts, merge, finish, width, 4 * width)
+
+
+def key_filter(ids: DataFrame, log2: int, hashes: int) -> np.ndarray:
+    """Bloom filter of the values of the only column of ``ids`` (long)."""
+    def run(batches):
+        bits = np.zeros((1 << log2) // 8, dtype=np.uint8)
+        for batch in batches:
+            for pos in positions(id_keys(batch.column(0).to_numpy(zero_copy_only=False)), log2, hashes):
+                np.bitwise_or.at(bits, pos >> 3, _bits(pos))
+        yield from _sections(bits)
+
+    return _merged(ids.mapInArrow(run, "section int, a0 binary"), lambda old, new: new[0] if old is None else old | new[0],
+                   lambda bits: bits, (1 << log2) // 8)
+
+
+def id_keys(ids: np.ndarray) -> np.ndarray:
+    return mix(np.asarray(ids, dtype=np.int64).view(np.uint64))
 
 
 def bucket(keys: np.ndarray, log2: int) -> np.ndarray:

@@ -7,7 +7,7 @@ similar sets must share a shingle of their prefixes (Chaudhuri et al. 2006; Xiao
 
 1. texts with the same set become one node (a copy is never compared);
 2. prefix shingles that no second document holds are dropped (``repeat_filter`` has no
-   false negatives), and only nodes that keep one carry their set further;
+   false negatives); sets are cut again for the texts of candidate pairs only;
 3. *stars*: in every posting list all nodes are compared with one hub, the node whose
    shingles are commonest, once for each pair; verified links give components;
 4. *rest*: nodes outside their list's hub component are compared with the list's nodes of
@@ -36,7 +36,7 @@ from probity.llm.components import connected_components
 
 RANGES = 8
 PREFIX_HASHES = 4
-_SCHEMA = ("id long, digest binary, n long, score double, ranges array<int>, g array<long>, pos array<int>, shingles array<long>")
+_SCHEMA = ("id long, digest binary, n long, score double, ranges array<int>, g array<long>, pos array<int>")
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -52,7 +52,7 @@ def _ordered(shingler: Shingler, sketch: np.ndarray, log2: int, text: bytes):
 
 
 def _node_rows(batches, k, percent, log2, sketch, again):
-    """One row for each document; sets only where a prefix shingle may recur."""
+    """One row for each document; its prefix shingles that may recur."""
     shingler, seen = Shingler(k), set()
     for batch in batches:
         out = []
@@ -60,28 +60,24 @@ def _node_rows(batches, k, percent, log2, sketch, again):
             own, df = _ordered(shingler, sketch.value, log2, data)
             n = len(own)
             if n == 0:
-                out.append((id_, None, 0, None, None, None, None, None))
+                out.append((id_, None, 0, None, None, None, None))
                 continue
             digest = hashlib.blake2b(np.sort(own).tobytes(), digest_size=16).digest()
             prefix = own[:_prefix_length(n, percent)]
             keep = np.flatnonzero(filters.contains(again.value, prefix, PREFIX_HASHES)) if digest not in seen else ()
             if len(keep) == 0:
-                out.append((id_, digest, n, None, None, None, None, None))
+                out.append((id_, digest, n, None, None, None, None))
                 continue
             seen.add(digest)
             ranges = np.bincount((own & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES)
-            out.append((id_, digest, n, float(df.mean()), ranges.astype(np.int32), prefix[keep].view(np.int64),
-                        keep.astype(np.int32), own.view(np.int64)))
-            if len(out) >= 256:
-                yield _batch(out)
-                out = []
+            out.append((id_, digest, n, float(df.mean()), ranges.astype(np.int32), prefix[keep].view(np.int64), keep.astype(np.int32)))
         if out:
             yield _batch(out)
 
 
 def _batch(out):
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-    names = ["id", "digest", "n", "score", "ranges", "g", "pos", "shingles"]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["id", "digest", "n", "score", "ranges", "g", "pos"]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
 
@@ -94,8 +90,26 @@ def _may_link(x: str, y: str, percent: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (positional >= need) & (suffix >= need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets reach the threshold exactly, each checked once."""
+def _verified(pairs: DataFrame, base: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets reach the threshold exactly, each checked once.
+
+    Only texts whose id is in a Bloom filter of the pairs' ids are cut into sets again and
+    shuffle; one that is there by chance joins with no pair.
+    """
+    ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    log2 = filters.log2_bits(ids.count(), 16)
+    wanted = pairs.sparkSession.sparkContext.broadcast(filters.key_filter(ids, log2, PREFIX_HASHES))
+
+    def cut(batches):
+        shingler = Shingler(k)
+        for batch in batches:
+            keys = filters.id_keys(batch.column(0).to_numpy(zero_copy_only=False))
+            for i in np.flatnonzero(filters.contains(wanted.value, keys, PREFIX_HASHES)):
+                own = shingler.distinct(batch.column(1)[int(i)].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[int(i):int(i) + 1], pa.array([own.view(np.int64)], pa.list_(pa.int64()))],
+                                                 names=["node", "shingles"])
+
+    sets = materialise(base.where("id is not null").mapInArrow(cut, "node long, shingles array<long>"))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -108,9 +122,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     component_id is the smallest id reachable over links, the row's own included.  A null or
     empty text, or one without words, has an empty set, links with nothing and keeps its own
-    id; a text of fewer than k words is one shingle.  Rows are nodes: repeated rows are
-    copies, and equal ids with different texts are not linked for that.  A row whose id is
-    null gets its count and a null component, and links nothing.  Other columns are ignored.
+    id; a text of fewer than k words is one shingle.  Rows that repeat an id are one document
+    for reachability, each with its own count.  A row whose id is null gets its count and a
+    null component, and links nothing.  Other columns are ignored.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), as_bytes(text_col).alias("data"))
@@ -131,11 +145,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     again = spark.sparkContext.broadcast(filters.repeat_filter(known, prefix_keys, bits, PREFIX_HASHES))
     found = materialise(base.mapInArrow(lambda it: _node_rows(it, k, percent, log2, sketch, again), _SCHEMA))
 
-    payload = F.when(F.col("shingles").isNotNull(), F.struct("score", "ranges", "g", "pos", "shingles"))
+    payload = F.when(F.col("g").isNotNull(), F.struct("score", "ranges", "g", "pos"))
     nodes = materialise(found.where("id is not null and digest is not null").groupBy("digest")
                         .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first(payload, ignorenulls=True).alias("p"))
                         .select("digest", "node", "n", "p.*"))
-    sets = nodes.where("shingles is not null").select("node", "shingles")
 
     entry = F.struct("node", "n", "pos", "ranges")
     posted = (nodes.where("g is not null")
@@ -149,7 +162,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
 
     stars = materialise(posted.where("e.node <> h.node").where(_may_link("e", "h", percent)).select(*pair("e", "h")).distinct())
-    star_links = materialise(_verified(stars, sets, percent))
+    star_links = materialise(_verified(stars, base, k, percent))
     comp = materialise(connected_components(star_links))
 
     placed = (posted.join(comp.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("e.node") == F.col("_n"), "left")
@@ -158,11 +171,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = materialise(placed)
     out = placed.where("c <> hc").select("g", F.col("e").alias("x"), F.col("c").alias("cx"))
     every = placed.select("g", F.col("e").alias("y"), F.col("c").alias("cy"), (F.col("c") != F.col("hc")).alias("also_out"))
-    rest = (out.join(every, "g")
+    rest = materialise(out.join(every, "g")
             .where((F.col("cx") != F.col("cy")) & (~F.col("also_out") | (F.col("x.node") < F.col("y.node"))))
             .where(_may_link("x", "y", percent)).select(*pair("x", "y")).distinct()
             .join(stars, ["a", "b"], "left_anti"))
-    links = star_links.unionByName(_verified(rest, sets, percent))
+    links = star_links.unionByName(_verified(rest, base, k, percent))
     comp = connected_components(links)
 
     classes = (nodes.select("digest", "node").join(comp, "node", "left")
