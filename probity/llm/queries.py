@@ -17,6 +17,7 @@ from probity.llm.decontaminate import find_contamination
 from probity.llm.jaccard_join import jaccard_components
 from probity.llm.line_dedup import drop_repeated_lines
 from probity.llm.packing import pack_documents
+from probity.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +121,10 @@ SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 80 % of a benchmark item's 5-word shingles."""
     return find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated vote of the nearest labelled examples for every document."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return score_toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
