@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probity.llm import license_scan
+from probity.llm.ann import nearest_neighbours
 from probity.llm.decontaminate import find_contamination
+from probity.llm.html_text import extract_main_text
 from probity.llm.jaccard_join import jaccard_components
 from probity.llm.line_dedup import drop_repeated_lines
 from probity.llm.packing import pack_documents
@@ -128,3 +130,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated vote of the nearest labelled examples for every document."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return score_toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose vec_id is divisible by 100."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 100 == 0)
