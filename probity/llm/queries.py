@@ -19,6 +19,7 @@ from probity.llm.html_text import extract_main_text
 from probity.llm.jaccard_join import jaccard_components
 from probity.llm.line_dedup import drop_repeated_lines
 from probity.llm.packing import pack_documents
+from probity.llm.quotations import link_quotations
 from probity.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +144,9 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every vector whose vec_id is divisible by 100."""
     return nearest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 100 == 0)
+
+
+@query()
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations without quotes, with parents and reply order."""
+    return link_quotations(table(spark, sf_dir, "conversations"))
