@@ -20,6 +20,7 @@ from probity.llm.jaccard_join import jaccard_components
 from probity.llm.line_dedup import drop_repeated_lines
 from probity.llm.packing import pack_documents
 from probity.llm.quotations import link_quotations
+from probity.llm.substring_dedup import repeated_passages
 from probity.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +151,9 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations without quotes, with parents and reply order."""
     return link_quotations(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that recur in another document, with their class."""
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
