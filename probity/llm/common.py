@@ -40,6 +40,21 @@ def as_bytes(name: str):
     return F.coalesce(F.col(f"`{name}`").cast("binary"), F.lit(b"").cast("binary"))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id is not in the only column of ``ids``; rows with a null id stay."""
+    name = fresh_name(df, "_id")
+    gone = ids.toDF(name).where(f"`{name}` is not null").distinct()
+    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(f"`{name}`"), "left_anti")
+
+
 def total_bytes(df: DataFrame, text_col: str) -> int:
     """Sum of text lengths in bytes (one aggregate row comes back)."""
     return int(df.select(F.sum(F.octet_length(F.col(f"`{text_col}`"))).alias("b")).first()["b"] or 0)

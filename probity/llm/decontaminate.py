@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.llm.common import Shingler, as_bytes, rows, total_bytes
+from probity.llm.common import Shingler, as_bytes, rows, total_bytes, without_ids
 
 #: Bytes of benchmark text that one broadcast block stands for (its shingles take about 1.5 times that).
 BLOCK_BYTES = 32 << 20
@@ -138,5 +138,4 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without rows whose id holds a benchmark item; rows with a null id are judged not at all and stay."""
-    bad = find_contamination(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").cast("long") == F.col("_id"), "left_anti")
+    return without_ids(docs, id_col, find_contamination(docs, benchmark, id_col, text_col, **options).select(id_col))

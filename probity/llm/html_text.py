@@ -83,7 +83,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             return "part"
         if mark:
             return "in" if any(n == mark for n, _ in stack) else "out"
-        return next((n for n, _ in reversed(stack) if n != "p"), "none")
+        return next((n for n, _ in reversed(stack) if n != "p"), "p" if stack else "none")
 
     for m in _TOKEN.finditer(page):
         if skip is None and m.start() > at:

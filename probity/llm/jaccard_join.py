@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.llm import filters
-from probity.llm.common import Shingler, as_bytes, materialise, rows, total_bytes
+from probity.llm.common import Shingler, as_bytes, materialise, rows, total_bytes, without_ids
 from probity.llm.components import connected_components
 
 RANGES = 8
@@ -192,5 +192,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     all stay.  Columns are those of ``docs``.
     """
     comp = jaccard_components(docs, id_col, text_col, k, percent).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_c"), "n_shingles")
-    drop = comp.where("_id is not null and _c <> _id and n_shingles > 0").select("_id").distinct()
-    return docs.join(drop, F.col(f"`{id_col}`") == F.col("_id"), "left_anti")
+    return without_ids(docs, id_col, comp.where("_c <> _id and n_shingles > 0").select("_id"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from probity.llm import filters
-from probity.llm.common import as_bytes, materialise, rows, total_bytes
+from probity.llm.common import as_bytes, fresh_name, materialise, rows, total_bytes
 
 HASHES = 4
 BITS_PER_LINE = 16
@@ -76,7 +76,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids loses all its lines except in the largest id that holds it (there all of them stay).
     Null and empty texts are one empty line; a null text stays null.  Rows that repeat an id
     are one document for the count and are treated alike.  Rows whose id is null count for
-    no line and lose the lines that others' counts drop nowhere: they stay as they are.
+    no line and stay as they are.
     Columns named n_lines or n_dropped are replaced, all other columns pass through.
     """
     spark = docs.sparkSession
@@ -94,9 +94,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     without = pandas_udf(_without, "n_lines long, n_dropped long, kept binary")
     base = docs.drop("n_lines", "n_dropped")
+    own, drops, cut = (fresh_name(base, name) for name in ("_id", "_gone", "_cut"))
+    gone = gone.toDF(own, drops)
     text = F.col(f"`{text_col}`")
-    done = (base.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_id"), "left")
-            .withColumn("_cut", without(as_bytes(text_col), F.col("_gone"))))
-    cols = [F.coalesce(F.col("_cut.kept").cast("string"), text).alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns]
-    return done.select(*cols, F.col("_cut.n_lines").alias("n_lines"), F.col("_cut.n_dropped").alias("n_dropped"))
+    done = (base.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(own), "left")
+            .withColumn(cut, without(as_bytes(text_col), F.col(drops))))
+    cols = [F.coalesce(F.col(f"{cut}.kept").cast("string"), text).alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns]
+    return done.select(*cols, F.col(f"{cut}.n_lines").alias("n_lines"), F.col(f"{cut}.n_dropped").alias("n_dropped"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from probity.llm.common import materialise, rows
 
 #: Chunks whose ids a Python worker keeps; beyond that the store is emptied.
-CHUNK_STORE = 500_000
+CHUNK_STORE = 800_000
 _LONG_CHUNK = 64
 _RANK_BITS = 48
 #: White space for str.split but not for the tokenizer's pattern.
@@ -47,14 +47,29 @@ class ChunkTokenizer:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, missing: set[str]) -> None:
+        """Store chunks; a word with a mark behind it, or with capitals, is put together from its parts.
+
+        Letters and other signs never share a token, and the vocabulary folds case.
+        """
+        parts = {}
+        for chunk in missing:
+            low = chunk.lower() if chunk.isascii() else chunk
+            parts[chunk] = (low[:-1], low[-1]) if low[-1] in ".,;:!?" and low[-2:-1].isalpha() else (low,)
+        new = list({p for ps in parts.values() for p in ps}.difference(self.store))
+        self.store.update(zip(new, self._ids(new)))
+        self.store.update((chunk, b"".join(map(self.store.__getitem__, ps))) for chunk, ps in parts.items())
+        for chunk in new:
+            if len(chunk) > _LONG_CHUNK and chunk not in parts:
+                del self.store[chunk]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
         missing = set().union(*(c for c in chunks if c)).difference(self.store)
         if len(self.store) + len(missing) > CHUNK_STORE:
             self.store.clear()
             missing = set().union(*(c for c in chunks if c))
-        missing = list(missing)
-        self.store.update(zip(missing, self._ids(missing)))
+        self._learn(missing)
         out = [self._ids([t])[0] if c is None else b"".join(map(self.store.__getitem__, c)) for t, c in zip(texts, chunks)]
         for chunk in missing:
             if len(chunk) > _LONG_CHUNK:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probity.llm.common import materialise
+from probity.llm.common import fresh_name, materialise
 
 TURN_BLOCK = 1_024
 _MARK = r"^(?:[ \t]{0,3}>)+ ?"
@@ -129,6 +129,8 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
                       F.coalesce("max_level", F.lit(0)).alias("max_level"), (F.size(path) / 2).cast("long").alias("depth"),
                       F.concat(path, F.array("turn")).alias("reply_path")))
     base = messages.drop(*new)
+    conv, turn = fresh_name(base, "_conv"), fresh_name(base, "_turn")
+    placed = placed.withColumnsRenamed({"_conv": conv, "_turn": turn})
     cols = [own_text(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns]
-    return (base.join(placed, (F.col(f"`{conv_col}`") == F.col("_conv")) & (F.col(f"`{turn_col}`").cast("long") == F.col("_turn")), "left")
+    return (base.join(placed, (F.col(f"`{conv_col}`") == F.col(conv)) & (F.col(f"`{turn_col}`").cast("long") == F.col(turn)), "left")
             .select(*cols, *new))

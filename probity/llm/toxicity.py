@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.llm.common import materialise, rows
+from probity.llm.common import materialise, rows, without_ids
 from probity.llm.license_scan import words_of
 
 MAX_EXAMPLES = 32_768
@@ -254,5 +254,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without rows whose id is predicted toxic; rows with a null id stay."""
-    bad = score_toxicity(docs, labels, id_col, text_col, **options).where("predicted = 1").select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").cast("long") == F.col("_id"), "left_anti")
+    return without_ids(docs, id_col, score_toxicity(docs, labels, id_col, text_col, **options).where("predicted = 1").select(id_col))
