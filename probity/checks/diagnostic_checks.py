@@ -376,8 +376,14 @@ def fairness_ratios(spark, d):
 @register("smd_regression", with_views("""
 SELECT feature, cls, np AS n_protected, nr AS n_reference, round(mp, 6) AS mean_protected,
        round(mr, 6) AS mean_reference,
-       round((mp - mr) / sqrt(((ss - np * mp * mp) + ((t_ss - ss) - nr * mr * mr)) / (np + nr - 2)), 6) AS smd
-FROM (SELECT *, sel / np AS mp, (t_sel - sel) / nr AS mr FROM g) a""", "reg",
+       round((mp - mr) / sqrt(((np - 1) * vp + (nr - 1) * vr) / (np + nr - 2)), 6) AS smd
+FROM (SELECT c.feature, c.cls, count(*) FILTER (WHERE lg.cls = c.cls) AS np,
+             count(*) FILTER (WHERE lg.cls IS DISTINCT FROM c.cls) AS nr,
+             avg(pred) FILTER (WHERE lg.cls = c.cls) AS mp, avg(pred) FILTER (WHERE lg.cls IS DISTINCT FROM c.cls) AS mr,
+             var_samp(pred) FILTER (WHERE lg.cls = c.cls) AS vp,
+             var_samp(pred) FILTER (WHERE lg.cls IS DISTINCT FROM c.cls) AS vr
+      FROM (SELECT feature, cls FROM per WHERE cls IS NOT NULL) c JOIN lg ON lg.feature = c.feature
+      GROUP BY c.feature, c.cls) a""", "reg",
     ctes=_FAIR_LABELS.format(src="reg", tbl="reg", cols="yh AS pred, 0 AS y")))
 def smd_regression(spark, d):
     r = fx.reg(spark, d)

@@ -30,7 +30,7 @@ def _case_feature(col: str, key: str, val: str) -> str:
 # ------------------------------------------------------- permutation importance
 
 def _perm_grid():
-    combos = [(f, r) for f in _FEATS for r in range(1, 6)]
+    combos = [(f, r) for f in _FEATS for r in range(1, 11)]
     primes = explain._primes_above(explain._PERM_PRIME_BASE, len(combos))
     offs = [int(hashlib.md5(f"perm:0:{k}".encode()).hexdigest()[:7], 16) for k in range(len(combos))]
     return ", ".join(f"('{f}', {r}, {p}, {c})" for (f, r), p, c in zip(combos, primes, offs))
@@ -38,8 +38,7 @@ def _perm_grid():
 
 _PI = f"""
 {_TEST},
-nb AS (SELECT greatest(1, CAST(ceil(count(*) / 1000000.0) AS BIGINT)) AS nb FROM t),
-k AS (SELECT t.*, CAST(floor({H('id', 'pb:0')} * nb) AS INTEGER) AS b FROM t CROSS JOIN nb),
+k AS (SELECT t.*, 0 AS b FROM t),
 sz AS (SELECT b, count(*) AS m FROM k GROUP BY b),
 rv AS (SELECT k.*, row_number() OVER (PARTITION BY b ORDER BY {H('id', 'self:0')}, id) - 1 AS rn FROM k),
 fr AS (SELECT * FROM (VALUES {_perm_grid()}) g(f, r, p, c)),
@@ -60,7 +59,7 @@ SELECT feat AS feature, rep AS repeat, round(score, 6) AS score, round(base - sc
 FROM sc CROSS JOIN base""", "clf", ctes=_PI))
 def permutation_importance(spark, d):
     return rounded(explain.permutation_importance(_clf_test(spark, d), fx.clf_scorer(), _FEATS, "ACC",
-                                                  repeats=5, seed=0))
+                                                  repeats=10, seed=0))
 
 
 # ------------------------------------------------------------------ SHAP
@@ -305,7 +304,32 @@ def segment_rows(spark, d):
     return rounded(out.select("id", "leaf", "segment_accuracy", "rule"))
 
 
-@register("segment_gap")
+def _gap_rows(label: str, value: str) -> str:
+    """One metric's train and test value per segment."""
+    return (f"SELECT f1_bin, '{label}' AS metric, max(CASE WHEN split = 'train' THEN {value} END) AS train, "
+            f"max(CASE WHEN split = 'test' THEN {value} END) AS test FROM sc GROUP BY f1_bin")
+
+
+_SEGMENT_GAP = """
+ed AS (SELECT list_sort(list_distinct(quantile_cont(f1, [{q}]))) AS e FROM clf),
+sg AS (SELECT t.*, CASE WHEN f1 >= e[1] AND f1 <= e[len(e)] THEN len(list_filter(e[2:len(e) - 1], lambda x: x < f1)) + 1 END AS f1_bin
+       FROM clf t CROSS JOIN ed WHERE split IN ('train', 'test')),
+rk AS (SELECT *, rank() OVER (PARTITION BY f1_bin, split ORDER BY p)
+              + (count(*) OVER (PARTITION BY f1_bin, split, p) - 1) / 2.0 AS r FROM sg),
+sc AS (SELECT f1_bin, split, avg(CASE WHEN y = yh THEN 1.0 ELSE 0.0 END) AS acc,
+              2.0 * sum(CASE WHEN y = 1 AND yh = 1 THEN 1 ELSE 0 END)
+              / nullif(sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) + sum(CASE WHEN yh = 1 THEN 1 ELSE 0 END), 0) AS f1m,
+              (sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0)
+              / nullif(sum(y) * (count(*) - sum(y)), 0) AS auc
+       FROM rk GROUP BY f1_bin, split),
+gp AS ({rows})
+""".format(q=", ".join(repr(1.0 if i == 10 else i * 0.1) for i in range(11)),
+           rows=" UNION ALL ".join((_gap_rows("Accuracy", "acc"), _gap_rows("AUC", "auc"), _gap_rows("F1", "coalesce(f1m, 0)"))))
+
+
+@register("segment_gap", with_views("""
+SELECT f1_bin, metric, round(train, 6) AS train, round(test, 6) AS test, round(train - test, 6) AS gap, train - test > 0.05 AS overfit
+FROM gp""", "clf", ctes=_SEGMENT_GAP))
 def segment_gap(spark, d):
     from probity.operators.resilience import decile_bins
     c = decile_bins(fx.clf(spark, d), "f1", out="f1_bin")

@@ -14,13 +14,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.functions.hashing import gaussians, hash01
 from probity.functions.util import as_col, quote
 from probity.operators.metrics import LOWER_IS_BETTER, evaluate
 from probity.operators.scoring import Scorer, eval_kwargs
+from probity.plans.ordering import row_numbers
 from probity.plans.quantiles import exact_quantiles
 from probity.plans.reshape import bounded_broadcast, spread_for_fanout
 
@@ -54,15 +55,14 @@ _PERM_PRIME_BASE = 2 ** 31
 
 def permutation_importance(df: DataFrame, scorer: Scorer, features, metric: str = "ACC", y: str = "y",
                            id_col: str = "id", repeats: int = 10, seed: int = 0,
-                           bucket_rows: int = 1_000_000, n_rows: int | None = None) -> DataFrame:
+                           n_rows: int | None = None) -> DataFrame:
     """Score change when one feature is shuffled, every repeat kept.
 
-    Rows are spread over hash buckets of about ``bucket_rows`` rows and numbered
-    0..m−1 inside their bucket in a hash order (one window over the data).  The
-    shuffle of (feature, repeat) k is the bijection i → (P_k·i + C_k) mod m with P_k a
-    prime above 2^31 (so coprime with any bucket size): the row numbered i gives its
-    value to the row numbered π_k(i).  Only narrow (bucket, target, value) rows are
-    exploded and shuffled; the receivers are shuffled once, not once per repeat.
+    All n rows are numbered 0..n−1 in a hash order (``row_numbers``, distributed).  The
+    shuffle of (feature, repeat) k is the bijection i → (P_k·i + C_k) mod n with P_k a
+    prime above 2^31 and above n (so coprime with n): the row numbered i gives its value
+    to the row numbered π_k(i), wherever in the table that is.  Only narrow (target,
+    value) rows are exploded and shuffled.  ``id_col`` is distinct and not null.
     Returns (feature, repeat, score, importance); importance = base − score for
     higher-is-better metrics and score − base otherwise.
     """
@@ -71,26 +71,22 @@ def permutation_importance(df: DataFrame, scorer: Scorer, features, metric: str
     kw = eval_kwargs(scorer)
     base = evaluate(scorer.score(df), metric, y=y, **kw).select(F.col("value").alias("base"))
     n = n_rows if n_rows is not None else df.count()
-    nb = max(1, math.ceil(n / bucket_rows))
-    keyed = df.withColumn("_b", F.floor(hash01(id_col, salt=f"pb:{seed}") * F.lit(nb)).cast("int"))
-    sizes = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_m"))           # nb rows
-    w_self = Window.partitionBy("_b").orderBy(hash01(id_col, salt=f"self:{seed}"), as_col(id_col))
-    numbered = keyed.withColumn("_rn", (F.row_number().over(w_self) - F.lit(1)).cast("bigint"))
+    keyed = df.withColumn("_h01", hash01(id_col, salt=f"self:{seed}"))
+    numbered = row_numbers(keyed, "_h01", id_col, out="_rn").drop("_h01").withColumn("_rn", F.col("_rn") - F.lit(1))
     combos = [(f, r) for f in features for r in range(1, repeats + 1)]
-    primes = _primes_above(_PERM_PRIME_BASE, len(combos))
+    primes = _primes_above(max(_PERM_PRIME_BASE, n), len(combos))
+    wide = "decimal(38,0)" if n >= _PERM_PRIME_BASE else "bigint"   # P·i must not overflow
     offsets = [int(hashlib.md5(f"perm:{seed}:{k}".encode()).hexdigest()[:7], 16) for k in range(len(combos))]
     grid = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"), F.lit(p).cast("bigint").alias("p"),
                               F.lit(c).cast("bigint").alias("c"))
                      for (f, r), p, c in zip(combos, primes, offsets)])
     vals = F.create_map(*[x for f in features for x in (F.lit(f), as_col(f).cast("string"))])
-    donors = numbered.select("_b", "_rn", vals.alias("_vals")) \
-                     .join(bounded_broadcast(sizes, nb), "_b") \
-                     .select("_b", "_rn", "_m", "_vals", F.explode(grid).alias("_k")) \
-                     .select(F.col("_b").alias("_db"), F.col("_k.f").alias("_feat"), F.col("_k.r").alias("_rep"),
-                             F.pmod(F.col("_k.p") * F.col("_rn") + F.col("_k.c"), F.col("_m")).alias("_target"),
-                             F.col("_vals")[F.col("_k.f")].alias("_val"))
-    paired = numbered.join(donors, (numbered["_b"] == donors["_db"]) & (numbered["_rn"] == donors["_target"]),
-                           "inner").drop("_db", "_target")
+    target = F.pmod(F.col("_k.p").cast(wide) * F.col("_rn").cast(wide) + F.col("_k.c").cast(wide), F.lit(max(n, 1)).cast(wide))
+    donors = numbered.select("_rn", vals.alias("_vals")) \
+                     .select("_rn", "_vals", F.explode(grid).alias("_k")) \
+                     .select(F.col("_k.f").alias("_feat"), F.col("_k.r").alias("_rep"),
+                             target.cast("bigint").alias("_target"), F.col("_vals")[F.col("_k.f")].alias("_val"))
+    paired = numbered.join(donors, numbered["_rn"] == donors["_target"], "inner").drop("_target")
     shuffled = _replace_features(paired, features, "_feat", "_val", kinds)
     scores = evaluate(scorer.score(shuffled), metric, by=["_feat", "_rep"], y=y, **kw)
     sign = -1.0 if metric.upper() in LOWER_IS_BETTER else 1.0

@@ -37,8 +37,8 @@ def attribute_labels(df: DataFrame, attributes, edges_from: DataFrame | None = N
 
 
 def group_table(df: DataFrame, attributes, y="y", yh="yh", edges_from: DataFrame | None = None) -> DataFrame:
-    """Per (feature, class) and per feature total: n, selections, TP, FP, and the
-    sum / sum of squares of the prediction (N2, N7)."""
+    """Per (feature, class): n, selections, TP, FP with their feature totals, and count,
+    mean and squared deviations (n_pred, mean, m2) of the prediction (N2, N7)."""
     attributes = list(attributes)
     lab = attribute_labels(df, attributes, edges_from)
     pred, truth = as_col(yh).cast("double"), as_col(y)
@@ -48,9 +48,10 @@ def group_table(df: DataFrame, attributes, y="y", yh="yh", edges_from: DataFrame
     aggs = [F.count(F.lit(1)).alias("n"), F.sum("_p").alias("sel"),
             count_if((F.col("_p") == 1) & (F.col("_t") == 1)).alias("tp"),
             count_if((F.col("_p") == 1) & (F.col("_t") == 0)).alias("fp"),
-            F.sum(F.col("_p") * F.col("_p")).alias("ss")]
+            F.count("_p").alias("n_pred"), F.avg("_p").alias("mean"),
+            (F.var_pop("_p") * F.count("_p")).alias("m2")]
     per = long.groupBy("feature", "cls").agg(*aggs)
-    tot = per.groupBy("feature").agg(*[F.sum(c).alias(f"t_{c}") for c in ("n", "sel", "tp", "fp", "ss")])
+    tot = per.groupBy("feature").agg(*[F.sum(c).alias(f"t_{c}") for c in ("n", "sel", "tp", "fp")])
     return per.join(F.broadcast(tot), "feature")
 
 
@@ -78,16 +79,24 @@ def fairness_ratios(df: DataFrame, attributes, y="y", yh="yh", edges_from: DataF
 
 def standardized_mean_difference(df: DataFrame, attributes, yh="yh",
                                  edges_from: DataFrame | None = None) -> DataFrame:
-    """SMD of the prediction, protected vs everyone else, pooled std (n−1)."""
-    g = group_table(df.withColumn("_y0", F.lit(0)), attributes, "_y0", yh, edges_from).where(F.col("cls").isNotNull())
+    """SMD of the prediction, protected vs everyone else, pooled std (n−1).
+
+    Counts, means and squared deviations of the classes are merged around the mean of the
+    whole attribute: no sums of squares far from zero are subtracted, so predictions near
+    1e9 keep their digits.
+    """
+    g = group_table(df.withColumn("_y0", F.lit(0)), attributes, "_y0", yh, edges_from)
+    g = g.select("feature", "cls", F.col("n_pred").alias("n"), "mean", "m2").where("n > 0")
+    centre = g.groupBy("feature").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("centre"))
+    d = F.col("mean") - F.col("centre")
+    own = g.join(F.broadcast(centre), "feature").withColumn("d", d) \
+           .withColumn("ss", F.col("m2") + F.col("n") * F.col("d") * F.col("d"))   # around the centre
+    tot = own.groupBy("feature").agg(F.sum("n").alias("t_n"), F.sum(F.col("n") * F.col("d")).alias("t_d"), F.sum("ss").alias("t_ss"))
+    j = own.where(F.col("cls").isNotNull()).join(F.broadcast(tot), "feature")
     n_p, n_r = F.col("n"), F.col("t_n") - F.col("n")
-    s_p, s_r = F.col("sel"), F.col("t_sel") - F.col("sel")
-    q_p, q_r = F.col("ss"), F.col("t_ss") - F.col("ss")
-    m_p, m_r = safe_div(s_p, n_p), safe_div(s_r, n_r)
-    # (n-1)·var_samp = Σx² − n·mean²
-    ss_p = q_p - n_p * m_p * m_p
-    ss_r = q_r - n_r * m_r * m_r
-    pooled = F.sqrt(safe_div(ss_p + ss_r, n_p + n_r - F.lit(2)))
-    return g.select("feature", "cls", n_p.cast("bigint").alias("n_protected"), n_r.cast("bigint").alias("n_reference"),
-                    m_p.alias("mean_protected"), m_r.alias("mean_reference"),
-                    safe_div(m_p - m_r, pooled).alias("smd"))
+    d_r = safe_div(F.col("t_d") - n_p * F.col("d"), n_r)                     # other classes' mean − centre
+    ss_r = F.greatest(F.col("t_ss") - F.col("ss") - n_r * F.coalesce(d_r * d_r, F.lit(0.0)), F.lit(0.0))
+    pooled = F.sqrt(safe_div(F.col("m2") + ss_r, n_p + n_r - F.lit(2)))
+    return j.select("feature", "cls", n_p.cast("bigint").alias("n_protected"), n_r.cast("bigint").alias("n_reference"),
+                    F.col("mean").alias("mean_protected"), (F.col("centre") + d_r).alias("mean_reference"),
+                    safe_div(F.col("d") - d_r, pooled).alias("smd"))

@@ -23,6 +23,20 @@ def _by(by):
     return [by] if isinstance(by, str) else list(by or [])
 
 
+def join_groups(left: DataFrame, right: DataFrame, by) -> DataFrame:
+    """Inner join on the group columns, where a null group equals a null group.
+
+    Without group columns ``right`` is one row.  ``right`` has one row per group.
+    """
+    by = _by(by)
+    if not by:
+        return left.crossJoin(right)
+    keys = [f"__g{i}" for i in range(len(by))]
+    right = right.select(*[as_col(b).alias(k) for b, k in zip(by, keys)], *[as_col(c) for c in right.columns if c not in by])
+    cond = [as_col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)]
+    return left.join(right, cond, "inner").drop(*keys)
+
+
 # ---------------------------------------------------------------- binary counts
 
 def binary_counts(df: DataFrame, y="y", yh="yh", by=()) -> DataFrame:
@@ -112,7 +126,7 @@ def macro_metrics(df: DataFrame, y="y", yh="yh", by=()) -> DataFrame:
         F.avg("f1").alias("f1_macro"))
     acc = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
                               F.avg((as_col(y) == as_col(yh)).cast("double")).alias("accuracy"))
-    return acc.join(rep, by, "inner") if by else acc.crossJoin(rep)
+    return join_groups(acc, rep, by)
 
 
 # --------------------------------------------------------------- ordered metrics
@@ -142,8 +156,7 @@ def curve_points(df: DataFrame, y="y", p="p", by=()) -> DataFrame:
     by = _by(by)
     rs = running_sums(_pos_neg(df, y, p, by), "score", ["pos", "neg"], by, descending=True)
     tot = rs.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    out = rs.join(tot, by, "inner") if by else rs.crossJoin(tot)
-    return out.select(*by, F.col("score").alias("threshold"), "pos", "neg",
+    return join_groups(rs, tot, by).select(*by, F.col("score").alias("threshold"), "pos", "neg",
                       F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"), "P", "N",
                       F.col("next_score"))
 
@@ -160,7 +173,7 @@ def roc_curve(df: DataFrame, y="y", p="p", by=(), drop_intermediate: bool = True
     if drop_intermediate:
         nxt = pts.select(*by, F.col("threshold").alias("_t2"), F.col("pos").alias("_pos2"),
                          F.col("neg").alias("_neg2"))
-        cond = [pts[b] == nxt[b] for b in by] + [pts["next_score"] == nxt["_t2"]]
+        cond = [pts[b].eqNullSafe(nxt[b]) for b in by] + [pts["next_score"] == nxt["_t2"]]
         j = pts.join(nxt, cond, "left").select(pts["*"], "_pos2", "_neg2")
         first = j["tps"] == j["pos"]
         first = first & (j["fps"] == j["neg"])

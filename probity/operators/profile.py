@@ -106,50 +106,25 @@ def binned_pairs(df: DataFrame, x: str, y: str, nx: int = 10, ny: int = 10) -> D
     return b.groupBy("bin_x", "bin_y").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
 
 
-WIDE_PAIRS = 500
-
-
-def pearson_matrix(df: DataFrame, cols=None, wide_pairs: int = WIDE_PAIRS) -> DataFrame:
+def pearson_matrix(df: DataFrame, cols=None) -> DataFrame:
     """Pairwise-complete Pearson r for every pair a < b (P9), null for a constant column.
 
-    Uses the stable ``covar_pop``/``var_pop`` aggregates on the rows where both are
-    present; one aggregation pass for all pairs.  Above ``wide_pairs`` pairs (about
-    32 columns) the per-pair expressions would swamp code generation, so the matrix
-    comes from ``ml.stat.Correlation`` on assembled vectors instead (rows with a null
-    in any of the columns are left out there, not pairwise).
+    One pass: each row goes out once per pair and meets the stable ``covar_pop`` /
+    ``var_pop`` aggregates on the map side, so one row per pair and task is shuffled.
+    The rule and the plan are the same at every width.
     """
-    cols = cols or numeric_columns(df)
-    if len(cols) * (len(cols) - 1) // 2 > wide_pairs:
-        return _pearson_wide(df, cols)
-    exprs = []
-    pairs = []
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            ca, cb = as_col(a).cast("double"), as_col(b).cast("double")
-            both = ca.isNotNull() & cb.isNotNull()
-            xa, xb = F.when(both, ca), F.when(both, cb)
-            k = len(pairs)
-            exprs += [F.covar_pop(xa, xb).alias(f"_cv{k}"), F.var_pop(xa).alias(f"_va{k}"),
-                      F.var_pop(xb).alias(f"_vb{k}")]
-            pairs.append((a, b))
-    if not pairs:
+    cols = list(cols or numeric_columns(df))
+    if len(cols) < 2:
         raise ValueError("pearson_matrix needs at least two numeric columns")
-    agg = df.agg(*exprs)
-    rows = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                     F.try_divide(F.col(f"_cv{k}"), F.sqrt(F.col(f"_va{k}") * F.col(f"_vb{k}"))).alias("r"))
-            for k, (a, b) in enumerate(pairs)]
-    return agg.select(F.explode(F.array(*rows)).alias("_p")).select("_p.*")
-
-
-def _pearson_wide(df: DataFrame, cols) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip").transform(
-        df.select(*[as_col(c).cast("double").alias(c) for c in cols]))
-    mat = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()   # k × k: schema-sized
-    rows = [(a, b, None if mat[i, j] != mat[i, j] else float(mat[i, j]))
-            for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i]
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
+    values = df.select(F.array(*[as_col(c).cast("double") for c in cols]).alias("_v"))
+    first = values.select("_v", F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 2))).alias("_i"))
+    pairs = first.select("_v", "_i", F.explode(F.sequence(F.col("_i") + 1, F.lit(len(cols) - 1))).alias("_j"))
+    xa, xb = F.col("_v")[F.col("_i")], F.col("_v")[F.col("_j")]
+    both = pairs.select("_i", "_j", xa.alias("_a"), xb.alias("_b")).where("_a is not null and _b is not null")
+    agg = both.groupBy("_i", "_j").agg(F.try_divide(F.covar_pop("_a", "_b"), F.sqrt(F.var_pop("_a") * F.var_pop("_b"))).alias("r"))
+    names = df.sparkSession.createDataFrame([(i, j, a, cols[j]) for i, a in enumerate(cols) for j in range(i + 1, len(cols))],
+                                            "_i int, _j int, feature_a string, feature_b string")
+    return names.join(agg, ["_i", "_j"], "left").select("feature_a", "feature_b", "r")
 
 
 def correlated_pairs(df: DataFrame, cols=None, threshold: float = 0.8) -> DataFrame:

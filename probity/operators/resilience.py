@@ -200,7 +200,7 @@ def worst_cluster(df: DataFrame, features, k: int, metric: str = "AUC", n_init:
     score per cluster, worst first (K3, K4).  Lower-is-better metrics pick the highest."""
     features = list(features)
     z = standardize(df, features)
-    vec = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(z)
+    vec = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="error").transform(z)
     vec = vec.cache()
     best, best_cost = None, None
     for s in range(n_init):

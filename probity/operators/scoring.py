@@ -52,14 +52,16 @@ class Scorer:
         else:
             if "probability" in out.columns:
                 out = out.withColumn("probs", vector_to_array(F.col("probability")))
-            else:  # one-vs-rest without probabilities: normalise the raw scores
+            else:  # one-vs-rest boosted trees: each margin through its sigmoid (MLlib's 2x margin), then normalised
                 raw = vector_to_array(F.col("rawPrediction"))
-                out = out.withColumn("probs", F.transform(raw, lambda x: F.exp(x))) \
+                out = out.withColumn("probs", F.transform(raw, lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * x)))) \
                          .withColumn("probs", F.transform("probs", lambda x: x / F.aggregate(
                              F.col("probs"), F.lit(0.0), lambda a, b: a + b)))
             out = out.withColumn("yh", F.col("prediction").cast("int"))
             if self.n_classes <= 2:
                 out = out.withColumn("p", F.element_at("probs", 2))
+                if self.threshold != 0.5:
+                    out = out.withColumn("yh", (F.col("p") >= F.lit(self.threshold)).cast("int"))
         helper = [c for c in ("features", "rawPrediction", "probability", "prediction", "_features")
                   if c in out.columns and c not in df.columns]
         return out.drop(*helper)

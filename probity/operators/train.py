@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.functions.util import as_col
-from probity.operators.metrics import auc, auc_ovr, binary_metrics, macro_metrics, regression_metrics
+from probity.operators.metrics import auc, auc_ovr, binary_metrics, join_groups, macro_metrics, regression_metrics
 from probity.operators.scoring import Scorer
 
 FEATURES_COL = "_features"
@@ -102,7 +102,8 @@ def make_estimator(name: str, task: str, n_features: int, n_classes: int = 2, pa
 
 def make_pipeline(name: str, task: str, features, n_classes: int = 2, params: dict | None = None,
                   weight_col: str | None = None) -> Pipeline:
-    asm = VectorAssembler(inputCols=list(features), outputCol=FEATURES_COL, handleInvalid="skip")
+    # a null or NaN feature raises: impute or drop rows first (clean.*), never silently here
+    asm = VectorAssembler(inputCols=list(features), outputCol=FEATURES_COL, handleInvalid="error")
     return Pipeline(stages=[asm, make_estimator(name, task, len(features), n_classes, params, weight_col)])
 
 
@@ -143,12 +144,12 @@ def leaderboard(scored: DataFrame, task: str, n_classes: int = 2, y: str = "y",
     if n_classes <= 2:
         m = binary_metrics(scored, y, "yh", None, by="model")
         a = auc(scored, y, "p", by="model").select("model", F.col("auc").alias("AUC"))
-        return m.join(a, "model").select("model", F.col("accuracy").alias("Accuracy"),
+        return join_groups(m, a, "model").select("model", F.col("accuracy").alias("Accuracy"),
                                          F.col("precision").alias("Precision"), F.col("recall").alias("Recall"),
                                          F.col("f1").alias("F1"), "AUC")
     m = macro_metrics(scored, y, "yh", by="model")
     a = auc_ovr(scored, y, "probs", by="model").groupBy("model").agg(F.avg("auc").alias("AUC"))
-    return m.join(a, "model").select("model", F.col("accuracy").alias("Accuracy"),
+    return join_groups(m, a, "model").select("model", F.col("accuracy").alias("Accuracy"),
                                      F.col("precision_macro").alias("Precision"),
                                      F.col("recall_macro").alias("Recall"), F.col("f1_macro").alias("F1"), "AUC")
 

@@ -29,9 +29,12 @@ def correctness(df: DataFrame, y: str = "y", yh: str = "yh", tolerance: float |
 
 
 def segment_tree(df: DataFrame, features, ok: str = "ok", max_depth: int = 3, seed: int = 1):
-    """Fit an entropy tree of depth 3 on 1-2 features against the correctness flag (L2)."""
+    """Fit an entropy tree of depth 3 on 1-2 features against the correctness flag (L2).
+
+    A null or NaN feature raises, so that no row is left without a segment unseen.
+    """
     features = list(features)
-    asm = VectorAssembler(inputCols=features, outputCol="_seg_x", handleInvalid="skip")
+    asm = VectorAssembler(inputCols=features, outputCol="_seg_x", handleInvalid="error")
     data = asm.transform(df)
     tree = DecisionTreeClassifier(featuresCol="_seg_x", labelCol=ok, impurity="entropy", maxDepth=max_depth,
                                   seed=seed, leafCol="leaf", predictionCol="_seg_pred",

@@ -126,3 +126,14 @@ def test_time_slice_drift(spark):
     out = res.time_slice_drift(df, "ts", ["f1"], "1 day", metric="ACC", yh="yh").collect()
     assert sum(r["n"] for r in out) == 60
     assert all(r["score"] == 0.0 for r in out)
+
+
+def test_smd_far_from_zero(spark):
+    rng = np.random.default_rng(3)
+    v, g = 1e9 + rng.normal(size=400), rng.integers(0, 3, 400)
+    df = spark.createDataFrame([(f"g{b}", float(a)) for a, b in zip(v, g)], "g string, yh double")
+    for r in fairness.standardized_mean_difference(df, ["g"], "yh").collect():
+        mine = v[g == int(r["cls"][1:])]
+        rest = v[g != int(r["cls"][1:])]
+        pooled = np.sqrt((((mine - mine.mean()) ** 2).sum() + ((rest - rest.mean()) ** 2).sum()) / (len(v) - 2))
+        assert abs(r["smd"] - (mine.mean() - rest.mean()) / pooled) < 1e-5

@@ -25,8 +25,7 @@ def _run_all(df):
         "roc": sorted(metrics.roc_curve(df).collect()),
         "psi": resilience.psi(both, ["x1", "x2"]).orderBy("feature").collect(),
         "worst": sorted(r["id"] for r in resilience.worst_samples(res, 0.2).collect()),
-        "perm": sorted(explain.permutation_importance(df, sc, ["x1", "x2"], "ACC", repeats=2,
-                                                      bucket_rows=50).collect()),
+        "perm": sorted(explain.permutation_importance(df, sc, ["x1", "x2"], "ACC", repeats=2).collect()),
         "robust": sorted(robust.robustness_runs(df.select("id", "x1", "x2", "y"), sc, ["x1", "x2"], metric="ACC",
                                                 sizes=(0.1,), iterations=2).collect()),
         "pv": sorted(reliability.conformal_pvalues(

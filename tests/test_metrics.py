@@ -151,3 +151,13 @@ def test_empty_table(spark):
     assert m.binary_metrics(df).count() == 1
     r = m.auc(df).collect()
     assert len(r) == 1 and r[0]["auc"] is None
+
+
+def test_null_group_is_kept(spark):
+    rows = [(g, int(i % 2), i / 20.0, int(i > 10)) for g in ("a", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "g string, y int, p double, yh int")
+    for out in (m.auc(df, by="g"), m.average_precision(df, by="g"), m.ks_statistic(df, by="g"), m.macro_metrics(df, by="g")):
+        assert {r["g"] for r in out.collect()} == {"a", None}
+    for out in (m.roc_curve(df, by="g"), m.pr_curve(df, by="g")):
+        got = out.collect()
+        assert sum(r["g"] is None for r in got) == sum(r["g"] == "a" for r in got) > 2

@@ -54,7 +54,7 @@ def test_sampled_shap_efficiency(spark, data):
 
 def test_permutation_importance_keeps_rows(spark, data):
     test = data.where("split = 'test'")
-    perm = explain.permutation_importance(test, _scorer(), ["x1", "x2", "x3"], "ACC", repeats=3, bucket_rows=30)
+    perm = explain.permutation_importance(test, _scorer(), ["x1", "x2", "x3"], "ACC", repeats=3)
     got = {(r["feature"], r["repeat"]): r for r in perm.collect()}
     assert len(got) == 9
     assert all(abs(got[("x3", r)]["importance"]) < 1e-12 for r in (1, 2, 3))

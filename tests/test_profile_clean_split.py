@@ -120,11 +120,16 @@ def test_sources_csv_and_ids(spark, tmp_path):
     assert files.catalog(spark).count() == len(files.CATALOG)
 
 
-def test_pearson_wide_branch_agrees(spark):
+def test_pearson_same_rule_at_every_width(spark):
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(200, 5))
-    df = spark.createDataFrame([tuple(float(v) for v in row) for row in x], "a double, b double, c double, d double, e double")
-    narrow = {(r["feature_a"], r["feature_b"]): r["r"] for r in profile.pearson_matrix(df).collect()}
-    wide = {(r["feature_a"], r["feature_b"]): r["r"] for r in profile.pearson_matrix(df, wide_pairs=1).collect()}
-    assert narrow.keys() == wide.keys()
-    assert all(math.isclose(narrow[k], wide[k], abs_tol=1e-9) for k in narrow)
+    x = rng.normal(size=(120, 40))
+    x[rng.uniform(size=x.shape) < 0.1] = np.nan
+    cols = [f"c{i}" for i in range(40)]
+    df = spark.createDataFrame([tuple(None if v != v else float(v) for v in row) for row in x],
+                               ", ".join(f"{c} double" for c in cols))
+    got = {(r["feature_a"], r["feature_b"]): r["r"] for r in profile.pearson_matrix(df).collect()}
+    assert len(got) == 780
+    for (a, b), r in list(got.items())[::13]:
+        u, v = x[:, int(a[1:])], x[:, int(b[1:])]
+        both = ~(np.isnan(u) | np.isnan(v))
+        assert math.isclose(r, np.corrcoef(u[both], v[both])[0, 1], abs_tol=1e-9)
