@@ -28,6 +28,10 @@ FEATURES_COL = "_features"
 # Default settings of the reference's model menu, mapped to MLlib parameters.
 CLASSIFIERS = ("logistic", "tree", "forest", "gbm", "lightgbm", "xgboost", "mlp")
 REGRESSORS = ("linear", "tree", "forest", "gbm", "lightgbm", "xgboost")
+# Override names of the model menu and the MLlib parameters they set.
+PARAM_NAMES = {"max_depth": "maxDepth", "learning_rate": "stepSize", "max_iter": "maxIter", "subsample": "subsamplingRate",
+               "colsample_bytree": "featureSubsetStrategy", "fit_intercept": "fitIntercept", "hidden_layer_sizes": "hidden",
+               "random_state": "seed"}
 
 
 def class_weights(df: DataFrame, y: str = "y", out: str = "weight") -> DataFrame:
@@ -48,19 +52,43 @@ def parse_layers(text) -> list[int]:
     return [int(x) for x in str(text).replace(" ", "").split(",") if x]
 
 
+def map_params(name: str, params: dict | None) -> dict:
+    """Overrides under their scikit-learn style names as MLlib parameters; MLlib names pass through.
+
+    ``min_samples_split`` becomes half of it per leaf, the nearest rule MLlib has;
+    ``class_weight`` and ``C`` stay, as they need the training rows.
+    """
+    out = {}
+    for key, value in (params or {}).items():
+        if key == "min_samples_split":
+            out["minInstancesPerNode"] = max(1, -(-int(value) // 2))
+        elif key == "n_estimators":
+            out["numTrees" if name == "forest" else "maxIter"] = int(value)
+        else:
+            out[PARAM_NAMES.get(key, key)] = str(value) if key == "colsample_bytree" else value
+    return out
+
+
 def make_estimator(name: str, task: str, n_features: int, n_classes: int = 2, params: dict | None = None,
-                   weight_col: str | None = None):
-    """Estimator for a model name with the reference defaults (F1-F12), params overridden."""
-    p = dict(params or {})
+                   weight_col: str | None = None, n_rows: int | None = None):
+    """Estimator for a model name with the reference defaults (F1-F12), params overridden.
+
+    Logistic regression minimises |w|^2 / 2 + C * sum of row losses; MLlib takes the mean
+    loss, so ``C`` needs the number of training rows unless ``regParam`` is given.
+    """
+    p = map_params(name, params)
+    p.pop("class_weight", None)
     fc, lc = FEATURES_COL, "label"
     if task == "classification":
         if name == "logistic":
-            # C=1 with l2 → regParam = 1/(C·n) is data-size dependent; the caller may pass it
+            c = p.pop("C", 1.0)
+            if "regParam" not in p and not n_rows:
+                raise ValueError("logistic regression needs n_rows (for C) or regParam")
             est = LogisticRegression(featuresCol=fc, labelCol=lc, maxIter=p.pop("maxIter", 1000),
-                                     regParam=p.pop("regParam", 0.0), elasticNetParam=0.0,
-                                     weightCol=weight_col or "", family="auto")
-            if not weight_col:
-                est.clear(est.weightCol)
+                                     regParam=p.pop("regParam") if "regParam" in p else 1.0 / (c * n_rows),
+                                     elasticNetParam=0.0, standardization=False, family="auto")
+            if weight_col:
+                est.setWeightCol(weight_col)
         elif name == "tree":
             est = DecisionTreeClassifier(featuresCol=fc, labelCol=lc, impurity="gini", maxDepth=5,
                                          minInstancesPerNode=p.pop("minInstancesPerNode", 10), seed=0)
@@ -73,6 +101,8 @@ def make_estimator(name: str, task: str, n_features: int, n_classes: int = 2, pa
             if name == "xgboost":
                 kw.update(subsamplingRate=0.8, featureSubsetStrategy="0.8")
             gbt = GBTClassifier(featuresCol=fc, labelCol=lc, **kw)
+            if n_classes > 2:  # overrides are the inner model's
+                gbt, p = gbt.copy({gbt.getParam(k): v for k, v in p.items()}), {}
             est = gbt if n_classes <= 2 else OneVsRest(classifier=gbt, featuresCol=fc, labelCol=lc)
         elif name == "mlp":
             layers = [n_features] + parse_layers(p.pop("hidden", [100])) + [max(n_classes, 2)]
@@ -83,7 +113,8 @@ def make_estimator(name: str, task: str, n_features: int, n_classes: int = 2, pa
         if name == "linear":
             est = LinearRegression(featuresCol=fc, labelCol=lc)
         elif name == "tree":
-            est = DecisionTreeRegressor(featuresCol=fc, labelCol=lc, maxDepth=5, seed=0)
+            est = DecisionTreeRegressor(featuresCol=fc, labelCol=lc, maxDepth=5,
+                                        minInstancesPerNode=p.pop("minInstancesPerNode", 10), seed=0)
         elif name == "forest":
             est = RandomForestRegressor(featuresCol=fc, labelCol=lc, numTrees=100, maxDepth=5, seed=0)
         elif name in ("gbm", "lightgbm", "xgboost"):
@@ -101,17 +132,28 @@ def make_estimator(name: str, task: str, n_features: int, n_classes: int = 2, pa
 
 
 def make_pipeline(name: str, task: str, features, n_classes: int = 2, params: dict | None = None,
-                  weight_col: str | None = None) -> Pipeline:
+                  weight_col: str | None = None, n_rows: int | None = None) -> Pipeline:
     # a null or NaN feature raises: impute or drop rows first (clean.*), never silently here
     asm = VectorAssembler(inputCols=list(features), outputCol=FEATURES_COL, handleInvalid="error")
-    return Pipeline(stages=[asm, make_estimator(name, task, len(features), n_classes, params, weight_col)])
+    return Pipeline(stages=[asm, make_estimator(name, task, len(features), n_classes, params, weight_col, n_rows)])
+
+
+def _fit_one(data: DataFrame, name: str, task: str, features, n_classes: int, params: dict | None) -> PipelineModel:
+    """Fit on rows with a ``label``; logistic regression gets its C and balanced weights."""
+    if task != "classification" or name != "logistic":
+        return make_pipeline(name, task, features, n_classes, params).fit(data)
+    weight = None
+    if (params or {}).get("class_weight", "balanced") == "balanced":
+        weight = "_weight"
+        data = class_weights(data, "label", weight)
+    return make_pipeline(name, task, features, n_classes, params, weight, data.count()).fit(data)
 
 
 def fit(df: DataFrame, name: str, task: str, features, y: str = "y", n_classes: int = 2,
         params: dict | None = None) -> PipelineModel:
     """Fit one model on ``df``."""
     data = df.withColumn("label", as_col(y).cast("double"))
-    return make_pipeline(name, task, features, n_classes, params).fit(data)
+    return _fit_one(data, name, task, features, n_classes, params)
 
 
 def train_models(train: DataFrame, test: DataFrame, names, task: str, features, y: str = "y",
@@ -124,7 +166,7 @@ def train_models(train: DataFrame, test: DataFrame, names, task: str, features,
     train = train.withColumn("label", as_col(y).cast("double")).cache()
     models, scored = {}, None
     for name in names:
-        model = make_pipeline(name, task, features, n_classes, params.get(name)).fit(train)
+        model = _fit_one(train, name, task, features, n_classes, params.get(name))
         models[name] = model
         s = Scorer(model=model, task=task, n_classes=n_classes).score(test)
         keep = [id_col, y, "yh"] + (["p"] if task == "classification" and n_classes <= 2 else []) + \

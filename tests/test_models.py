@@ -118,6 +118,32 @@ def test_training_and_leaderboard(spark, data):
     assert train.parse_layers("100, 50") == [100, 50]
 
 
+def test_logistic_is_the_balanced_l2_optimum(spark, data):
+    """At the optimum of |w|^2 / 2 + C * sum of weighted log losses every gradient component is 0."""
+    rare = data.where("y = 0 or x3 < 2")
+    for c in (1.0, 0.05):
+        m = train.fit(rare, "logistic", "classification", ["x1", "x2"], params={"C": c}).stages[-1]
+        x = np.array([(r["x1"], r["x2"], r["y"]) for r in rare.collect()])
+        y, w, b = x[:, 2], np.array(m.coefficients), m.intercept
+        weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+        p = 1 / (1 + np.exp(-(x[:, :2] @ w + b)))
+        assert np.allclose(w + c * (weight * (p - y)) @ x[:, :2], 0, atol=0.05)
+        assert abs((weight * (p - y)).sum()) < 0.05
+
+
+def test_overrides_under_menu_names(spark, data):
+    three = data.withColumn("y3", F.col("x3").cast("int") % 3)
+    m = train.fit(three, "gbm", "classification", ["x1", "x2", "x3"], y="y3", n_classes=3,
+                  params={"n_estimators": 2, "max_depth": 2, "learning_rate": 0.3})
+    inner = m.stages[-1].models[0]
+    assert (inner.getNumTrees, inner.getOrDefault("maxDepth"), inner.getOrDefault("stepSize")) == (2, 2, 0.3)
+    tree = train.make_estimator("tree", "regression", 3, params={"min_samples_split": 30})
+    assert tree.getMinInstancesPerNode() == 15
+    assert train.make_estimator("forest", "regression", 3, params={"n_estimators": 7}).getNumTrees() == 7
+    with pytest.raises(ValueError):
+        train.make_estimator("logistic", "classification", 3)
+
+
 def test_save_model(spark, data, tmp_path):
     m = train.fit(data, "tree", "classification", ["x1", "x2"])
     meta = train.save_model(m, str(tmp_path / "m"), "tree", {"AUC": 0.8})
