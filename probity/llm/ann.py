@@ -4,9 +4,11 @@ The tree is fitted on a bounded sample; every row is placed in its leaf by a Spa
 A query walks the tree with a priority queue of centroid distances and visits leaves in
 that order.  How many leaves are visited is calibrated: for a bounded set of queries the
 exact neighbours are found by a full scan, and the width is the smallest at which the wanted
-share of them lies in visited leaves.  Leaves are searched in blocks of bounded size, so a
-leaf that holds a third of all rows is many tasks' work, and copies of one vector beyond the
-k + 1 smallest ids, which can be in no answer, are left out before.
+share of them lies in visited leaves.  Neighbouring leaves make up a fixed number of cells;
+a query asks a cell once, for the leaves it visits there, and gets back k rows at most.  Cells
+are searched in blocks of bounded size, against bounded parts of the queries, so a leaf that
+holds a third of all rows is many tasks' work.  Copies of one vector beyond the k + 1 smallest
+ids, which can be in no answer, are left out before.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ CALIBRATION_QUERIES = 128
 TARGET_RECALL = 0.98
 BRANCH = 8
 LEAF_FIT_ROWS = 40
-BLOCK_ROWS = 4_096
+CELLS = 32
+BLOCK_ROWS = 32_768
+PART_QUERIES = 16_384
 _ROUNDS = 8
 
 
@@ -112,6 +116,17 @@ def _top(queries: np.ndarray, query_ids, points: np.ndarray, ids: np.ndarray, k:
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
+def cells_of(rows_of_leaf: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """leaf -> cell (leaves in tree order, about equal rows to a cell) and cell -> number of its blocks."""
+    total, before = sum(rows_of_leaf.values()), 0
+    cell, held = {}, {}
+    for leaf, n in sorted(rows_of_leaf.items()):
+        cell[leaf] = c = before * CELLS // total
+        held[c] = held.get(c, 0) + n
+        before += n
+    return cell, {c: -(-n // BLOCK_ROWS) for c, n in held.items()}
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -180,27 +195,44 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vec
     depth = sorted(order[r["query_id"]][r["leaf"]] + 1 for r in exact) or [1]
     width = depth[min(len(depth) - 1, math.ceil(target_recall * len(depth)) - 1)]
 
-    # the blocks of every leaf: bounded by the tree, whatever the rows
-    blocks = {r["leaf"]: -(-r["n"] // BLOCK_ROWS) for r in points.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    shared_blocks = spark.sparkContext.broadcast(blocks)
+    # bounded by the tree, whatever the rows
+    grid = spark.sparkContext.broadcast(cells_of({r["leaf"]: r["n"] for r in points.groupBy("leaf").agg(F.count("*").alias("n")).collect()}))
+    parts = -(-queries.count() // PART_QUERIES)
 
     def spread(batches):
+        cell, blocks = grid.value
         for pdf in batches:
-            n = pdf["leaf"].map(shared_blocks.value).to_numpy()
-            yield pdf.assign(block=pdf["id"].to_numpy() % n)
+            at = pdf["leaf"].map(cell)
+            yield pdf.assign(cell=at, block=pdf["h"].to_numpy() % at.map(blocks).to_numpy())[["id", "v", "leaf", "cell", "block", "part"]]
 
     def ask(batches):
+        cell, blocks = grid.value
         for pdf in batches:
-            asked = [(i, v, leaf, b) for i, v in zip(pdf["id"], pdf["v"]) for leaf in shared.value.visit(np.asarray(v), width)
-                     for b in range(shared_blocks.value.get(leaf, 0))]
-            yield pd.DataFrame(asked, columns=["query_id", "q", "leaf", "block"])
+            asked = []
+            for i, v, part in zip(pdf["id"], pdf["v"], pdf["part"]):
+                wanted: dict[int, list[int]] = {}
+                for leaf in shared.value.visit(np.asarray(v), width):
+                    if leaf in cell:
+                        wanted.setdefault(cell[leaf], []).append(leaf)
+                asked += [(i, v, sorted(leaves), c, b, part) for c, leaves in wanted.items() for b in range(blocks[c])]
+            yield pd.DataFrame(asked, columns=["query_id", "q", "leaves", "cell", "block", "part"])
 
     def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(held):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return _top(_matrix(asked["q"]), asked["query_id"], _matrix(held["v"]), held["id"].to_numpy(), k)
-
-    held = points.mapInPandas(spread, "id long, v array<double>, leaf long, block long").groupBy("leaf", "block")
-    asked = queries.mapInPandas(ask, "query_id long, q array<double>, leaf long, block long").groupBy("leaf", "block")
+        found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
+        if len(held):
+            held = held.sort_values("leaf", kind="stable")
+            points, ids, leaf = _matrix(held["v"]), held["id"].to_numpy(), held["leaf"].to_numpy()
+            for i, q, leaves in zip(asked["query_id"], asked["q"], asked["leaves"]):
+                rows = np.flatnonzero(np.isin(leaf, leaves))
+                if len(rows):
+                    found.append(_top(np.asarray(q)[None, :], [i], points[rows], ids[rows], k))
+        return pd.concat([f for f in found if len(f)] or found[:1])
+
+    part = F.pmod(F.xxhash64("id"), F.lit(parts))
+    key = ["cell", "block", "part"]
+    held = (points.select("id", "v", "leaf", F.xxhash64(F.lit("block"), "id").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+            .mapInPandas(spread, "id long, v array<double>, leaf long, cell long, block long, part long").groupBy(*key))
+    asked = (queries.select("id", "v", part.cast("long").alias("part"))
+             .mapInPandas(ask, "query_id long, q array<double>, leaves array<long>, cell long, block long, part long").groupBy(*key))
     found = asked.cogroup(held).applyInPandas(search, "query_id long, vec_id long, score double")
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

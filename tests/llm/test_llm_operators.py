@@ -232,6 +232,25 @@ def test_nearest_neighbours(spark):
     assert ann.nearest_neighbours(df.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+def test_nearest_neighbours_over_many_blocks_and_query_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(ann, "PART_QUERIES", 4)
+    vs = np.random.default_rng(8).normal(size=(500, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vs)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in sorted(ann.nearest_neighbours(df, lambda i: i % 50 == 0, target_recall=1.0).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append(r["vec_id"])
+    assert sorted(got) == list(range(0, 500, 50))
+    hit = 0
+    for q, found in got.items():
+        d = np.sqrt(((vs - vs[q]) ** 2).sum(axis=1))
+        assert len(set(found)) == 10 and q not in found and list(d[found]) == sorted(d[found])
+        hit += len(set(np.argsort(d)[1:11].tolist()) & set(found))
+    assert hit >= 99
+    cell, blocks = ann.cells_of({0: 100, 3: 5, 7: 40})
+    assert sorted(cell) == [0, 3, 7] and [blocks[cell[i]] for i in (0, 3, 7)] == [4, 1, 2]
+
+
 def test_html(spark):
     page = ("<html><body><header><h1>Site</h1></header><nav><ul><li><a>Home</a></li></ul></nav><div class='cookie-notice'><p>We use cookies here today</p></div>"
             "<main><h1>Title &amp; more</h1><p>One two\n three.<br>four<script>var x='</p>';</script></p><div class='ad'>buy now</div><p>Five six seven.</main>"
