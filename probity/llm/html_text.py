@@ -1,12 +1,12 @@
 """HTML main text: maximum-scoring subsequence of words and tags.
 
 A page is a sequence of words and tags.  Each carries a weight learned from labelled pages
-(pages that mark their content with one <article> or <main> element): the log-odds of lying
-inside the content, by tag for tags and by surrounding containers for words, less a cost for
-every tag.  A linear scan finds the contiguous region with the largest sum; its text, without
-parts that are boilerplate wherever they stand (adverts, forms, comments, ...), is the main
-text.  A page whose content element is marked is read by the same scan: the marks are only
-what the weights are learned from.
+(pages that mark their content with <article> or <main>): a logistic regression of lying
+inside the content, drawn to default weights.  A word is seen by its nearest containers and its neighbour tags, and
+by the names (element, class, id, role) of all containers around it; a tag by these and its
+name.  The marks themselves are no feature, so marked and unmarked pages are read alike.  A linear scan
+finds the contiguous region with the largest sum; its text, without words that the containers
+around them make unlikely (adverts, forms, comments, ...), is the main text.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,67 +27,63 @@ from probity.llm.common import rows
 RAW_TEXT = frozenset("script style noscript template svg math textarea iframe object canvas audio video select title head noembed noframes xmp".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article aside body details dialog div footer form header main menu nav ol search section table ul fieldset blockquote figure button label li p".split())
-BOILER = frozenset("nav aside footer form menu dialog button label fieldset search".split())
-TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong br blockquote pre span q cite code sub sup".split())
+MARKS = ("main", "article")
+BOILER = frozenset("nav aside footer form menu dialog button label fieldset search header".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong br blockquote pre span q cite code sub sup ul ol li dl dt dd table thead tbody tr td th a".split())
 # Words in class, id and role that name parts of a page other than its text.
 PART_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notification alert popup modal "
                        "overlay gdpr newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar menu nav navbar navigation "
                        "breadcrumb breadcrumbs footer header masthead comment comments discussion disqus replies respond widget toolbar pagination pager skip search "
-                       "complementary contentinfo search-form tags hidden".split())
+                       "complementary contentinfo search-form tags".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
-TAG_COST = 0.25
-IN_TAG_COST = 0.1
-PRIOR = 2.0
+TAG_COST = 0.1
+TEXT_WEIGHT = 0.5           # of a word that nothing speaks for or against
+PULL = 10.0                 # towards a feature's default
+PULL_NAMES = 1.0            # ... of a name that has none
+FULL = 100.0
+STEPS = 300
+HIDDEN_LIFT = 4.0
 
 
-def _part_of(name: str, attrs: str, inside_content: bool) -> str:
-    """"part" where an element's name or attributes say it is not the page's text."""
-    if name in BOILER or (name == "header" and not inside_content):
-        return "part"
-    if attrs and name not in ("html", "body", "article", "main"):
-        for m in _NAMES.finditer(attrs):
-            if PART_NAMES.intersection(_SPLIT.split((m[1] or m[2] or m[3] or "").lower())):
-                return "part"
-        if re.search(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attrs, re.I):
-            return "part"
-    return ""
-
-
-_MARK = re.compile(r"<(main|article)\b", re.I)
+class Box:
+    """An open container: what it is called, and what it stands in."""
 
+    __slots__ = ("name", "own", "up", "marks", "lift")
 
-def content_mark(page: str) -> str | None:
-    """The element that marks content: main, else article, else none."""
-    names = {m.lower() for m in _MARK.findall(page)}
-    return "main" if "main" in names else "article" if "article" in names else None
-
+    def __init__(self, name: str, own: tuple[str, ...], up: Box | None):
+        self.name, self.own, self.up, self.lift = name, own, up, 0.0
+        self.marks = up.marks if up else ()
+        if name in MARKS and name not in self.marks:
+            self.marks += (name,)
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """("tag", name, context) and ("text", raw text, context); raw-text elements and comments are left out.
 
-    The context is "part" where some open container is boilerplate, else "in" or "out" of the
-    page's content mark, else (no mark) the nearest container.
-    """
-    mark = content_mark(page)
-    stack: list[tuple[str, str]] = []
+def _own(name: str, attrs: str) -> tuple[str, ...]:
+    """Features that a container gives to all words in it."""
+    out = {f"e:{name}"} if name in BOILER else set()
+    if attrs and name not in ("html", "body", *MARKS):
+        for m in _NAMES.finditer(attrs):
+            out.update(f"c:{x}" for x in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if x)
+        if _HIDDEN.search(attrs):
+            out.add("h:hidden")
+    return tuple(sorted(out))
+
+
+def tokens(page: str) -> tuple[list[tuple[str, str, Box | None]], list[Box]]:
+    """[("tag", name, box) or ("text", raw text, box)] and all boxes, outer before inner; raw-text elements and comments are left out."""
+    out: list[tuple[str, str, Box | None]] = []
+    stack: list[Box] = []
+    boxes: list[Box] = []
+    opened = Counter()
     at, skip = 0, None
-
-    def context() -> str:
-        if any(part for _, part in stack):
-            return "part"
-        if mark:
-            return "in" if any(n == mark for n, _ in stack) else "out"
-        return next((n for n, _ in reversed(stack) if n != "p"), "p" if stack else "none")
-
     for m in _TOKEN.finditer(page):
         if skip is None and m.start() > at:
-            yield "text", page[at:m.start()], context()
+            out.append(("text", page[at:m.start()], stack[-1] if stack else None))
         name = (m[2] or m[5] or "").lower()
         close = (m[1] or m[4]) == "/"
         if skip is not None:
@@ -98,101 +94,198 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             if not close and name in RAW_TEXT and not attrs.endswith("/"):
                 skip = name
             elif close:
-                if any(n == name for n, _ in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                if opened[name]:
+                    while True:
+                        last = stack.pop().name
+                        opened[last] -= 1
+                        if last == name:
+                            break
             elif name in CONTAINERS:
-                while stack and (stack[-1][0] == "p" or (name == "li" and stack[-1][0] == "li")):
-                    stack.pop()
-                stack.append((name, _part_of(name, attrs, any(n in ("article", "main") for n, _ in stack))))
-            yield "tag", ("/" if close else "") + name, context()
+                while stack and (stack[-1].name == "p" or (name == "li" and stack[-1].name == "li")):
+                    opened[stack.pop().name] -= 1
+                box = Box(name, _own(name, attrs), stack[-1] if stack else None)
+                opened[name] += 1
+                stack.append(box)
+                boxes.append(box)
+            out.append(("tag", ("/" if close else "") + name, stack[-1] if stack else None))
         at = m.end()
     if skip is None and at < len(page):
-        yield "text", page[at:], context()
+        out.append(("text", page[at:], stack[-1] if stack else None))
+    return out, boxes
+
+
+def content_mark(boxes: list[Box]) -> str | None:
+    """The element that marks content: main, else article, else none."""
+    names = {b.name for b in boxes}
+    return next((m for m in MARKS if m in names), None)
 
 
 def _clean(raw: str) -> str:
     return _SPACE.sub(" ", html.unescape(raw))
 
 
-def _feature(kind: str, value: str, context: str) -> str:
-    return f"w:{context}" if kind == "text" else f"t:{context if context in ('in', 'out', 'part') else 'any'}:{value}"
+def _unmarked(box: Box | None) -> Box | None:
+    while box is not None and box.name in MARKS:
+        box = box.up
+    return box
+
+
+def _read(seq):
+    """(kind, value, words, features of its place, box) of each token, without the marks; spaces have no words."""
+    texts = [_clean(v) if k == "text" else v for k, v, _ in seq]
+    words = [len(v.split()) if k == "text" else 0 for v, (k, _, _) in zip(texts, seq)]
+    after, following = [""] * len(seq), ""
+    for i in range(len(seq) - 1, -1, -1):
+        after[i] = following
+        if seq[i][0] == "tag" and seq[i][1].lstrip("/") not in MARKS:
+            following = seq[i][1]
+    before = ""
+    for (kind, _, box), value, n, follows in zip(seq, texts, words, after):
+        if kind == "text" and not n or kind == "tag" and value.lstrip("/") in MARKS:
+            yield kind, value, 0, (), box
+            continue
+        near = _unmarked(box)
+        far = _unmarked(near.up) if near else None
+        inner = near.name if near else "none"
+        features = (f"u:{inner}", f"p:{inner}<{far.name if far else 'none'}", f"b:{before}", f"a:{follows}")
+        if kind == "tag":
+            features += (f"t:{value}",)
+            before = value
+        yield kind, value, n, features, box
+
+
+#: A task sends its counts on when it holds so many places.
+_FLUSH = 50_000
+#: Names further out than so many containers teach nothing.
+NEAREST = 64
 
 
 def _weigh(batches):
-    """(feature, inside, outside) counts of the labelled pages of a task."""
+    """(place, inside, outside): words and tags of the labelled pages of a task by the features they are seen by."""
     inside, outside = Counter(), Counter()
+
+    def flush():
+        places = sorted(set(inside) | set(outside))
+        out = pa.RecordBatch.from_arrays([pa.array(places, pa.list_(pa.string())), pa.array([inside[p] for p in places], pa.int64()),
+                                          pa.array([outside[p] for p in places], pa.int64())], names=["place", "inside", "outside"])
+        inside.clear()
+        outside.clear()
+        return out
+
     for batch in batches:
         for (page,) in rows(batch, "html"):
-            mark, within = content_mark(page), False
+            seq, boxes = tokens(page)
+            mark = content_mark(boxes)
             if mark is None:
                 continue
-            for kind, value, context in tokens(page):
-                if kind == "tag" and value == mark:
-                    within = True
-                n = len(_clean(value).split()) if kind == "text" else 1
-                if n:
-                    (inside if within else outside)[_feature(kind, value, context)] += n
-                if kind == "tag" and value == "/" + mark:
-                    within = False
-    names = sorted(set(inside) | set(outside))
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[n] for n in names], pa.int64()),
-                                      pa.array([outside[n] for n in names], pa.int64())], names=["feature", "inside", "outside"])
-
-
-#: Features beyond this many (unknown tag names in hostile pages) keep their default weight.
-MAX_FEATURES = 4_096
+            names: dict[Box | None, tuple[str, ...]] = {None: ()}
+            for kind, _, n, features, box in _read(seq):
+                if not features:
+                    continue
+                if box not in names:
+                    own, up = [], box
+                    while up is not None and len(own) < NEAREST:
+                        own += up.own
+                        up = up.up
+                    names[box] = tuple(sorted(own))
+                (inside if box is not None and mark in box.marks else outside)[features + names[box]] += n or 1
+            if len(inside) + len(outside) > _FLUSH:
+                yield flush()
+    yield flush()
+
+
+#: Places beyond this many (names in hostile pages) teach nothing.
+MAX_PLACES = 65_536
+
+
+def default_lift(feature: str) -> float:
+    """Log-odds of a feature before labelled pages are read."""
+    kind, name = feature[:1], feature[2:]
+    if kind == "t":
+        return 0.0 if name.lstrip("/") in TEXT_TAGS else -1.0
+    if kind == "h":
+        return -HIDDEN_LIFT
+    if kind == "e" or kind == "c" and name in PART_NAMES:
+        return -3.0
+    return -3.0 if feature in ("b:a", "a:/a") else 0.0
+
+
+def fit(places: list[tuple[list[str], int, int]]) -> dict[str, float]:
+    """Logistic regression of inside on the features, drawn to their defaults: what the defaults or other features explain moves no weight.
+
+    A place counts as at most FULL words or tags.  Steps by the largest curvature never overshoot.
+    """
+    names = sorted({f for p, _, _ in places for f in p})
+    number = {f: i for i, f in enumerate(names)}
+    default = np.array([default_lift(f) for f in names])
+    pull = np.array([PULL_NAMES if f[0] == "c" and d == 0 else PULL for f, d in zip(names, default)])
+    near = [sum(f[0] in "upbat" for f in p) for p, _, _ in places]
+    row = np.repeat(np.arange(len(places)), [len(p) for p, _, _ in places])
+    col = np.array([number[f] for p, _, _ in places for f in p], dtype=np.int64)
+    x = np.array([1 / k if f[0] in "upbat" else 1.0 for (p, _, _), k in zip(places, near) for f in p])
+    n = np.array([i + o for _, i, o in places], dtype=float)
+    n, share = n * FULL / (FULL + n), np.array([i / (i + o) for _, i, o in places])
+    width = np.bincount(row, x, len(places))
+    curve = np.bincount(col, x * (n * width)[row], len(names)) / 4 + pull
+    w = default.copy()
+    for _ in range(STEPS if names else 0):
+        odds = TEXT_WEIGHT + np.bincount(row, x * w[col], len(places))
+        wrong = n * (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - share)
+        w -= (np.bincount(col, x * wrong[row], len(names)) + pull * (w - default)) / curve
+    return dict(zip(names, w.tolist()))
 
 
 def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Feature -> weight from the labelled pages (at most MAX_FEATURES, the commonest)."""
+    """Feature -> weight from the labelled pages (their MAX_PLACES commonest places)."""
     counts = (pages.select(F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
-              .mapInArrow(_weigh, "feature string, inside long, outside long").groupBy("feature")
-              .agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy(F.desc(F.col("i") + F.col("o")), "feature").limit(MAX_FEATURES).collect())
-    return {r["feature"]: math.log((r["i"] + PRIOR) / (r["o"] + PRIOR)) for r in counts}
+              .mapInArrow(_weigh, "place array<string>, inside long, outside long").groupBy("place")
+              .agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy(F.desc(F.col("i") + F.col("o")), "place").limit(MAX_PLACES).collect())
+    return fit([(r["place"], r["i"], r["o"]) for r in counts])
 
 
-def _weight(weights: dict[str, float], feature: str, words: int) -> float:
-    """Words within [-1, 1] each, tags within [-1, 0]; what labelled pages never showed has a default."""
-    kind, context = feature.split(":")[:2]
-    if context == "part":  # is dropped wherever it stands, so it hardly parts a region
-        return -0.05 * max(1, words)
-    if kind == "w":
-        default = {"in": 1.0, "out": -1.0, "none": -0.5, "ul": -0.5, "ol": -0.5, "li": -0.5}.get(context, 1.0)
-        return max(-1.0, min(1.0, weights.get(feature, default))) * words
-    plain = context == "in" or feature.rsplit(":", 1)[1].lstrip("/") in TEXT_TAGS
-    default, cost = (0.0, IN_TAG_COST) if plain else (-0.5, TAG_COST)
-    return max(-0.75, min(0.0, weights.get(feature, default))) - cost
+def _weight(weights: dict[str, float], feature: str) -> float:
+    w = weights.get(feature)
+    return default_lift(feature) if w is None else w
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
     """Blocks of the best region, white space folded, joined by an empty line."""
-    seq, scores = [], []
-    for kind, value, context in tokens(page):
-        if kind == "text":
-            value = _clean(value)
-            n = len(value.split())
-            scores.append(_weight(weights, _feature(kind, value, context), n) if n else 0.0)
-        else:
-            scores.append(_weight(weights, _feature(kind, value, context), 0))
-        seq.append((kind, value, context))
+    seq, boxes = tokens(page)
+    for box in boxes:
+        box.lift = (box.up.lift if box.up else 0.0) + sum(_weight(weights, f) for f in box.own)
     best, run, start, span = 0.0, 0.0, 0, (0, 0)
-    for i, s in enumerate(scores):
+    read, known = [], {}
+    for i, (kind, value, n, features, box) in enumerate(_read(seq)):
+        s = 0.0
+        if features:
+            place = known.get(features)
+            if place is None:
+                place = known[features] = sum(_weight(weights, f) for f in features) / len(features)
+            if n:  # within [-1, 1] for a word
+                around = box.lift if box else 0.0
+                s = max(-1.0, min(1.0, TEXT_WEIGHT + place + around)) * n
+                if s < 0 and around < 0:  # is dropped wherever it stands, so it hardly parts a region
+                    kind, s = "part", -0.05 * n
+            elif box and box.lift < 0 and TEXT_WEIGHT + place + box.lift < 0:
+                s = -0.05
+            else:
+                s = max(-0.75, min(0.0, TEXT_WEIGHT + place)) - TAG_COST
         if run <= 0:
             run, start = 0.0, i
         run += s
         if run > best:
             best, span = run, (start, i + 1)
+        read.append((kind, value))
     blocks, part = [], []
-    for kind, value, context in seq[span[0]:span[1]]:
+    for kind, value in read[span[0]:span[1]]:
         if kind == "text":
-            if context != "part":
-                part.append(value)
-        elif value == "br":
-            part.append(" ")
-        elif value.lstrip("/") in BLOCKS:
-            blocks.append("".join(part))
-            part = []
+            part.append(value)
+        elif kind == "tag":
+            if value == "br":
+                part.append(" ")
+            elif value.lstrip("/") in BLOCKS:
+                blocks.append("".join(part))
+                part = []
     blocks.append("".join(part))
     return "\n\n".join(b for b in (_SPACE.sub(" ", x).strip() for x in blocks) if b)
 

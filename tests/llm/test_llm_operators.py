@@ -264,6 +264,34 @@ def test_html(spark):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def labelled_pages():
+    """Pages with a marked article among a link list, an advert and a footer, and the texts of their articles."""
+    pages, texts = [], []
+    for i in range(40):
+        rng = random.Random(i)
+        words = [text(rng, 30) for _ in range(3)]
+        body = f"<h1>Title {i}</h1>" + "".join(f"<p>{w}</p>" for w in words)
+        pages.append("<html><body><nav><ul><li><a href='/a'>home</a></li><li><a href='/b'>news</a></li></ul></nav><div class='ad'>buy this now</div>"
+                     f"<article>{body}</article><footer>some imprint</footer></body></html>")
+        texts.append("\n\n".join([f"Title {i}", *words]))
+    return pages, texts
+
+
+def test_html_weights_reach_pages_without_marks(spark):
+    pages, texts = labelled_pages()
+    top = "<html><body><nav><ul><li><a href='/a'>home</a></li><li><a href='/b'>news</a></li></ul></nav>"
+    stripped = [p.replace("<article>", "").replace("</article>", "") for p in pages]
+    recipe = top + "<div><h1>Pancakes</h1><ul><li>two eggs</li><li>one cup of milk</li></ul><ol><li>Mix all of it</li><li>Bake</li></ol></div><footer>some imprint</footer></body></html>"
+    teaser = top + "<h1>Real</h1><p>The body of this page has many words and is marked by nothing.</p><footer>some imprint</footer><div><article><p>Teaser</p></article></div></body></html>"
+    script = "<script>document.write('<main>')</script><!-- <main> -->" + stripped[7]
+    rows = list(enumerate([*stripped[:5], recipe, teaser, script])) + [(100 + i, p) for i, p in enumerate(pages[5:])]
+    got = dict(html_text.extract_main_text(spark.createDataFrame([(i, "u", p) for i, p in rows], "page_id long, url string, html string")).select("page_id", "text").collect())
+    assert [got[i] for i in range(5)] == texts[:5] and [got[100 + i] for i in range(35)] == texts[5:]
+    assert got[5] == "Pancakes\n\ntwo eggs\n\none cup of milk\n\nMix all of it\n\nBake"
+    assert "The body of this page has many words" in got[6] and "home" not in got[6]
+    assert got[7] == texts[7]
+
+
 def test_quotations(spark):
     rows = [(1, 0, "Hello world.\n\nHow are you today?"), (1, 1, "I am fine.\nThanks for asking!"), (1, 2, "> How are you TODAY\nAnswering the first again."),
             (1, 3, "> > How are you today?\n> Answering the first again\nSure thing"), (1, 4, "> I am fine.\n> Thanks for asking!\n\nGood to hear"), (1, 5, "continuing"),
