@@ -4,7 +4,8 @@ A page is a sequence of words and tags.  Each carries a weight learned from labe
 (pages that mark their content with <article> or <main>): a logistic regression of lying
 inside the content, drawn to default weights.  A word is seen by its nearest containers and its neighbour tags, and
 by the names (element, class, id, role) of all containers around it; a tag by these and its
-name.  The marks themselves are no feature, so marked and unmarked pages are read alike.  A linear scan
+name.  The marks themselves are no feature, so marked and unmarked pages are read alike, but
+that the names of containers around a mark are not held against the text.  A linear scan
 finds the contiguous region with the largest sum; its text, without words that the containers
 around them make unlikely (adverts, forms, comments, ...), is the main text.
 """
@@ -12,9 +13,9 @@ around them make unlikely (adverts, forms, comments, ...), is the main text.
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +30,21 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
                    "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINERS = frozenset("article aside body details dialog div footer form header main menu nav ol search section table ul fieldset blockquote figure button label li p".split())
 MARKS = ("main", "article")
+_MARK_TAGS = frozenset(("main", "/main", "article", "/article"))
+_NOWHERE = ("none", "none")
 BOILER = frozenset("nav aside footer form menu dialog button label fieldset search header".split())
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong br blockquote pre span q cite code sub sup ul ol li dl dt dd table thead tbody tr td th a".split())
-# Words in class, id and role that name parts of a page other than its text.
+# Names in class, id and role (whole ones) of parts of a page other than its text.
 PART_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notification alert popup modal "
                        "overlay gdpr newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar menu nav navbar navigation "
                        "breadcrumb breadcrumbs footer header masthead comment comments discussion disqus replies respond widget toolbar pagination pager skip search "
-                       "complementary contentinfo search-form tags".split())
+                       "complementary contentinfo search-form tags ad-container ad-slot ad-wrapper cookie-notice cookie-banner cookie-bar cookie-consent share-buttons social-share "
+                       "social-links related-posts related-articles comment-list comments-area main-nav main-menu nav-bar site-header site-footer site-nav page-header page-footer "
+                       "newsletter-signup newsletter-form login-form side-bar skip-link".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 TAG_COST = 0.1
 TEXT_WEIGHT = 0.5           # of a word that nothing speaks for or against
@@ -54,12 +58,14 @@ HIDDEN_LIFT = 4.0
 class Box:
     """An open container: what it is called, and what it stands in."""
 
-    __slots__ = ("name", "own", "up", "marks", "lift")
+    __slots__ = ("name", "own", "up", "marks", "near", "lift")
 
     def __init__(self, name: str, own: tuple[str, ...], up: Box | None):
         self.name, self.own, self.up, self.lift = name, own, up, 0.0
-        self.marks = up.marks if up else ()
-        if name in MARKS and name not in self.marks:
+        self.marks, self.near = (up.marks, up.near) if up else ((), _NOWHERE)
+        if name not in MARKS:
+            self.near = (name, self.near[0])
+        elif name not in self.marks:
             self.marks += (name,)
 
 
@@ -67,10 +73,12 @@ def _own(name: str, attrs: str) -> tuple[str, ...]:
     """Features that a container gives to all words in it."""
     out = {f"e:{name}"} if name in BOILER else set()
     if attrs and name not in ("html", "body", *MARKS):
-        for m in _NAMES.finditer(attrs):
-            out.update(f"c:{x}" for x in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if x)
-        if _HIDDEN.search(attrs):
-            out.add("h:hidden")
+        for m in _ATTR.finditer(attrs):
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key in ("class", "id", "role"):
+                out.update(f"c:{x}" for x in value.lower().split())
+            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _UNSEEN.search(value):
+                out.add("h:hidden")
     return tuple(sorted(out))
 
 
@@ -120,38 +128,47 @@ def content_mark(boxes: list[Box]) -> str | None:
     return next((m for m in MARKS if m in names), None)
 
 
+def _holders(boxes: list[Box], mark: str | None) -> set[Box]:
+    """The boxes around all content marks: whatever they are called, they are no part beside the text."""
+    common: list[Box] | None = None
+    for box in boxes:
+        if mark and box.name == mark:
+            around: list[Box] = []
+            while (box := box.up) is not None:
+                around.append(box)
+            common = around[::-1] if common is None else [a for a, b in zip(common, reversed(around)) if a is b]
+    return set(common or ())
+
+
 def _clean(raw: str) -> str:
-    return _SPACE.sub(" ", html.unescape(raw))
+    return _SPACE.sub(" ", html.unescape(raw) if "&" in raw else raw)
 
 
-def _unmarked(box: Box | None) -> Box | None:
-    while box is not None and box.name in MARKS:
-        box = box.up
-    return box
+@lru_cache(65_536)
+def _place(inner: str, far: str, before: str, follows: str, tag: str) -> tuple[str, ...]:
+    out = (f"u:{inner}", f"p:{inner}<{far}", f"b:{before}", f"a:{follows}")
+    return (*out, f"t:{tag}") if tag else out
 
 
-def _read(seq):
+def _read(seq, clean: bool = True):
     """(kind, value, words, features of its place, box) of each token, without the marks; spaces have no words."""
-    texts = [_clean(v) if k == "text" else v for k, v, _ in seq]
-    words = [len(v.split()) if k == "text" else 0 for v, (k, _, _) in zip(texts, seq)]
     after, following = [""] * len(seq), ""
     for i in range(len(seq) - 1, -1, -1):
         after[i] = following
-        if seq[i][0] == "tag" and seq[i][1].lstrip("/") not in MARKS:
+        if seq[i][0] == "tag" and seq[i][1] not in _MARK_TAGS:
             following = seq[i][1]
     before = ""
-    for (kind, _, box), value, n, follows in zip(seq, texts, words, after):
-        if kind == "text" and not n or kind == "tag" and value.lstrip("/") in MARKS:
+    for (kind, value, box), follows in zip(seq, after):
+        if kind == "text":
+            if clean:
+                value = _clean(value)
+            n = len(value.split())
+            yield kind, value, n, _place(*(box.near if box else _NOWHERE), before, follows, "") if n else (), box
+        elif value in _MARK_TAGS:
             yield kind, value, 0, (), box
-            continue
-        near = _unmarked(box)
-        far = _unmarked(near.up) if near else None
-        inner = near.name if near else "none"
-        features = (f"u:{inner}", f"p:{inner}<{far.name if far else 'none'}", f"b:{before}", f"a:{follows}")
-        if kind == "tag":
-            features += (f"t:{value}",)
+        else:
+            yield kind, value, 0, _place(*(box.near if box else _NOWHERE), before, follows, value), box
             before = value
-        yield kind, value, n, features, box
 
 
 #: A task sends its counts on when it holds so many places.
@@ -179,7 +196,7 @@ def _weigh(batches):
             if mark is None:
                 continue
             names: dict[Box | None, tuple[str, ...]] = {None: ()}
-            for kind, _, n, features, box in _read(seq):
+            for kind, _, n, features, box in _read(seq, clean=False):
                 if not features:
                     continue
                 if box not in names:
@@ -251,8 +268,9 @@ def _weight(weights: dict[str, float], feature: str) -> float:
 def main_text(page: str, weights: dict[str, float]) -> str:
     """Blocks of the best region, white space folded, joined by an empty line."""
     seq, boxes = tokens(page)
+    holders = _holders(boxes, content_mark(boxes))
     for box in boxes:
-        box.lift = (box.up.lift if box.up else 0.0) + sum(_weight(weights, f) for f in box.own)
+        box.lift = (box.up.lift if box.up else 0.0) + (0.0 if box in holders else sum(_weight(weights, f) for f in box.own))
     best, run, start, span = 0.0, 0.0, 0, (0, 0)
     read, known = [], {}
     for i, (kind, value, n, features, box) in enumerate(_read(seq)):

@@ -292,6 +292,20 @@ def test_html_weights_reach_pages_without_marks(spark):
     assert got[7] == texts[7]
 
 
+def test_html_names_do_not_cut(spark):
+    pages, texts = labelled_pages()
+    wraps = ["<div class='has-sidebar'>", "<div class='overflow-hidden'>", "<div id='with-ads'>", "<div class='social-science'>", "<div data-id='menu' data-hidden='no'>",
+             "<blockquote cite='/hidden-costs'>"]
+    rows = [p.replace("<article>", w).replace("</article>", "</div>") for w, p in zip(wraps, pages)]
+    rows += [pages[6].replace("<article>", "<div class='sidebar widget'><article>").replace("</article>", "</article></div>")]
+    rows += [p.replace("</article>", "<div class='ad'>inside</div><div hidden>unseen</div></article>") for p in pages[7:9]]
+    rows += [p.replace("<article>", "<article><div class='comments'>").replace("</article>", "</div></article>") for p in pages[9:]]
+    rows += [pages[20].replace("<article>", "<div class='comments'>").replace("</article>", "</div>")]
+    got = dict(html_text.extract_main_text(spark.createDataFrame([(i, "u", p) for i, p in enumerate(rows)], "page_id long, url string, html string")).select("page_id", "text").collect())
+    assert [got[i] for i in range(40)] == texts
+    assert got[40] == texts[20]  # 31 marked pages say that their comments are the text: learned, not fixed
+
+
 def test_quotations(spark):
     rows = [(1, 0, "Hello world.\n\nHow are you today?"), (1, 1, "I am fine.\nThanks for asking!"), (1, 2, "> How are you TODAY\nAnswering the first again."),
             (1, 3, "> > How are you today?\n> Answering the first again\nSure thing"), (1, 4, "> I am fine.\n> Thanks for asking!\n\nGood to hear"), (1, 5, "continuing"),
