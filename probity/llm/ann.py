@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample; every row is placed in its leaf by a Spa
 A query walks the tree with a priority queue of centroid distances and visits leaves in
 that order.  How many leaves are visited is calibrated: for a bounded set of queries the
 exact neighbours are found by a full scan, and the width is the smallest at which the wanted
-share of them lies in visited leaves.  Neighbouring leaves make up a fixed number of cells;
+share of them, and a least share of each query's, lies in visited leaves.  A query goes on past
+the width until the leaves visited hold k + 1 rows.  Neighbouring leaves make up a fixed number of cells;
 a query asks a cell once, for the leaves it visits there, and gets back k rows at most.  Cells
 are searched in blocks of bounded size, against bounded parts of the queries, so a leaf that
 holds a third of all rows is many tasks' work.  Copies of one vector beyond the k + 1 smallest
@@ -26,6 +27,7 @@ from probity.llm.common import materialise
 FIT_ROWS = 20_000
 CALIBRATION_QUERIES = 128
 TARGET_RECALL = 0.98
+QUERY_RECALL = 0.8          # of every calibration query, however far it lies from the rest
 BRANCH = 8
 LEAF_FIT_ROWS = 40
 CELLS = 32
@@ -78,14 +80,15 @@ class KMeansTree:
                 todo += [(child, rows[label == c]) for c, child in enumerate(kind[1])]
         return out
 
-    def visit(self, query: np.ndarray, width: int) -> list[int]:
-        """The first ``width`` leaves, best bin first."""
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < width:
+    def visit(self, query: np.ndarray, width: int, rows_of_leaf: dict[int, int] | None = None, rows: int = 0) -> list[int]:
+        """The first ``width`` leaves, best bin first, and more until they hold ``rows`` rows."""
+        heap, out, held = [(0.0, 0)], [], 0
+        while heap and (len(out) < width or held < rows):
             _, node = heapq.heappop(heap)
             kind = self.children[node]
             if isinstance(kind, int):
                 out.append(kind)
+                held += rows_of_leaf.get(kind, 0) if rows_of_leaf else 0
             else:
                 for d, child in zip(((kind[0] - query) ** 2).sum(axis=1).tolist(), kind[1]):
                     heapq.heappush(heap, (d, child))
@@ -127,6 +130,13 @@ def cells_of(rows_of_leaf: dict[int, int]) -> tuple[dict[int, int], dict[int, in
     return cell, {c: -(-n // BLOCK_ROWS) for c, n in held.items()}
 
 
+def calibrated_width(depths: list[list[int]], target_recall: float) -> int:
+    """Least width at which ``target_recall`` of all neighbours, and QUERY_RECALL of each query's, lie in visited leaves."""
+    def reach(d: list[int], share: float) -> int:
+        return sorted(d)[max(0, math.ceil(share * len(d) - 1e-9) - 1)]
+    return max([reach([x for d in depths for x in d], target_recall), *(reach(d, min(QUERY_RECALL, target_recall)) for d in depths)]) if depths else 1
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -192,26 +202,29 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vec
 
     exact = _ranked(points.mapInPandas(scan, "query_id long, vec_id long, score double, leaf long"), k).select("query_id", "leaf").collect()
     order = {int(i): {leaf: n for n, leaf in enumerate(tree.visit(v, tree.leaves))} for i, v in probes}
-    depth = sorted(order[r["query_id"]][r["leaf"]] + 1 for r in exact) or [1]
-    width = depth[min(len(depth) - 1, math.ceil(target_recall * len(depth)) - 1)]
+    depths: dict[int, list[int]] = {}
+    for r in exact:
+        depths.setdefault(r["query_id"], []).append(order[r["query_id"]][r["leaf"]] + 1)
+    width = calibrated_width(list(depths.values()), target_recall)
 
     # bounded by the tree, whatever the rows
-    grid = spark.sparkContext.broadcast(cells_of({r["leaf"]: r["n"] for r in points.groupBy("leaf").agg(F.count("*").alias("n")).collect()}))
+    rows_of_leaf = {r["leaf"]: r["n"] for r in points.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    grid = spark.sparkContext.broadcast((*cells_of(rows_of_leaf), rows_of_leaf))
     parts = -(-queries.count() // PART_QUERIES)
 
     def spread(batches):
-        cell, blocks = grid.value
+        cell, blocks, _ = grid.value
         for pdf in batches:
             at = pdf["leaf"].map(cell)
             yield pdf.assign(cell=at, block=pdf["h"].to_numpy() % at.map(blocks).to_numpy())[["id", "v", "leaf", "cell", "block", "part"]]
 
     def ask(batches):
-        cell, blocks = grid.value
+        cell, blocks, held = grid.value
         for pdf in batches:
             asked = []
             for i, v, part in zip(pdf["id"], pdf["v"], pdf["part"]):
                 wanted: dict[int, list[int]] = {}
-                for leaf in shared.value.visit(np.asarray(v), width):
+                for leaf in shared.value.visit(np.asarray(v), width, held, k + 1):
                     if leaf in cell:
                         wanted.setdefault(cell[leaf], []).append(leaf)
                 asked += [(i, v, sorted(leaves), c, b, part) for c, leaves in wanted.items() for b in range(blocks[c])]

@@ -264,6 +264,25 @@ def test_html(spark):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_nearest_neighbours_ranks_are_full(spark):
+    """Seven groups of 30 vectors and one far group of 3, of which one is a query; then a table of 7."""
+    for seed in (44, 6):
+        rng = np.random.default_rng(seed)
+        vs = [c + rng.normal(scale=0.01, size=4) for c in rng.normal(scale=1000, size=(7, 4)) for _ in range(30)] + [np.full(4, 9e3) + rng.normal(scale=0.01, size=4) for _ in range(3)]
+        ask = lambda i: (i % 3 == 0) & (i <= 210)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vs)], "vec_id long, embedding array<double>")
+        ranks = collections.Counter(r["query_id"] for r in ann.nearest_neighbours(df, ask, calibration_queries=60).collect())
+        assert ranks == {i: 10 for i in range(0, 211, 3)}
+    few = df.limit(7)
+    assert collections.Counter(r["query_id"] for r in ann.nearest_neighbours(few, lambda i: i >= 0).collect()) == {r["vec_id"]: 6 for r in few.collect()}
+
+
+def test_nearest_neighbours_width_serves_every_probe():
+    tree = ann.KMeansTree(np.random.default_rng(3).normal(size=(300, 4)))
+    assert len(tree.visit(np.zeros(4), 1, {leaf: 2 for leaf in range(tree.leaves)}, 11)) == 6
+    assert ann.calibrated_width([[1] * 10] * 50 + [[1] * 5 + [9] * 5], 0.98) == 9
+
+
 def labelled_pages():
     """Pages with a marked article among a link list, an advert and a footer, and the texts of their articles."""
     pages, texts = [], []
