@@ -5,7 +5,8 @@ Items are partitioned by the size of their shingle sets (powers of two, after Zh
 of known size go together.  For sizes up to s, documents are cut into windows of 3s
 shingles, one every s: an item's passage, up to 2s shingles long, lies whole in one window.
 Windows and items have one-permutation MinHash signatures of 4s bins; an item is a candidate
-where a bin of its signature equals the window's.  Every candidate is then verified against
+where a bin of its signature equals the window's.  For items of up to SHORT shingles, which
+have too few bins for that, any common shingle makes a candidate.  Every candidate is then verified against
 the document's whole shingle set.
 
 The benchmark is the stated query set: it is read in blocks of bounded size, and documents
@@ -26,6 +27,7 @@ from probity.llm.common import Shingler, as_bytes, rows, total_bytes, without_id
 #: Bytes of benchmark text that one broadcast block stands for (its shingles take about 1.5 times that).
 BLOCK_BYTES = 32 << 20
 SMALLEST = 16
+SHORT = 8                   # shingles; an item of so few is a candidate wherever one of them stands
 _PROBE = 20
 
 
@@ -48,21 +50,35 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
         parts: dict[int, list[int]] = {}
+        short = [i for i, (_, own) in enumerate(items) if 0 < len(own) <= SHORT]
+        keys = np.concatenate([items[i][1] for i in short] or [np.zeros(0, dtype=np.uint64)])
+        owner = np.repeat(np.array(short, dtype=np.int64), [len(items[i][1]) for i in short])
+        order = np.argsort(keys, kind="stable")
+        self.short = (keys[order], owner[order], self._probe(keys))
         for i, (_, own) in enumerate(items):
-            if len(own):
+            if len(own) > SHORT:
                 parts.setdefault(max(SMALLEST, 1 << (len(own) - 1).bit_length()), []).append(i)
         self.parts = []
         for size, members in sorted(parts.items()):
             keys = np.concatenate([minima(items[i][1], size) for i in members])
             owner = np.concatenate([np.full(len(minima(items[i][1], size)), i) for i in members])
             order = np.argsort(keys, kind="stable")
-            probe = np.zeros(1 << _PROBE, dtype=bool)
-            probe[keys >> np.uint64(64 - _PROBE)] = True
-            self.parts.append((size, keys[order], owner[order], probe))
+            self.parts.append((size, keys[order], owner[order], self._probe(keys)))
+
+    @staticmethod
+    def _probe(keys: np.ndarray) -> np.ndarray:
+        probe = np.zeros(1 << _PROBE, dtype=bool)
+        probe[keys >> np.uint64(64 - _PROBE)] = True
+        return probe
 
     def candidates(self, seq: np.ndarray) -> set[int]:
-        """Items whose signature meets that of some window of the document."""
+        """Short items of which the document holds a shingle, others whose signature meets that of some window."""
         found: set[int] = set()
+        keys, owner, probe = self.short
+        if len(keys):
+            hit = np.unique(seq[probe[seq >> np.uint64(64 - _PROBE)]])
+            for a, b in zip(np.searchsorted(keys, hit, "left"), np.searchsorted(keys, hit, "right")):
+                found.update(owner[a:b].tolist())
         for size, keys, owner, probe in self.parts:
             at = np.flatnonzero(probe[seq >> np.uint64(64 - _PROBE)])
             at = at[np.isin(seq[at], keys)] if len(at) else at

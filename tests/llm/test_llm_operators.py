@@ -158,6 +158,18 @@ def test_contamination(spark, awkward):
     assert decontaminate.drop_contaminated(df.limit(0), bench).count() == 0
 
 
+def test_contamination_by_short_items(spark):
+    rng = random.Random(21)
+    docs = [(i, text(rng, 3000)) for i in range(40)]
+    items = []
+    for i, t in docs:
+        w = t.split()
+        items += [(len(items) + j, " ".join(w[at:at + n])) for j, (n, at) in enumerate((n, rng.randrange(2900)) for n in (5, 6, 7, 8) for _ in range(10))]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"),
+                                                                                 spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(n // 40, n) for n in range(len(items))} <= got
+
+
 def test_repeated_passages(awkward):
     _, df = awkward
     got = collections.defaultdict(set)
