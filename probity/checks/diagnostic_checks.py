@@ -303,7 +303,7 @@ def worst_vs_all_psi(spark, d):
 @register("worst_cluster_sweep")
 def worst_cluster_sweep(spark, d):
     c = fx.clf(spark, d).where(F.col("split") == "test")
-    return rounded(res.worst_cluster_sweep(c, fx.FEATURES, "AUC", max_k=4, n_init=2))
+    return rounded(res.worst_cluster_sweep(c, fx.FEATURES, "AUC", max_k=10, n_init=10))
 
 
 @register("time_slice_drift", with_views("""

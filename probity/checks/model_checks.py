@@ -354,9 +354,8 @@ def _board(spark, d, task):
     else:
         src = fx.reg(spark, d)
         names = ["linear", "tree", "forest", "gbm"]
-    params = {"gbm": {"maxIter": 20}}
     models, scored = train.train_models(src.where(F.col("split") == "train"), src.where(F.col("split") == "test"),
-                                        names, task, _FEATS, params=params)
+                                        names, task, _FEATS)
     return train.leaderboard(scored, task, n_features=len(_FEATS))
 
 
@@ -377,7 +376,7 @@ def registered_models(spark, d):
 
 @register("worst_cluster")
 def worst_cluster_k(spark, d):
-    return rounded(worst_cluster(_clf_test(spark, d), _FEATS, 3, "ACC", n_init=2))
+    return rounded(worst_cluster(_clf_test(spark, d), _FEATS, 3, "ACC", n_init=10))
 
 
 # -------------------------------------------------------------------- presets

@@ -215,7 +215,7 @@ def worst_cluster(df: DataFrame, features, k: int, metric: str = "AUC", n_init:
     return scores.orderBy(F.col("value").asc() if asc else F.col("value").desc(), "cluster")
 
 
-def worst_cluster_sweep(df: DataFrame, features, metric: str = "AUC", max_k: int = 10, n_init: int = 3,
+def worst_cluster_sweep(df: DataFrame, features, metric: str = "AUC", max_k: int = 10, n_init: int = 10,
                         **eval_kw) -> DataFrame:
     """Worst-cluster score for k = 2..max_k next to the overall score (K5)."""
     rows = None

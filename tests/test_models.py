@@ -186,3 +186,22 @@ def test_sampled_shap_matches_window_form(spark, data):
             prev = now
     assert phi.keys() == want.keys()
     assert all(math.isclose(phi[k], want[k], abs_tol=1e-9) for k in want)
+
+
+def test_registered_cluster_checks_run_whole(monkeypatch):
+    from probity.checks import diagnostic_checks, model_checks
+    seen = []
+    monkeypatch.setattr(diagnostic_checks.res, "worst_cluster_sweep", lambda *a, **k: seen.append((k["max_k"], k["n_init"])))
+    monkeypatch.setattr(model_checks, "worst_cluster", lambda *a, **k: seen.append(k["n_init"]))
+    monkeypatch.setattr(model_checks.train, "train_models", lambda *a, params=None, **k: seen.append(params) or (None, None))
+    monkeypatch.setattr(model_checks.train, "leaderboard", lambda *a, **k: None)
+    for module in (diagnostic_checks, model_checks):
+        monkeypatch.setattr(module, "rounded", lambda x: x)
+    frame = type("Frame", (), {"where": lambda self, c: self})()
+    for fx in (diagnostic_checks.fx, model_checks.fx):
+        monkeypatch.setattr(fx, "clf", lambda s, d: frame)
+    monkeypatch.setattr(diagnostic_checks.F, "col", lambda c: c)
+    diagnostic_checks.worst_cluster_sweep(None, "")
+    model_checks.worst_cluster_k(None, "")
+    model_checks.leaderboard_classification(None, "")
+    assert seen == [(10, 10), 10, None]
