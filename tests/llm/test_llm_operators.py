@@ -182,6 +182,18 @@ def test_repeated_passages(awkward):
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_a_passage_shared_with_another_hub_explains_no_token(monkeypatch):
+    """w's passages with hubs h1 (0..60) and h2 (50..116) cover it; against h1 its tokens from 60 on stay unexplained."""
+    import pyarrow as pa
+    monkeypatch.setattr(substring_dedup.filters, "contains", lambda bits, values, n: np.ones(len(values), dtype=bool))
+    w = list(range(1000, 1116))
+    hits = [{"fn": fn, "a": 0, "cs": [30, 70], "b": 115, "ha": 0, "hb": 59} for fn in range(2)]
+    row = {"hub": b"h1", "rid": b"w", "hits": hits, "hub_tokens": w[:60], "tokens": w, "in": [{"s": 0, "n": 60}, {"s": 50, "n": 66}]}
+    out = [r for b in substring_dedup._verify([pa.RecordBatch.from_pylist([row])], 46, 80, 2, type("Filter", (), {"value": None})) for r in b.to_pylist()]
+    assert [(r["s"], r["n"]) for r in out if r["token"] is None] == [(0, 60)]
+    assert [r["token"] for r in out if r["token"] is not None] == w[60:]
+
+
 def test_compact_windows_cover_every_long_run_once():
     values = np.random.default_rng(0).integers(0, 1000, 60).astype(np.uint64)
     windows = substring_dedup.compact_windows(values, 10)
