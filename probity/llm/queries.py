@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm import license_scan
+from probity.llm import language_id, license_scan
 from probity.llm.ann import nearest_neighbours
 from probity.llm.decontaminate import find_contamination
 from probity.llm.html_text import extract_main_text
@@ -157,3 +157,12 @@ def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that recur in another document, with their class."""
     return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose crc32 of the id, mod 4, is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out("doc_id"))
+    return (language_id.identify_languages(docs.select("doc_id", "text"), learned)
+            .select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score"))
