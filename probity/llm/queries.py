@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm import language_id, license_scan
+from probity.llm import language_id, license_scan, whitening
 from probity.llm.ann import nearest_neighbours
 from probity.llm.decontaminate import find_contamination
 from probity.llm.html_text import extract_main_text
@@ -166,3 +166,10 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out("doc_id"))
     return (language_id.identify_languages(docs.select("doc_id", "text"), learned)
             .select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score"))
+
+
+@query()
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 16 leading components of the distinct quantised vectors, each scaled to variance one."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", whitening.quantised(F.col("embedding")).alias("x"))
+    return whitening.whiten(rows, "vec_id", "x")
