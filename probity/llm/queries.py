@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from probity.llm import language_id, license_scan, whitening
 from probity.llm.ann import nearest_neighbours
+from probity.llm.conversation_repair import conversation_report, damaged
 from probity.llm.decontaminate import find_contamination
 from probity.llm.html_text import extract_main_text
 from probity.llm.jaccard_join import jaccard_components
@@ -173,3 +174,10 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the 16 leading components of the distinct quantised vectors, each scaled to variance one."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", whitening.quantised(F.col("embedding")).alias("x"))
     return whitening.whiten(rows, "vec_id", "x")
+
+
+@query()
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after the damage put in."""
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_report(damaged(messages), messages)
