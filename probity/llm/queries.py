@@ -176,7 +176,52 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(rows, "vec_id", "x")
 
 
-@query()
+_REPAIR_SQL = r"""
+WITH RECURSIVE crc(i, v) AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) FROM (SELECT unnest(range(256)) AS i)),
+crcs AS (SELECT list(v ORDER BY i) AS t FROM crc),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+            lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 20 AS kind
+      FROM conversations, crcs),
+e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+      FROM d WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(CAST(length(role) AS VARCHAR) || ':' || role || text), copy) AS pos FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS seen, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body, left(role, 1) AS c,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM o),
+r AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM f),
+ins(i, k, x) AS (VALUES ('0', '', '0'), ('0', 'I', 'u'), ('0', 'II', 'a'), ('s', '', 's'), ('s', 'I', 'u'), ('s', 'II', 'a'),
+                        ('u', '', 'u'), ('u', 'I', 'a'), ('u', 'II', 'u'), ('a', '', 'a'), ('a', 'I', 'u'), ('a', 'II', 'a')),
+walk(conv_id, pos, state, way) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), '0', {'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': CAST([] AS VARCHAR[])} FROM (SELECT DISTINCT conv_id FROM r)
+  UNION ALL
+  SELECT conv_id, pos, state, min(way) FROM (
+    SELECT w.conv_id, r.pos, CASE x.letter WHEN 'D' THEN ins.x WHEN 'R' THEN CASE WHEN ins.x = 'u' THEN 'a' ELSE 'u' END ELSE r.c END AS state,
+      {'cost': w.way.cost + 2 * length(ins.k) + x.cost + CASE WHEN x.letter <> 'D' AND r.fault = 'truncated' THEN 1 ELSE 0 END,
+       'audit': w.way.audit || ins.k || x.letter,
+       'lines': list_concat(w.way.lines, CASE ins.k WHEN '' THEN CAST([] AS VARCHAR[]) WHEN 'I' THEN CASE WHEN ins.i = 'u' THEN ['assistant:'] ELSE ['user:'] END
+                  ELSE CASE WHEN ins.i = 'u' THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END END,
+                CASE x.letter WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'R' THEN [CASE WHEN ins.x = 'u' THEN 'assistant:' ELSE 'user:' END || r.text] ELSE [r.role || ':' || r.text] END)} AS way
+    FROM walk w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.pos = w.pos + 1 JOIN ins ON ins.i = w.state
+      JOIN (VALUES ('D', 3), ('R', 2), ('K', 0)) x(letter, cost)
+        ON x.letter = 'D' OR r.fault NOT IN ('blank', 'duplicate') AND (x.letter = 'R' OR r.c = CASE WHEN ins.x = 'u' THEN 'a' ELSE 'u' END OR r.c = 's' AND ins.x = '0')
+  ) GROUP BY conv_id, pos, state),
+n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+        count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || c NOT IN ('su', 'ua', 'au')) AS illegal,
+        coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM r GROUP BY conv_id),
+b AS (SELECT w.conv_id, min({'cost': way.cost + 2 * length(z.k), 'audit': way.audit || z.k, 'lines': list_concat(way.lines, z.more)}) AS way
+      FROM walk w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.n = w.pos
+        JOIN (VALUES ('0', '', CAST([] AS VARCHAR[])), ('a', '', []), ('u', 'I', ['assistant:']), ('s', 'II', ['user:', 'assistant:'])) z(state, k, more) ON z.state = w.state
+      GROUP BY w.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(b.way.cost, 0) AS cost, coalesce(b.way.audit, '') AS audit,
+       sha256(coalesce(array_to_string(b.way.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+@query(_REPAIR_SQL)
 def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired text of every conversation after the damage put in."""
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
