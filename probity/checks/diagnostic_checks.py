@@ -306,6 +306,14 @@ def worst_cluster_sweep(spark, d):
     return rounded(res.worst_cluster_sweep(c, fx.FEATURES, "AUC", max_k=10, n_init=10))
 
 
+@register("worst_cluster_distances")
+def worst_cluster_distances(spark, d):
+    c = fx.clf(spark, d).where(F.col("split") == "test")
+    worst = res.worst_cluster_rows(c, fx.FEATURES, 5, "ACC")
+    found = [res.worst_vs_all_distance(c, worst, fx.FEATURES, m).withColumn("method", F.lit(m)) for m in ("PSI", "WD1", "KS")]
+    return rounded(found[0].unionByName(found[1]).unionByName(found[2]))
+
+
 @register("time_slice_drift", with_views("""
 SELECT s.slice, s.feature, round(s.psi, 6) AS psi, s.n, round(a.score, 6) AS score
 FROM (SELECT slice, feature, sum((e - a) * ln(e / a)) AS psi, max(na) AS n FROM sh GROUP BY slice, feature) s

@@ -287,21 +287,55 @@ def quantile_noise(spark, d):
 
 # ---------------------------------------------------------------- weak spots
 
-@register("weak_segments")
+def _segment_sql(features, depth: int = 3) -> str:
+    """Views n<depth> (rows with their node) and nm (leaf number by node) of the exact entropy tree."""
+    bits = lambda n, k: " - ".join(f"CASE WHEN {x} > 0 THEN ({x}) * log2({x}) ELSE 0 END" for x in (n, k, f"({n} - {k})"))
+    out = ["n0 AS (SELECT *, CASE WHEN y = yh THEN 1 ELSE 0 END AS ok, 1 AS node FROM t)"]
+    for i in range(depth):
+        long = " UNION ALL ".join(f"SELECT node, {k} AS f, {f} AS v, ok FROM n{i}" for k, f in enumerate(features))
+        value = "CASE f " + " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(features)) + " END"
+        out.append(f"""
+v{i} AS (SELECT node, f, v, CAST(count(*) AS DOUBLE) AS n, CAST(sum(ok) AS DOUBLE) AS k FROM ({long}) GROUP BY node, f, v),
+r{i} AS (SELECT node, f, v, lead(v) OVER w AS nv, sum(n) OVER u AS cn, sum(k) OVER u AS ck,
+                sum(n) OVER (PARTITION BY node, f) AS nn, sum(k) OVER (PARTITION BY node, f) AS kk
+         FROM v{i} WINDOW w AS (PARTITION BY node, f ORDER BY v), u AS (PARTITION BY node, f ORDER BY v ROWS UNBOUNDED PRECEDING)),
+b{i} AS (SELECT node, f, CASE WHEN (v + nv) / 2 < nv THEN (v + nv) / 2 ELSE v END AS thr FROM (
+           SELECT *, row_number() OVER (PARTITION BY node ORDER BY round({bits("cn", "ck")} + {bits("(nn - cn)", "(kk - ck)")}, 6), f, v) AS place
+           FROM r{i} WHERE nv IS NOT NULL AND kk > 0 AND kk < nn AND node >= {1 << i}) WHERE place = 1),
+n{i + 1} AS (SELECT n{i}.* REPLACE (CASE WHEN thr IS NULL THEN node ELSE 2 * node + CASE WHEN {value} > thr THEN 1 ELSE 0 END END AS node)
+             FROM n{i} LEFT JOIN b{i} USING (node))""")
+    at = f"node * (1 << ({depth} - CAST(floor(log2(node)) AS INT)))"
+    out.append(f"\nnm AS (SELECT node, row_number() OVER (ORDER BY {at}) - 1 AS leaf FROM (SELECT DISTINCT node FROM n{depth}))")
+    return _TEST + ",\n" + ",".join(out)
+
+
+def _leaf_sql(features, threshold: float, depth: int = 3) -> str:
+    ranges = ", ".join(f"round(min({f}), 6) AS {f}_min, round(max({f}), 6) AS {f}_max" for f in features)
+    return f"""
+SELECT leaf, {ranges}, count(*) AS count, round(count(*) / max(al) * 100.0, 6) AS share_pct, round(avg(ok), 6) AS accuracy,
+       round(max(base), 6) AS overall_accuracy, CAST(count(*) >= 5 AND max(base) - avg(ok) > {threshold} AS BIGINT) AS weak
+FROM n{depth} JOIN nm USING (node) CROSS JOIN (SELECT count(*) AS al, avg(ok) AS base FROM n0) o GROUP BY leaf"""
+
+
+@register("weak_segments", with_views(_leaf_sql(["f1", "f3"], 0.1), "clf", ctes=_segment_sql(["f1", "f3"])))
 def weak_segments(spark, d):
-    c = _clf_test(spark, d)
-    return rounded(weakspot.weak_segments(c, ["f1", "f3"], threshold=0.1))
+    return rounded(weakspot.weak_segments(_clf_test(spark, d), ["f1", "f3"], threshold=0.1))
 
 
-@register("segment_rows")
+@register("weak_segments_one_way", with_views(_leaf_sql(["f2"], 0.05), "clf", ctes=_segment_sql(["f2"])))
+def weak_segments_one_way(spark, d):
+    return rounded(weakspot.weak_segments(_clf_test(spark, d), ["f2"], threshold=0.05))
+
+
+@register("segment_rows", with_views("""
+SELECT id, leaf, round(accuracy, 6) AS segment_accuracy
+FROM n3 JOIN nm USING (node) JOIN (SELECT node, avg(ok) AS accuracy, count(*) AS c FROM n3 GROUP BY node) a USING (node) WHERE c >= 5""",
+                                     "clf", ctes=_segment_sql(["f1", "f3"])))
 def segment_rows(spark, d):
     c = weakspot.correctness(_clf_test(spark, d))
-    asm, model = weakspot.segment_tree(c, ["f1", "f3"])
-    leaves = weakspot.assign_leaves(c, asm, model)
-    table = weakspot.leaf_table(leaves, ["f1", "f3"])
-    rules = spark.createDataFrame(weakspot.tree_rules(model, ["f1", "f3"]), "leaf int, rule string")
-    out = weakspot.rows_with_segment(leaves, table).join(F.broadcast(rules), "leaf", "left")
-    return rounded(out.select("id", "leaf", "segment_accuracy", "rule"))
+    leaves = weakspot.assign_leaves(c, weakspot.segment_tree(c, ["f1", "f3"]))
+    out = weakspot.rows_with_segment(leaves, weakspot.leaf_table(leaves, ["f1", "f3"]))
+    return rounded(out.select("id", "leaf", "segment_accuracy"))
 
 
 def _gap_rows(label: str, value: str) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from probity.functions.hashing import hash01
 from probity.functions.util import as_col, quote
+from probity.plans.ordering import first_by_hash
 from probity.plans.quantiles import exact_quantiles
 from probity.plans.reshape import to_long
 
@@ -132,13 +133,12 @@ def drop_columns(df: DataFrame, cols) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str = "id", seed=42) -> DataFrame:
-    """Exactly ``n`` rows chosen by a hash of (seed, id): top-n, not a fraction (C11).
+    """Exactly ``n`` rows (all, if fewer) chosen by a hash of (seed, id), not a fraction (C11).
 
-    Sampling is the feature here, so a limit is the right operator; Spark plans
-    ``orderBy().limit()`` as a distributed top-k (TakeOrderedAndProject).
+    The n-th smallest hash is found from counts per hash range; all rows below it are kept
+    and only those of its range are ranked, so no task meets n rows.
     """
-    return df.withColumn("_u", hash01(id_col, salt=f"sample:{seed}")) \
-             .orderBy("_u", id_col).limit(int(n)).drop("_u")
+    return first_by_hash(df, hash01(id_col, salt=f"sample:{seed}"), id_col, int(n))
 
 
 def label_encode(df: DataFrame, cols, suffix: str = "") -> DataFrame:

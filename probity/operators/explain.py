@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.functions.hashing import gaussians, hash01
+from probity.functions.hashing import gaussians, hash01, hash_long
 from probity.functions.util import as_col, quote
 from probity.operators.metrics import LOWER_IS_BETTER, evaluate
 from probity.operators.scoring import Scorer, eval_kwargs
-from probity.plans.ordering import row_numbers
+from probity.plans.ordering import number_by_hash, tie_hash
 from probity.plans.quantiles import exact_quantiles
 from probity.plans.reshape import bounded_broadcast, spread_for_fanout
 
@@ -58,11 +58,12 @@ def permutation_importance(df: DataFrame, scorer: Scorer, features, metric: str
                            n_rows: int | None = None) -> DataFrame:
     """Score change when one feature is shuffled, every repeat kept.
 
-    All n rows are numbered 0..n−1 in a hash order (``row_numbers``, distributed).  The
-    shuffle of (feature, repeat) k is the bijection i → (P_k·i + C_k) mod n with P_k a
-    prime above 2^31 and above n (so coprime with n): the row numbered i gives its value
-    to the row numbered π_k(i), wherever in the table that is.  Only narrow (target,
-    value) rows are exploded and shuffled.  ``id_col`` is distinct and not null.
+    All n rows are numbered 0..n−1 in a hash order (``number_by_hash``).  The shuffle of
+    (feature, repeat) k is the bijection i → (P_k·i + C_k) mod n with P_k a prime above
+    2^31 and above n (so coprime with n): the row numbered i gives its value to the row
+    numbered π_k(i), wherever in the table that is.  Only narrow (target, k, value) rows
+    are shuffled; a row's label and other features travel once and meet them in the join
+    that feeds the scoring.  ``id_col`` is distinct and not null.
     Returns (feature, repeat, score, importance); importance = base − score for
     higher-is-better metrics and score − base otherwise.
     """
@@ -71,22 +72,24 @@ def permutation_importance(df: DataFrame, scorer: Scorer, features, metric: str
     kw = eval_kwargs(scorer)
     base = evaluate(scorer.score(df), metric, y=y, **kw).select(F.col("value").alias("base"))
     n = n_rows if n_rows is not None else df.count()
-    keyed = df.withColumn("_h01", hash01(id_col, salt=f"self:{seed}"))
-    numbered = row_numbers(keyed, "_h01", id_col, out="_rn").drop("_h01").withColumn("_rn", F.col("_rn") - F.lit(1))
+    numbered = number_by_hash(df, hash01(id_col, salt=f"self:{seed}"), id_col, out="_rn").withColumn("_rn", F.col("_rn") - F.lit(1))
     combos = [(f, r) for f in features for r in range(1, repeats + 1)]
     primes = _primes_above(max(_PERM_PRIME_BASE, n), len(combos))
     wide = "decimal(38,0)" if n >= _PERM_PRIME_BASE else "bigint"   # P·i must not overflow
     offsets = [int(hashlib.md5(f"perm:{seed}:{k}".encode()).hexdigest()[:7], 16) for k in range(len(combos))]
-    grid = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"), F.lit(p).cast("bigint").alias("p"),
-                              F.lit(c).cast("bigint").alias("c"))
-                     for (f, r), p, c in zip(combos, primes, offsets)])
-    vals = F.create_map(*[x for f in features for x in (F.lit(f), as_col(f).cast("string"))])
-    target = F.pmod(F.col("_k.p").cast(wide) * F.col("_rn").cast(wide) + F.col("_k.c").cast(wide), F.lit(max(n, 1)).cast(wide))
-    donors = numbered.select("_rn", vals.alias("_vals")) \
-                     .select("_rn", "_vals", F.explode(grid).alias("_k")) \
-                     .select(F.col("_k.f").alias("_feat"), F.col("_k.r").alias("_rep"),
-                             target.cast("bigint").alias("_target"), F.col("_vals")[F.col("_k.f")].alias("_val"))
-    paired = numbered.join(donors, numbered["_rn"] == donors["_target"], "inner").drop("_target")
+    # values in one type that holds them all
+    common = "double" if all(kinds[f] in ("double", "float", "int", "smallint", "tinyint") for f in features) else "string"
+    vals = F.array(*[as_col(f).cast(common) for f in features])
+    size = F.lit(max(n, 1)).cast(wide)
+    rn = F.col("_rn").cast(wide)
+    gifts = F.array(*[F.struct(F.pmod(F.lit(p).cast(wide) * rn + F.lit(c).cast(wide), size).cast("bigint").alias("target"),
+                               F.lit(k).cast("smallint").alias("k"), F.get("_vals", F.lit(features.index(f))).alias("val"))
+                      for k, ((f, _), p, c) in enumerate(zip(combos, primes, offsets))])
+    donors = numbered.select("_rn", vals.alias("_vals")).select(F.explode(gifts).alias("_g")) \
+                     .select(F.col("_g.target").alias("_target"), F.col("_g.k").alias("_k"), F.col("_g.val").alias("_val"))
+    paired = donors.join(numbered.hint("shuffle_hash"), donors["_target"] == numbered["_rn"], "inner").drop("_target", "_rn")
+    names, reps = F.array(*[F.lit(f) for f, _ in combos]), F.array(*[F.lit(r) for _, r in combos])
+    paired = paired.withColumn("_feat", F.get(names, F.col("_k").cast("int"))).withColumn("_rep", F.get(reps, F.col("_k").cast("int"))).drop("_k")
     shuffled = _replace_features(paired, features, "_feat", "_val", kinds)
     scores = evaluate(scorer.score(shuffled), metric, by=["_feat", "_rep"], y=y, **kw)
     sign = -1.0 if metric.upper() in LOWER_IS_BETTER else 1.0
@@ -129,15 +132,13 @@ def number_background(background: DataFrame, features) -> DataFrame:
     """Background rows as (_zi, _z_0.._z_k-1) with _zi = 0..n-1 in a hash order.
 
     Ids are content hashes plus a copy number (skew-free for duplicated rows) and
-    the numbering is ``row_numbers`` (bucketed running counts), so any background
+    the numbering is by equal slices of the hash (``number_by_hash``), so any background
     size works."""
-    from probity.plans.ordering import row_numbers
     from probity.sources.files import with_row_id
     bg = background.select(*[as_col(f).alias(f"_z_{i}") for i, f in enumerate(features)])
     bg = with_row_id(bg, out="_bid")
-    bg = bg.withColumn("_bh", F.conv(F.substring(F.md5("_bid"), 1, 13), 16, 10).cast("bigint").cast("double"))
-    return row_numbers(bg, "_bh", "_bid", out="_zi1").select(
-        (F.col("_zi1") - F.lit(1)).cast("int").alias("_zi"), *[f"_z_{i}" for i in range(len(list(features)))])
+    return number_by_hash(bg, tie_hash("_bid") / F.lit(float(1 << 52)), "_bid", out="_zi1").select(
+        (F.col("_zi1") - F.lit(1)).alias("_zi"), *[f"_z_{i}" for i in range(len(list(features)))])
 
 
 def sampled_shap(df: DataFrame, scorer: Scorer, features, background: DataFrame, id_col: str = "id",
@@ -158,7 +159,7 @@ def sampled_shap(df: DataFrame, scorer: Scorer, features, background: DataFrame,
     nbg = bgk.count()
     ex = spread_for_fanout(df, id_col).select(as_col(id_col).alias("_id"), *[as_col(f) for f in features]) \
            .withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
-    ex = ex.withColumn("_zi", F.floor(hash01("_id", "_m", salt=f"bg:{seed}") * F.lit(nbg)).cast("int"))
+    ex = ex.withColumn("_zi", F.pmod(hash_long("_id", "_m", salt=f"bg:{seed}"), F.lit(max(nbg, 1))))
     ex = ex.join(bgk, "_zi")          # equi-join; AQE broadcasts a small background
     # feature order: sort features by a hash per (row, sample)
     keys = F.array(*[F.struct(hash01("_id", "_m", F.lit(f), salt=f"ord:{seed}").alias("h"), F.lit(i).alias("i"))

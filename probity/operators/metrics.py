@@ -143,7 +143,13 @@ def auc(df: DataFrame, y="y", p="p", by=()) -> DataFrame:
     AUC = Σ pos·(negatives below + ties/2) / (P·N); null when a class is absent.
     """
     by = _by(by)
-    rs = running_sums(_pos_neg(df, y, p, by), "score", ["pos", "neg"], by)
+    return auc_of_counts(_pos_neg(df, y, p, by), by)
+
+
+def auc_of_counts(counts: DataFrame, by=()) -> DataFrame:
+    """``auc`` of (by..., score, pos, neg): rows or groups with their number of positives and negatives."""
+    by = _by(by)
+    rs = running_sums(counts, "score", ["pos", "neg"], by)
     u = F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / F.lit(2.0))
     g = rs.groupBy(*by).agg(F.sum("pos").cast("bigint").alias("n_pos"),
                             F.sum("neg").cast("bigint").alias("n_neg"), F.sum(u).alias("_u"))

@@ -1,23 +1,21 @@
 """Resilience: drift distances, worst samples and worst clusters.
 
-Distances for all features are computed in one long (feature, value) pass.  Ranks
-for worst samples come from ``row_numbers`` (skew-safe, no single-partition
-window); the alpha sweep ranks once and explodes each row into the alpha levels
-it belongs to (at most 10×).
+Distances for all features are computed in one long (feature, value) pass.  The worst
+samples come from a threshold search (``top_levels``): counts per residual bucket say
+where each share ends, and only rows of those buckets are ranked.  The alpha sweep gives
+each row the first level it belongs to and widens grouped counts, not rows, to the others.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.functions.binning import bin_index, scaled_edges
 from probity.functions.util import as_col
-from probity.operators.clean import standardize
-from probity.operators.metrics import LOWER_IS_BETTER, evaluate
-from probity.plans.ordering import row_numbers, running_sums
+from probity.operators.cluster import Clusters, assign_clusters, fit_clusters
+from probity.operators.metrics import LOWER_IS_BETTER, auc_of_counts, evaluate
+from probity.plans.ordering import running_sums, top_levels
 from probity.plans.quantiles import exact_quantiles
 from probity.plans.reshape import bounded_broadcast, to_long
 
@@ -26,6 +24,20 @@ PSI_FLOOR = 0.0001
 
 # ------------------------------------------------------------------------ PSI
 
+def _psi_edges(expected: DataFrame, features, buckets: int, kind: str) -> DataFrame:
+    """One row with the bin edges of feature i in column ``_e<i>``."""
+    if kind == "bins":
+        lows_highs = expected.agg(*[x for i, f in enumerate(features) for x in (F.min(as_col(f).cast("double")).alias(f"_lo{i}"),
+                                                                                 F.max(as_col(f).cast("double")).alias(f"_hi{i}"))])
+        return lows_highs.select(*[scaled_edges(f"_lo{i}", f"_hi{i}", buckets).alias(f"_e{i}") for i in range(len(features))])
+    if kind != "quantiles":
+        raise ValueError(kind)
+    qs = [(i / buckets * 100) / 100 for i in range(buckets + 1)]
+    q = exact_quantiles(to_long(expected, [], features), "value", qs, ["feature"], max_groups=len(features))
+    per = q.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "quantile"))), lambda s: s["quantile"]).alias("_e"))
+    return per.agg(*[F.max(F.when(F.col("feature") == f, F.col("_e"))).alias(f"_e{i}") for i, f in enumerate(features)])
+
+
 def psi(df: DataFrame, features, side: str = "side", expected="expected", actual="actual",
         buckets: int = 10, kind: str = "bins") -> DataFrame:
     """Population stability index per feature (K1, K2).
@@ -37,29 +49,19 @@ def psi(df: DataFrame, features, side: str = "side", expected="expected", actual
     PSI = Σ (e − a)·ln(e / a).
     """
     features = list(features)
-    long = to_long(df, [side], features)
-    exp_rows = long.where(F.col(side) == F.lit(expected))
-    if kind == "bins":
-        st = exp_rows.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-        edges = st.select("feature", scaled_edges("_lo", "_hi", buckets).alias("_e"))
-    elif kind == "quantiles":
-        qs = [(i / buckets * 100) / 100 for i in range(buckets + 1)]
-        q = exact_quantiles(exp_rows, "value", qs, ["feature"], max_groups=len(features))
-        edges = q.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("q", "quantile"))).alias("_qq")) \
-                 .select("feature", F.transform("_qq", lambda s: s["quantile"]).alias("_e"))
-    else:
-        raise ValueError(kind)
-    edges = bounded_broadcast(edges, len(features))
-    binned = long.join(edges, "feature").select(
-        "feature", F.col(side).alias("_side"), bin_index("value", "_e", buckets, "left").alias("bin"))
+    edges = _psi_edges(df.where(F.col(side) == F.lit(expected)), features, buckets, kind)
+    # one row of edges beside every row: values are binned in place and only bin numbers are spread out
+    wide = df.select(F.col(side).alias("_side"), *[as_col(f).cast("double").alias(f"_v{i}") for i, f in enumerate(features)]).crossJoin(F.broadcast(edges))
+    named = F.array(*[F.struct(F.lit(f).alias("feature"), bin_index(f"_v{i}", f"_e{i}", buckets, "left").alias("bin")) for i, f in enumerate(features)])
+    known = F.array(*[F.col(f"_e{i}")[0].isNotNull() for i in range(len(features))])  # no edges without expected values
+    binned = wide.select("_side", F.explode(F.filter(named, lambda b, i: F.get(known, i))).alias("_b")).select("_side", "_b.feature", "_b.bin")
     counts = binned.groupBy("feature", "bin").agg(
         F.sum(F.when(F.col("_side") == expected, 1).otherwise(0)).alias("_ce"),
         F.sum(F.when(F.col("_side") == actual, 1).otherwise(0)).alias("_ca"))
     # sample sizes from the (feature × bin) table, null bin included: no second scan
     n = counts.groupBy("feature").agg(F.sum("_ce").alias("_ne"), F.sum("_ca").alias("_na"))
-    grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bin"))
-    j = grid.join(counts.where(F.col("bin").isNotNull()), ["feature", "bin"], "left") \
-            .join(bounded_broadcast(n, len(features)), "feature")
+    grid = n.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bin"))
+    j = grid.join(counts.where(F.col("bin").isNotNull()), ["feature", "bin"], "left")
     e = F.try_divide(F.col("_ce"), F.col("_ne"))
     a = F.try_divide(F.col("_ca"), F.col("_na"))
     e = F.when(F.coalesce(F.col("_ce"), F.lit(0)) == 0, F.lit(PSI_FLOOR)).otherwise(e)
@@ -137,43 +139,44 @@ def decile_bins(df: DataFrame, feature: str, q: int = 10, out: str = "bin", edge
     return label_with_edges(j, feature, "_e_0", out, include_lowest).drop("_e_0")
 
 
+def _levels(df: DataFrame, cuts, residual: str, id_col: str, feature: str | None) -> DataFrame:
+    """Rows that a level takes in, with ``level``; with ``feature``, levels are of each of its decile bins."""
+    if feature is None:
+        return top_levels(df, residual, id_col, cuts)
+    base = decile_bins(df, feature, out="_bin").where(F.col("_bin").isNotNull())
+    return top_levels(base, residual, id_col, cuts, ["_bin"], max_groups=10).drop("_bin")
+
+
 def worst_samples(df: DataFrame, alpha: float = 0.1, residual: str = "residual", id_col: str = "id",
                   feature: str | None = None) -> DataFrame:
     """Rows with the int(alpha·n) largest residuals (K6); with ``feature``, the
     int(alpha·bin size) largest inside each decile bin of that feature (K7).
     Ties are broken by a hash of the id.  Rows with a null feature never qualify (Q23)."""
-    keys = []
-    base = df
-    if feature is not None:
-        base = decile_bins(df, feature, out="_bin").where(F.col("_bin").isNotNull())
-        keys = ["_bin"]
-    ranked = row_numbers(base, residual, id_col, keys, descending=True, out="_rank")
-    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    j = ranked.join(F.broadcast(sizes), keys) if keys else ranked.crossJoin(F.broadcast(sizes))
-    keep = F.col("_rank") <= F.floor(F.lit(float(alpha)) * F.col("_size"))
-    return j.where(keep).drop("_rank", "_size", *keys)
+    return _levels(df, [lambda n: F.floor(F.lit(float(alpha)) * n)], residual, id_col, feature).drop("level")
 
 
 def resilience_sweep(df: DataFrame, metric: str, alphas=10, residual: str = "residual", id_col: str = "id",
                      feature: str | None = None, **eval_kw) -> DataFrame:
-    """Score on the worst floor(n·i/10) rows for i = 1..10, plus the overall score
-    (K8, K9).  One ranking; each row is exploded into the levels that include it."""
-    keys = []
-    base = df
-    if feature is not None:
-        base = decile_bins(df, feature, out="_bin").where(F.col("_bin").isNotNull())
-        keys = ["_bin"]
-    ranked = row_numbers(base, residual, id_col, keys, descending=True, out="_rank")
-    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    j = ranked.join(F.broadcast(sizes), keys) if keys else ranked.crossJoin(F.broadcast(sizes))
-    # smallest level i whose cut floor(size*i/10) reaches this rank
-    levels = F.sequence(F.lit(1), F.lit(alphas))
-    ex = j.withColumn("level", F.explode(F.filter(levels, lambda i: F.col("_rank") <= F.floor(
-        F.col("_size") * i / F.lit(alphas)))))
-    ex = ex.withColumn("alpha", F.col("level") / F.lit(float(alphas)))
-    scores = evaluate(ex, metric, by=["level", "alpha"], **eval_kw)
+    """Score on the worst floor(n·i/10) rows for i = 1..10, plus the overall score (K8, K9).
+
+    Each row has the first level that takes it in.  Binary AUC counts labels per (first
+    level, score) and hands these counts on to the higher levels; other metrics are plain
+    grouped means, so their copies of a row never leave its task.
+    """
+    cuts = [lambda n, i=i: F.floor(n * F.lit(i) / F.lit(alphas)) for i in range(1, alphas + 1)]
+    first = _levels(df, cuts, residual, id_col, feature)
+    reach = F.explode(F.sequence(F.col("level"), F.lit(alphas)))
+    if metric.upper() == "AUC" and eval_kw.get("probs") is None:
+        label = F.when(as_col(eval_kw.get("y", "y")) == 1, 1).otherwise(0).cast("bigint")
+        counts = first.groupBy("level", as_col(eval_kw.get("p", "p")).cast("double").alias("score")).agg(
+            F.sum(label).alias("pos"), F.sum(F.lit(1).cast("bigint") - label).alias("neg"))
+        scores = auc_of_counts(counts.select(reach.alias("level"), "score", "pos", "neg"), ["level"]).select(
+            "level", F.lit("AUC").alias("metric"), F.col("auc").cast("double").alias("value"))
+    else:
+        scores = evaluate(first.withColumn("level", reach), metric, by=["level"], **eval_kw)
     overall = evaluate(df, metric, **eval_kw).select(F.col("value").alias("overall"))
-    return scores.crossJoin(overall).select("level", "alpha", "metric", "value", "overall")
+    alpha = (F.col("level") / F.lit(float(alphas))).alias("alpha")
+    return scores.crossJoin(F.broadcast(overall)).select("level", alpha, "metric", "value", "overall")
 
 
 def worst_vs_all_distance(df: DataFrame, worst: DataFrame, features, distance: str = "PSI",
@@ -194,38 +197,44 @@ def worst_vs_all_distance(df: DataFrame, worst: DataFrame, features, distance: s
 
 # ------------------------------------------------------------ worst clusters
 
-def worst_cluster(df: DataFrame, features, k: int, metric: str = "AUC", n_init: int = 10, seed: int = 0,
+def _worst_first(metric: str):
+    value = F.col("value")
+    return value.asc_nulls_last() if metric.upper() not in LOWER_IS_BETTER else value.desc_nulls_last()
+
+
+def cluster_scores(df: DataFrame, clusters: Clusters, metric: str = "AUC", **eval_kw) -> DataFrame:
+    """(k, cluster, metric, value) of every cluster of every k, in one job."""
+    assigned = assign_clusters(df, clusters).select("*", F.explode("clusters").alias("_c"))
+    return evaluate(assigned.withColumn("k", F.col("_c.k")).withColumn("cluster", F.col("_c.cluster")), metric, by=["k", "cluster"], **eval_kw)
+
+
+def worst_cluster(df: DataFrame, features, k: int, metric: str = "AUC", n_init: int = 10, seed: int = 0, id_col: str = "id",
                   **eval_kw) -> DataFrame:
-    """K-means on standardised features (best of ``n_init`` seeds by training cost),
-    score per cluster, worst first (K3, K4).  Lower-is-better metrics pick the highest."""
-    features = list(features)
-    z = standardize(df, features)
-    vec = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="error").transform(z)
-    vec = vec.cache()
-    best, best_cost = None, None
-    for s in range(n_init):
-        model = KMeans(k=k, seed=seed + s, featuresCol="_x", predictionCol="cluster").fit(vec)
-        cost = model.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = model, cost
-    assigned = best.transform(vec).drop("_x")
-    scores = evaluate(assigned, metric, by=["cluster"], **eval_kw).withColumn("k", F.lit(k))
-    vec.unpersist()
-    asc = metric.upper() not in LOWER_IS_BETTER
-    return scores.orderBy(F.col("value").asc() if asc else F.col("value").desc(), "cluster")
-
-
-def worst_cluster_sweep(df: DataFrame, features, metric: str = "AUC", max_k: int = 10, n_init: int = 10,
+    """K-means on standardised features (best of ``n_init`` starts), score per cluster, worst
+    first (K3, K4).  Lower-is-better metrics pick the highest; undefined scores come last."""
+    clusters = fit_clusters(df, features, [k], n_init, seed, id_col)
+    return cluster_scores(df, clusters, metric, **eval_kw).select("cluster", "metric", "value", "k").orderBy(_worst_first(metric), "cluster")
+
+
+def worst_cluster_rows(df: DataFrame, features, k: int, metric: str = "AUC", n_init: int = 10, seed: int = 0, id_col: str = "id",
+                       **eval_kw) -> DataFrame:
+    """Rows of the cluster with the worst score, with ``cluster``."""
+    clusters = fit_clusters(df, features, [k], n_init, seed, id_col)
+    worst = cluster_scores(df, clusters, metric, **eval_kw).orderBy(_worst_first(metric), "cluster").limit(1).select(F.col("cluster").alias("_worst"))  # one row
+    rows = assign_clusters(df, clusters).withColumn("cluster", F.get("clusters", F.lit(0))["cluster"]).drop("clusters")
+    return rows.join(F.broadcast(worst), F.col("cluster") == F.col("_worst"), "left_semi")
+
+
+def worst_cluster_sweep(df: DataFrame, features, metric: str = "AUC", max_k: int = 10, n_init: int = 10, seed: int = 0, id_col: str = "id",
                         **eval_kw) -> DataFrame:
-    """Worst-cluster score for k = 2..max_k next to the overall score (K5)."""
-    rows = None
-    asc = metric.upper() not in LOWER_IS_BETTER
-    for k in range(2, max_k + 1):
-        sc = worst_cluster(df, features, k, metric, n_init, **eval_kw)
-        pick = sc.orderBy(F.col("value").asc() if asc else F.col("value").desc(), "cluster").limit(1)
-        rows = pick if rows is None else rows.unionByName(pick)
+    """Worst-cluster score for k = 2..max_k next to the overall score (K5), all k fitted together."""
+    clusters = fit_clusters(df, features, range(2, max_k + 1), n_init, seed, id_col)
+    scores = cluster_scores(df, clusters, metric, **eval_kw)
+    sign = -1.0 if metric.upper() in LOWER_IS_BETTER else 1.0
+    key = F.struct(F.col("value").isNull().alias("none"), (F.lit(sign) * F.col("value")).alias("v"), "cluster")
+    worst = scores.groupBy("k", "metric").agg(F.min_by(F.struct("cluster", "value"), key).alias("w"))
     overall = evaluate(df, metric, **eval_kw).select(F.col("value").alias("overall"))
-    return rows.crossJoin(overall).select("k", "cluster", "metric", "value", "overall")
+    return worst.crossJoin(F.broadcast(overall)).select("k", "w.cluster", "metric", "w.value", "overall")
 
 
 def time_slice_drift(df: DataFrame, ts: str, features, slice_duration: str = "1 day", metric: str | None = None,

@@ -7,27 +7,41 @@ which at 100 TB is a non-starter.  The plan used here instead:
 
 1. **pre-aggregate** to one row per distinct (keys, order value): a hot value that
    holds a third of all rows becomes one row before anything is shuffled;
-2. cut the order axis into **range buckets** by a data-independent, monotone
-   function of the value (``order_bucket``), so the buckets need no sampling pass and
-   are identical in every job and after every retry;
+2. cut the order axis into **range buckets**: first by a data-independent, monotone
+   function of the value (``order_bucket``), then every crowded bucket evenly between
+   its own smallest and largest value (``fine_buckets``);
 3. running sums **inside** each (keys, bucket) partition, plus the exclusive prefix
    of bucket totals from a small (keys × occupied buckets) table, joined back (AQE
    turns that join into a broadcast when the table is small).
 
-Bucket resolution: ``per_binade`` buckets for every power-of-two range of |value|,
-so a bucket spans a relative width of 1/per_binade regardless of scale.
+Values are ordered in their own type (bigints above 2^53, decimals, dates and timestamps
+keep every digit); only bucket numbers are computed through doubles, whose rounding is
+monotone.
+
+Rows per bucket: ``PER_BINADE`` coarse buckets for every power-of-two range of |value|; a
+bucket of more than ``CROWDED`` distinct values is cut into ceil(distinct / PART) parts, so
+values spread evenly over a bucket leave about ``PART`` in each.  The ``MAX_SPLIT`` most
+crowded buckets are cut; any other holds at most 1 / MAX_SPLIT of all distinct values (or
+``CROWDED``).  Values that crowd inside one part of a bucket are the remaining exception.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from probity.functions.util import as_col, quote
 
 PER_BINADE = 4096
+CROWDED = 1 << 17            # distinct values of a bucket that is cut further
+PART = 1 << 16               # distinct values wanted in a part of it
+MAX_SPLIT = 8192             # buckets cut at most: bounds the broadcast table of cuts
+_MAX_PARTS = 1 << 24
 _EXP_SHIFT = 1100.0          # keeps e + shift > 0 for every finite double
 _TOP = 1 << 42               # bucket for +inf / NaN (beyond every finite bucket)
+_LAST = -(1 << 62)           # bucket of rows without an order value
+_HASH_BUCKETS = 1 << 16
 
 
 def order_bucket(x, per_binade: int = PER_BINADE) -> Column:
@@ -50,30 +64,69 @@ def order_bucket(x, per_binade: int = PER_BINADE) -> Column:
              .otherwise(F.lit(0)).cast("bigint"))
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols):
-    return [left[c].eqNullSafe(right[c]) for c in cols]
+def ordered_value(df: DataFrame, order: str) -> Column:
+    """The order column in its own type; doubles and floats as doubles with one zero."""
+    kind = df.schema[order].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return as_col(order).cast("double") + F.lit(0.0)
+    if isinstance(kind, (T.IntegralType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return as_col(order)
+    return as_col(order).cast("double") + F.lit(0.0)
+
+
+def axis(value: Column, kind: T.DataType) -> Column:
+    """A number that grows with the value and can be subtracted without losing digits."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("bigint")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(value.cast("timestamp"))
+    if isinstance(kind, T.IntegralType):
+        return value.cast("bigint")
+    return value
+
+
+def with_bucket(df: DataFrame, order: str, out: str = "__b") -> DataFrame:
+    """``df`` with the coarse bucket of its order column, a value of ``ordered_value``."""
+    return df.withColumn(out, order_bucket(axis(as_col(order), df.schema[order].dataType)))
+
+
+def fine_buckets(pre: DataFrame, keys, order: str, bucket: str = "__b", out: str = "__f") -> DataFrame:
+    """``pre`` (distinct values with their bucket) with the part of each crowded bucket; 0 in the others.
+
+    (bucket, part) grows with the value.  The cuts are a broadcast table of at most
+    MAX_SPLIT rows: (keys, bucket, smallest value, parts per unit).
+    """
+    ax = axis(as_col(order), pre.schema[order].dataType)
+    sizes = pre.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_cn"), F.min(ax).alias("_lo"), F.max(ax).alias("_hi"))
+    parts = F.least(F.ceil(F.col("_cn") / F.lit(float(PART))), F.lit(_MAX_PARTS)).cast("double")
+    cuts = sizes.where(F.col("_cn") > F.lit(CROWDED)).orderBy(F.col("_cn").desc()).limit(MAX_SPLIT).select(
+        *[F.col(quote(k)).alias(f"_ck{i}") for i, k in enumerate([*keys, bucket])], "_lo",
+        F.try_divide(parts, (F.col("_hi") - F.col("_lo")).cast("double")).alias("_per"))
+    on = [F.col(quote(k)).eqNullSafe(F.col(f"_ck{i}")) for i, k in enumerate([*keys, bucket])]
+    part = F.floor((ax - F.col("_lo")).cast("double") * F.col("_per")).cast("bigint")
+    return pre.join(F.broadcast(cuts), on, "left").select(
+        *[F.col(quote(c)) for c in pre.columns], F.coalesce(part, F.lit(0).cast("bigint")).alias(out))
 
 
-def running_sums(df: DataFrame, order: str, values, keys=(), descending: bool = False,
-                 per_binade: int = PER_BINADE) -> DataFrame:
+def running_sums(df: DataFrame, order: str, values, keys=(), descending: bool = False) -> DataFrame:
     """Running sums of ``values`` over distinct ``order`` values within ``keys``.
 
     Returns one row per (keys, distinct order value) with columns
     ``keys..., <order>, <v>..., cum_<v>... (inclusive), prev_<order>, next_<order>``
     where prev/next are the neighbouring distinct values in the sort direction
-    (null at the ends).  Rows with a null order value are ignored.
+    (null at the ends).  Rows with a null order value are ignored.  The order column keeps
+    its type (floats become doubles).
     """
     keys = list(keys)
     values = list(values)
-    sign = -1.0 if descending else 1.0
+    way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     src = df.where(as_col(order).isNotNull()).select(
-        *[as_col(k).alias(k) for k in keys],
-        (as_col(order).cast("double") * F.lit(sign) + F.lit(0.0)).alias("__o"),
+        *[as_col(k).alias(k) for k in keys], ordered_value(df, order).alias("__o"),
         *[as_col(v).alias(v) for v in values])
-    pre = src.groupBy(*keys, "__o").agg(*[F.sum(v).alias(v) for v in values])
-    pre = pre.withColumn("__b", order_bucket("__o", per_binade))
+    pre = with_bucket(src.groupBy(*keys, "__o").agg(*[F.sum(v).alias(v) for v in values]), "__o")
+    pre = fine_buckets(pre, keys, "__o")
 
-    w_in = Window.partitionBy(*keys, "__b").orderBy("__o")
+    w_in = Window.partitionBy(*keys, "__b", "__f").orderBy(way("__o"))
     w_run = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pre = pre.select(
         "*",
@@ -81,31 +134,31 @@ def running_sums(df: DataFrame, order: str, values, keys=(), descending: bool =
         F.lag("__o").over(w_in).alias("_prev_in"),
         F.lead("__o").over(w_in).alias("_next_in"))
 
-    tot = pre.groupBy(*keys, "__b").agg(
+    first, last = (F.max, F.min) if descending else (F.min, F.max)
+    tot = pre.groupBy(*keys, "__b", "__f").agg(
         *[F.sum(v).alias(f"_t_{v}") for v in values],
-        F.min("__o").alias("_bmin"), F.max("__o").alias("_bmax"))
-    w_b = Window.partitionBy(*keys).orderBy("__b")
+        first("__o").alias("_bfirst"), last("__o").alias("_blast"))
+    w_b = Window.partitionBy(*keys).orderBy(way("__b"), way("__f"))
     w_before = w_b.rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(
-        *keys, "__b",
+        *keys, "__b", "__f",
         *[F.coalesce(F.sum(f"_t_{v}").over(w_before), F.lit(0)).alias(f"_off_{v}") for v in values],
-        F.lag("_bmax").over(w_b).alias("_prev_b"),
-        F.lead("_bmin").over(w_b).alias("_next_b"))
+        F.lag("_blast").over(w_b).alias("_prev_b"),
+        F.lead("_bfirst").over(w_b).alias("_next_b"))
 
     t = tot.alias("t")
     p = pre.alias("p")
-    cond = [F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys] + [F.col("p.__b") == F.col("t.__b")]
+    cond = [F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys] + [
+        F.col("p.__b") == F.col("t.__b"), F.col("p.__f") == F.col("t.__f")]
     joined = p.join(t, cond, "inner")
-    back = F.lit(sign)
-    out = joined.select(
+    return joined.select(
         *[F.col(f"p.{k}").alias(k) for k in keys],
-        (F.col("p.__o") * back + F.lit(0.0)).alias(order),
+        F.col("p.__o").alias(order),
         *[F.col(f"p.{v}").alias(v) for v in values],
         *[(F.col(f"p._in_{v}") + F.col(f"t._off_{v}")).alias(f"cum_{v}") for v in values],
-        (F.coalesce(F.col("p._prev_in"), F.col("t._prev_b")) * back + F.lit(0.0)).alias(f"prev_{order}"),
-        (F.coalesce(F.col("p._next_in"), F.col("t._next_b")) * back + F.lit(0.0)).alias(f"next_{order}"),
+        F.coalesce(F.col("p._prev_in"), F.col("t._prev_b")).alias(f"prev_{order}"),
+        F.coalesce(F.col("p._next_in"), F.col("t._next_b")).alias(f"next_{order}"),
     )
-    return out
 
 
 def rank_table(df: DataFrame, order: str, keys=(), out: str = "rank", value_out: str = "_v") -> DataFrame:
@@ -126,13 +179,10 @@ def average_ranks(df: DataFrame, order: str, keys=(), out: str = "rank") -> Data
     ``rank()``.  Computed over distinct values, then joined back on (keys, value).
     """
     keys = list(keys)
-    base = df.withColumn("_one", F.lit(1).cast("bigint"))
-    rs = running_sums(base, order, ["_one"], keys)
-    ranks = rs.select(*keys, F.col(order).alias("_v"),
-                      (F.col("cum__one") - F.col("_one") + (F.col("_one") + F.lit(1)) / F.lit(2.0)).alias(out))
-    cond = [base[k].eqNullSafe(ranks[k]) for k in keys] + [(base[order].cast("double") + F.lit(0.0)) == ranks["_v"]]
-    joined = base.join(ranks, cond, "left")
-    return joined.select(*[base[c] for c in df.columns], ranks[out])
+    ranks = rank_table(df, order, keys, out)
+    cond = [df[k].eqNullSafe(ranks[k]) for k in keys] + [ordered_value(df, order) == ranks["_v"]]
+    joined = df.join(ranks, cond, "left")
+    return joined.select(*[df[c] for c in df.columns], ranks[out])
 
 
 def row_numbers(df: DataFrame, order: str, tiebreak: str, keys=(), descending: bool = False,
@@ -149,18 +199,110 @@ def row_numbers(df: DataFrame, order: str, tiebreak: str, keys=(), descending: b
     * the hash-collision remainder, ordered by the tie-breaker itself (groups of ~1).
     """
     keys = list(keys)
-    sign = -1.0 if descending else 1.0
-    h = F.conv(F.substring(F.md5(as_col(tiebreak).cast("string")), 1, 13), 16, 10).cast("bigint")
-    base = df.withColumn("_s", as_col(order).cast("double") * F.lit(sign) + F.lit(0.0)) \
-             .withColumn("_h", h.cast("double")).withColumn("_one", F.lit(1).cast("bigint"))
+    base = df.withColumn("_s", ordered_value(df, order)).withColumn("_h", tie_hash(tiebreak)) \
+             .withColumn("_one", F.lit(1).cast("bigint"))
 
-    a = running_sums(base, "_s", ["_one"], keys).select(
+    a = running_sums(base, "_s", ["_one"], keys, descending).select(
         *keys, "_s", (F.col("cum__one") - F.col("_one")).alias("_below"))
     b = running_sums(base, "_h", ["_one"], keys + ["_s"]).select(
         *keys, "_s", "_h", (F.col("cum__one") - F.col("_one")).alias("_tied_below"))
     w = Window.partitionBy(*keys, "_s", "_h").orderBy(as_col(tiebreak))
     c = base.withColumn("_coll", F.row_number().over(w) - F.lit(1))
 
-    j = c.join(a, [*keys, "_s"], "inner").join(b, [*keys, "_s", "_h"], "inner")
+    j = c
+    for table, on in ((a, [*keys, "_s"]), (b, [*keys, "_s", "_h"])):  # null keys are a group
+        names = [f"_rk{i}" for i in range(len(on))]
+        side = table.select(*[as_col(k).alias(m) for k, m in zip(on, names)], table.columns[-1])
+        j = j.join(side, [as_col(k).eqNullSafe(F.col(m)) for k, m in zip(on, names)], "inner").drop(*names)
     rn = (F.col("_below") + F.col("_tied_below") + F.col("_coll") + F.lit(1)).cast("bigint")
     return j.select(*[F.col(quote(x)) for x in df.columns], rn.alias(out))
+
+
+def tie_hash(tiebreak) -> Column:
+    """52-bit hash of a row id that orders ties."""
+    return F.conv(F.substring(F.md5(as_col(tiebreak).cast("string")), 1, 13), 16, 10).cast("bigint")
+
+
+# ---------------------------------------------------------- threshold searches
+
+def top_levels(df: DataFrame, order: str, tiebreak: str, cuts, keys=(), out: str = "level",
+               max_groups: int | None = None) -> DataFrame:
+    """Rows of the largest ``order`` values with the first level that takes them in.
+
+    ``cuts`` are functions from the rows of a key (a Column) to the rows of each level,
+    non-decreasing, at most a few dozen.  Level i (from 1) holds the cuts[i-1] rows that
+    come first by order descending, then by a hash of ``tiebreak``, then by it.  Rows
+    without an order value count, but come last and are left out, as are rows that no
+    level takes in.  ``max_groups`` bounds the keys (their thresholds are broadcast then).
+
+    A threshold search, not a ranking: counts per bucket say in which bucket each cut
+    falls.  Rows of all other buckets get their level from the bucket number; only rows of
+    cut buckets (one per level and key) are numbered.
+    """
+    keys = list(keys)
+    base = with_bucket(df.withColumn("_tv", ordered_value(df, order)), "_tv", "_tb").withColumn(
+        "_tb", F.coalesce("_tb", F.lit(_LAST).cast("bigint")))
+    hist = base.groupBy(*keys, "_tb").agg(F.count(F.lit(1)).alias("_c"))
+    each = Window.partitionBy(*keys)
+    down = each.orderBy(F.col("_tb").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.select(*keys, "_tb", "_c", F.sum("_c").over(down).alias("_cum"), F.sum("_c").over(each).alias("_size"))
+    # the bucket in which each level ends, with the rows before it
+    wanted = F.array(*[F.struct(F.lit(i + 1).alias("i"), cut(F.col("_size")).cast("bigint").alias("n")) for i, cut in enumerate(cuts)])
+    ends = hist.select(*keys, "_tb", (F.col("_cum") - F.col("_c")).alias("_before"), "_cum", F.explode(wanted).alias("_w")).where(
+        (F.col("_w.n") > F.col("_before")) & (F.col("_w.n") <= F.col("_cum")))
+    place = F.struct(F.col("_w.i").alias("i"), F.col("_tb").alias("b"), F.col("_before").alias("before"), F.col("_w.n").alias("n"),
+                     (F.col("_w.n") == F.col("_cum")).alias("whole"))
+    found = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(place)).alias("_ends"))  # one entry a level
+    if keys:
+        names = [f"_tk{i}" for i in range(len(keys))]
+        found = found.select(*[F.col(quote(k)).alias(n) for k, n in zip(keys, names)], "_ends")
+        found = F.broadcast(found) if max_groups is not None and max_groups <= MAX_SPLIT else found
+        placed = base.join(found, [F.col(quote(k)).eqNullSafe(F.col(n)) for k, n in zip(keys, names)], "inner").drop(*names)
+    else:
+        placed = base.crossJoin(F.broadcast(found))
+    # the first level that ends at or below the row's bucket; levels without rows have no entry
+    reach = F.filter("_ends", lambda e: e["b"] <= F.col("_tb"))
+    hit = F.get(reach, 0)
+    placed = placed.where(F.col("_tv").isNotNull() & (F.size(reach) > 0)).withColumn("_hit", hit)
+    inside = (F.col("_hit.b") == F.col("_tb")) & ~F.col("_hit.whole")
+    settled = placed.where(~inside).withColumn(out, F.col("_hit.i"))
+    open_ = row_numbers(placed.where(inside), "_tv", tiebreak, keys + ["_tb"], descending=True, out="_tr")
+    later = F.get(F.filter("_ends", lambda e: (e["b"] < F.col("_tb")) | (
+        (e["b"] == F.col("_tb")) & (e["n"] - e["before"] >= F.col("_tr")))), 0)
+    open_ = open_.withColumn("_hit", later).where(F.col("_hit").isNotNull()).withColumn(out, F.col("_hit.i"))
+    names = [F.col(quote(c)) for c in df.columns] + [F.col(out).cast("int").alias(out)]
+    return settled.select(*names).unionByName(open_.select(*names))
+
+
+def number_by_hash(df: DataFrame, hash01: Column, tiebreak: str, out: str = "rn") -> DataFrame:
+    """1-based row number in order of a uniform draw in [0, 1), ties by ``tiebreak``.
+
+    A hash is spread evenly whatever the data are, so equal slices of [0, 1) are balanced
+    buckets: one shuffle of the rows, and a broadcast of at most _HASH_BUCKETS offsets.
+    """
+    base = df.withColumn("_hv", hash01).withColumn("_hb", F.floor(F.col("_hv") * F.lit(float(_HASH_BUCKETS))).cast("int"))
+    before = Window.orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)  # over the counts of _HASH_BUCKETS buckets
+    offsets = base.groupBy(F.col("_hb").alias("_ob")).agg(F.count(F.lit(1)).alias("_c")).select(
+        "_ob", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_hb").orderBy("_hv", as_col(tiebreak))
+    j = base.withColumn("_in", F.row_number().over(w)).join(F.broadcast(offsets), F.col("_hb") == F.col("_ob"))
+    return j.select(*[F.col(quote(c)) for c in df.columns], (F.col("_in") + F.col("_off")).cast("bigint").alias(out))
+
+
+def first_by_hash(df: DataFrame, hash01: Column, tiebreak: str, n: int) -> DataFrame:
+    """Exactly min(n, rows) rows: those with the smallest draws, ties by ``tiebreak``.
+
+    All buckets of draws below the one in which the n-th row falls are taken as they are;
+    only that bucket is numbered.
+    """
+    base = df.withColumn("_hv", hash01).withColumn("_hb", F.floor(F.col("_hv") * F.lit(float(_HASH_BUCKETS))).cast("int"))
+    up = Window.orderBy("_ob").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # _HASH_BUCKETS rows
+    cut = base.groupBy(F.col("_hb").alias("_ob")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_cum", F.sum("_c").over(up)) \
+              .where((F.col("_cum") >= F.lit(n)) & (F.col("_cum") - F.col("_c") < F.lit(n)))
+    edge = cut.agg(F.min("_ob").alias("_edge"), F.min(F.lit(n) - (F.col("_cum") - F.col("_c"))).alias("_left"))  # one row; nulls if there are fewer rows
+    j = base.crossJoin(F.broadcast(edge))
+    names = [F.col(quote(c)) for c in df.columns]
+    below = j.where(F.col("_edge").isNull() | (F.col("_hb") < F.col("_edge"))).where(F.lit(n > 0))
+    w = Window.partitionBy("_hb").orderBy("_hv", as_col(tiebreak))
+    at = j.where(F.col("_hb") == F.col("_edge")).withColumn("_in", F.row_number().over(w)).where(F.col("_in") <= F.col("_left"))
+    return below.select(*names).unionByName(at.select(*names))

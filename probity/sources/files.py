@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from probity.functions.hashing import hash01
 from probity.functions.util import quote
+from probity.plans.ordering import first_by_hash
 
 
 @dataclass(frozen=True)
@@ -92,8 +93,7 @@ def prepare_preset(df: DataFrame, spec: DatasetSpec, id_col: str = "id", seed: i
     and keep ``sample`` rows chosen by a hash of the id (S2, S3)."""
     out = df.drop(*[c for c in spec.drop if c in df.columns]).na.drop(how="any")
     if spec.sample:
-        out = out.withColumn("_u", hash01(id_col, salt=f"sample:{seed}")).orderBy("_u", id_col) \
-                 .limit(spec.sample).drop("_u")
+        out = first_by_hash(out, hash01(id_col, salt=f"sample:{seed}"), id_col, spec.sample)
     return out
 
 

@@ -94,13 +94,12 @@ def test_category_noise_size_zero_and_one(spark):
 def test_weak_spots_and_rules(spark, data):
     test = data.where("split = 'test'").withColumn("yh", (F.col("x1") > 0).cast("int"))
     flagged = weakspot.correctness(test)
-    asm, model = weakspot.segment_tree(flagged, ["x1", "x2"])
-    leaves = weakspot.assign_leaves(flagged, asm, model)
+    tree = weakspot.segment_tree(flagged, ["x1", "x2"])
+    leaves = weakspot.assign_leaves(flagged, tree)
     table = weakspot.leaf_table(leaves, ["x1", "x2"]).collect()
     assert sum(r["count"] for r in table) == test.count()
-    rules = weakspot.tree_rules(model, ["x1", "x2"])
-    assert len(rules) == model.numNodes - (model.numNodes - 1) // 2
-    assert {r["leaf"] for r in table} <= {i for i, _ in rules}
+    rules = weakspot.tree_rules(tree)
+    assert [i for i, _ in rules] == list(range(len(tree.leaves()))) and {r["leaf"] for r in table} == {i for i, _ in rules}
 
 
 def test_training_and_leaderboard(spark, data):
