@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from probity.llm.common import materialise, rows, without_ids
 from probity.llm.license_scan import words_of
 
-MAX_EXAMPLES = 32_768
+MAX_EXAMPLES = 4_096
 MAX_TERMS = 1_024
 MIN_DOCS = 5
 MIN_CHI2 = 30.0
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 16
 BLOCK = 64
+FEW = 6  # blocks scored one by one
 _FLUSH = 300_000
 _STORE = 400_000
 _CACHE = 50_000
@@ -115,69 +116,104 @@ def unit_vector(terms, tf, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BlockMaxIndex:
-    """Examples (id, label, terms, unit weights) in blocks, with each term's largest weight by block."""
+    """Examples (id, label, terms, unit weights) in blocks, with each term's largest weight by block.
+
+    Examples with equal vectors are one entry; postings are ordered by term and block.
+    """
 
     def __init__(self, examples: list[tuple], n_terms: int):
-        # blocks of examples with the same leading term have tight bounds
-        examples = sorted(examples, key=lambda e: (int(e[2][np.argmax(e[3])]), e[0]))
+        examples = sorted(examples, key=lambda e: e[0])
         self.ids = np.array([e[0] for e in examples], dtype=np.int64)
         self.labels = np.array([e[1] for e in examples], dtype=float)
-        blocks = -(-len(examples) // BLOCK)
-        self.top = np.zeros((n_terms, blocks))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(blocks):
-            lists: dict[int, tuple[list, list]] = {}
-            for j, (_, _, terms, weights) in enumerate(examples[b * BLOCK:(b + 1) * BLOCK]):
-                for t, w in zip(terms.tolist(), weights.tolist()):
-                    at, ws = lists.setdefault(t, ([], []))
-                    at.append(j)
-                    ws.append(w)
-            self.postings.append({t: (np.array(a), np.array(w)) for t, (a, w) in lists.items()})
-            for t, (_, w) in lists.items():
-                self.top[t, b] = max(w)
+        equal: dict[tuple, list[int]] = {}
+        for i, (_, _, terms, weights) in enumerate(examples):
+            equal.setdefault((terms.tobytes(), weights.tobytes()), []).append(i)
+        # blocks of entries with the same heaviest terms have tight bounds
+        heavy = lambda m: (tuple(examples[m[0]][2][np.argsort(-examples[m[0]][3], kind="stable")[:4]].tolist()), m[0])
+        members = sorted(equal.values(), key=heavy)
+        self.members = [np.array(m) for m in members]
+        block = np.arange(len(members)) // BLOCK
+        entry = np.repeat(np.arange(len(members)), [len(examples[m[0]][2]) for m in members])
+        term = np.concatenate([examples[m[0]][2] for m in members])
+        weight = np.concatenate([examples[m[0]][3] for m in members])
+        self.top = np.zeros((n_terms, int(block[-1]) + 1))
+        np.maximum.at(self.top, (term, block[entry]), weight)
+        order = np.argsort(term, kind="stable")  # postings of a term lie together, those of a block in it too
+        self.entry, self.weight = entry[order], weight[order]
+        cells = term[order] * self.top.shape[1] + block[self.entry]
+        self.start = np.searchsorted(cells, np.arange(self.top.size + 1)).reshape(-1)
+
+    def _scores(self, terms: list[int], weights: list[float], first: int, last: int) -> np.ndarray:
+        """Cosines of the entries of blocks first to last - 1, from their part of the posting lists."""
+        blocks, low, high = self.top.shape[1], first * BLOCK, min(last * BLOCK, len(self.members))
+        parts = [(w, self.start[t * blocks + first], self.start[t * blocks + last]) for t, w in zip(terms, weights)]
+        entry = np.concatenate([self.entry[a:b] for _, a, b in parts])
+        return np.bincount(entry - low if low else entry, weights=np.concatenate([w * self.weight[a:b] for w, a, b in parts]), minlength=high - low)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, int]]:
-        """(cosine, example number) of the k nearest with a common term; ties to smaller ids."""
+        """(cosine, example number) of the k nearest with a common term; ties to smaller ids.
+
+        The two blocks of highest bound give a first k-th cosine; then all blocks whose bound
+        reaches it are scored: one by one if they are few, else by whole posting lists.
+        """
         bound = weights @ self.top[terms]
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - 1e-9):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                found = self.postings[b].get(t)
-                if found is not None:
-                    score[found[0]] += w * found[1]
-            for j in np.flatnonzero(score > 0):
-                i = int(b) * BLOCK + int(j)
-                if i != without:
-                    best.append((round(float(score[j]), 12), -int(self.ids[i]), i))
-            best = sorted(best, reverse=True)[:k]
-        return [(s, i) for s, _, i in best]
-
-    def vote(self, found: list[tuple[float, int]]) -> float:
-        """Share of label 1, each neighbour weighing 1 / (distance + 0.1)."""
-        cos = np.array([s for s, _ in found])
-        weight = 1 / (np.sqrt(np.maximum(0, 2 - 2 * cos)) + 0.1)
-        return float((weight * self.labels[[i for _, i in found]]).sum() / weight.sum())
+        ts, ws = terms.tolist(), weights.tolist()
+        wanted, blocks = k + (without is not None), len(bound)
+        order = np.argpartition(-bound, 2)[:2].tolist() if blocks > 2 else list(range(blocks))
+        found = {b: self._scores(ts, ws, b, b + 1) for b in order}
+
+        def kth(score):  # each entry is one example at least: a lower bound of the k-th example's cosine
+            return float(np.partition(score, len(score) - wanted)[len(score) - wanted]) if len(score) > wanted else 0.0
+
+        floor = kth(np.concatenate(list(found.values())))
+        left = [b for b in np.flatnonzero((bound > 0) & (bound >= floor - 1e-9)).tolist() if b not in found]
+        if len(left) > FEW:
+            entries, score = np.arange(len(self.members)), self._scores(ts, ws, 0, blocks)
+        else:
+            found |= {b: self._scores(ts, ws, b, b + 1) for b in left}
+            entries = np.concatenate([np.arange(b * BLOCK, b * BLOCK + len(x)) for b, x in found.items()])
+            score = np.concatenate(list(found.values()))
+        near = np.flatnonzero((score > 0) & (score >= kth(score) - 1e-9))
+        pairs = [(-round(float(score[e]), 12), i) for e in near.tolist() for i in self.members[entries[e]][:wanted].tolist()]
+        return [(-s, i) for s, i in sorted(pairs) if i != without][:k]  # examples are numbered by id
+
+    def vote(self, found: list[tuple[float, int]], k: int) -> float:
+        """Share of label 1, a neighbour at distance d weighing 1 / (d**2 + 0.01).
+
+        The rate of label 1 weighs in like k neighbours without a common term, so that
+        distant neighbours alone say little.
+        """
+        weight = 1 / (np.maximum(0, 2 - 2 * np.array([s for s, _ in found])) + 0.01)
+        prior = k / 2.01
+        return float(((weight * self.labels[[i for _, i in found]]).sum() + prior * self.labels.mean()) / (weight.sum() + prior))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators fit of y on x: (x, fitted), each pool shrunk by one even vote."""
-    order = np.argsort(x, kind="stable")
+    """Pool-adjacent-violators fit of y on x: (x, fitted), each pool shrunk by one even vote; equal x are one point."""
+    points, at = np.unique(x, return_inverse=True)
     pools: list[list[float]] = []  # [sum y, weight, last x]
-    for value, label in zip(x[order].tolist(), y[order].tolist()):
-        if pools and pools[-1][2] == value:
-            pools[-1][0] += label
-            pools[-1][1] += 1
-        else:
-            pools.append([label, 1.0, value])
+    for total, weight, value in zip(np.bincount(at, weights=y).tolist(), np.bincount(at).tolist(), points.tolist()):
+        pools.append([total, float(weight), value])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, w, last = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + w, last]
     return np.array([p[2] for p in pools]), np.array([(p[0] + 0.5) / (p[1] + 1) for p in pools])
 
 
+def _votes(batches, model, k):
+    """(vote, label) of examples by the others."""
+    idf, index = model.value
+    for batch in batches:
+        votes, labels = [], []
+        for id_, terms, tf in rows(batch, "id", "terms", "tf"):
+            own = int(np.searchsorted(index.ids, id_))
+            found = index.nearest(*unit_vector(terms, tf, idf), k, without=own)
+            if found:
+                votes.append(index.vote(found, k))
+                labels.append(index.labels[own])
+        yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(labels, pa.float64())], names=["vote", "label"])
+
+
 def _score(batches, model, k):
     idf, index, xs, ys, empty_rate = model.value
     cache: dict[tuple, tuple] = {}
@@ -188,7 +224,7 @@ def _score(batches, model, k):
             got = cache.get(key)
             if got is None:
                 found = index.nearest(*unit_vector(terms, tf, idf), k) if terms and index is not None else []
-                score = float(np.interp(index.vote(found), xs, ys)) if found else empty_rate
+                score = float(np.interp(index.vote(found, k), xs, ys)) if found else empty_rate
                 got = (score, [{"example": int(index.ids[i]), "cosine": s, "label": int(index.labels[i])} for s, i in found])
                 if len(cache) >= _CACHE:
                     cache.clear()
@@ -210,7 +246,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Labels are learned only from rows that are not held out, at most ``max_examples`` of
     them by hash of the id; null labels and ids teach nothing, an id labelled twice counts
-    by its largest label.  Null and empty texts and texts without a term of the vocabulary
+    by its largest label, as do equal texts, which are one example; an id with several texts
+    is learned from the one whose term numbers sort first.  Null and empty texts and texts without a term of the vocabulary
     get the rate of label 1 among such examples and no evidence; without any labels all
     scores are 0.  Repeated rows are scored alike.  Other columns are never read.
     """
@@ -220,7 +257,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
              .groupBy(F.col(f"`{id_col}`").cast("long").alias("_id")).agg(F.max(F.col(f"`{label_col}`")).cast("int").alias("label"))
              .orderBy(F.xxhash64("_id"), "_id").limit(max_examples))
     chosen = F.broadcast(materialise(known))  # at most max_examples rows of 12 bytes
-    sample = materialise(base.join(chosen, F.col("id") == F.col("_id")).select("id", "text", "label").dropDuplicates(["text"]))
+    sample = materialise(base.join(chosen, F.col("id") == F.col("_id")).groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label")))
     size = sample.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
     total, positive = size["n"], size["p"] or 0
     terms = _select_terms(sample, total, positive, max_terms) if 0 < positive < total else []
@@ -231,9 +268,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # one row per term
         df[r["t"]] = r["n"]
     idf = np.log((1 + docs.count()) / (1 + df)) + 1
+    of_sample = sample.groupBy(F.col("id").alias("_id")).agg(F.max("label").alias("label"))
+    known = materialise(vectors.join(F.broadcast(of_sample), F.col("id") == F.col("_id")).groupBy("id")
+                        .agg(F.min(F.struct("terms", "tf")).alias("v"), F.max("label").alias("label")).select("id", "label", "v.terms", "v.tf"))
     examples, empty = [], [0, 0]
-    of_sample = sample.select(F.col("id").alias("_id"), "label").dropDuplicates(["_id"])
-    for r in vectors.join(F.broadcast(of_sample), F.col("id") == F.col("_id")).dropDuplicates(["id"]).select("id", "label", "terms", "tf").collect():
+    for r in known.collect():  # at most max_examples
         if r["terms"]:
             examples.append((r["id"], r["label"], *unit_vector(r["terms"], r["tf"], idf)))
         else:
@@ -241,11 +280,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     index = BlockMaxIndex(examples, len(terms)) if examples else None
     xs, ys = np.array([0.0, 1.0]), np.array([0.0, 1.0])
     if index is not None:
-        by_id = {e[0]: e for e in examples}
-        votes = [(index.vote(found), index.labels[i]) for i in range(len(examples))
-                 if (found := index.nearest(*by_id[int(index.ids[i])][2:], k, without=i))]
+        fitted = spark.sparkContext.broadcast((idf, index))
+        tasks = max(spark.sparkContext.defaultParallelism, len(examples) // 1_000)
+        votes = known.where(F.size("terms") > 0).repartition(tasks).mapInArrow(lambda it: _votes(it, fitted, k), "vote double, label double").collect()
         if votes:
-            xs, ys = isotonic(*(np.array(v) for v in zip(*votes)))
+            xs, ys = isotonic(np.array([v["vote"] for v in votes]), np.array([v["label"] for v in votes]))
     rate = empty[1] / max(1, sum(empty))
     model = spark.sparkContext.broadcast((idf, index, xs, ys, rate))  # bounded by max_examples and max_terms
     scored = vectors.mapInArrow(lambda it: _score(it, model, k), "id long, score double, evidence array<struct<example:long,cosine:double,label:int>>")
