@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from probity.llm.common import rows
 
 # Element names of HTML.
-RAW_TEXT = frozenset("script style noscript template svg math textarea iframe object canvas audio video select title head noembed noframes xmp".split())
+RAW_TEXT = frozenset("script style noscript template svg textarea iframe object canvas audio video select title noembed noframes xmp".split())
+#: Of these, the ones whose text is no markup: without an end tag they last to the end of the page.
+UNPARSED = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINERS = frozenset("article aside body details dialog div footer form header main menu nav ol search section table ul fieldset blockquote figure button label li p".split())
@@ -42,7 +44,8 @@ PART_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor
                        "social-links related-posts related-articles comment-list comments-area main-nav main-menu nav-bar site-header site-footer site-nav page-header page-footer "
                        "newsletter-signup newsletter-form login-form side-bar skip-link".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+# a tag's name is followed by a blank, a slash or its end, and no < stands in it outside quotes: else the < is text
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?=[\s/>])(?:[^"'<>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:-]*)((?=[\s/>])[^<>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
@@ -88,40 +91,44 @@ def tokens(page: str) -> tuple[list[tuple[str, str, Box | None]], list[Box]]:
     stack: list[Box] = []
     boxes: list[Box] = []
     opened = Counter()
-    at, skip = 0, None
-    for m in _TOKEN.finditer(page):
-        if skip is None and m.start() > at:
+    at = 0
+    while (m := _TOKEN.search(page, at)) is not None:
+        if m.start() > at:
             out.append(("text", page[at:m.start()], stack[-1] if stack else None))
-        name = (m[2] or m[5] or "").lower()
-        close = (m[1] or m[4]) == "/"
-        if skip is not None:
-            if close and name == skip:
-                skip = None
-        elif name:
-            attrs = m[3] or m[6] or ""
-            if not close and name in RAW_TEXT and not attrs.endswith("/"):
-                skip = name
-            elif close:
-                if opened[name]:
-                    while True:
-                        last = stack.pop().name
-                        opened[last] -= 1
-                        if last == name:
-                            break
-            elif name in CONTAINERS:
-                while stack and (stack[-1].name == "p" or (name == "li" and stack[-1].name == "li")):
-                    opened[stack.pop().name] -= 1
-                box = Box(name, _own(name, attrs), stack[-1] if stack else None)
-                opened[name] += 1
-                stack.append(box)
-                boxes.append(box)
-            out.append(("tag", ("/" if close else "") + name, stack[-1] if stack else None))
         at = m.end()
-    if skip is None and at < len(page):
+        name = (m[2] or m[5] or "").lower()
+        if not name:
+            continue
+        close, attrs = (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        if not close and name in RAW_TEXT and not attrs.endswith("/"):
+            end = _end_tag(name).search(page, at)  # whatever stands before it is no markup of this page
+            if end is not None or name in UNPARSED:
+                at = end.end() if end is not None else len(page)
+        elif close:
+            if opened[name]:
+                while True:
+                    last = stack.pop().name
+                    opened[last] -= 1
+                    if last == name:
+                        break
+        elif name in CONTAINERS:
+            while stack and (stack[-1].name == "p" or (name == "li" and stack[-1].name == "li")):
+                opened[stack.pop().name] -= 1
+            box = Box(name, _own(name, attrs), stack[-1] if stack else None)
+            opened[name] += 1
+            stack.append(box)
+            boxes.append(box)
+        out.append(("tag", ("/" if close else "") + name, stack[-1] if stack else None))
+    if at < len(page):
         out.append(("text", page[at:], stack[-1] if stack else None))
     return out, boxes
 
 
+@lru_cache(maxsize=len(RAW_TEXT))
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
+
+
 def content_mark(boxes: list[Box]) -> str | None:
     """The element that marks content: main, else article, else none."""
     names = {b.name for b in boxes}
