@@ -43,6 +43,9 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.store = Tokenizer.from_file(path), {}
+        normaliser = self.tokenizer.normalizer
+        self.normal = normaliser.normalize_str if normaliser is not None else str
+        self.folds = self.normal("AZ") == "az"
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -50,12 +53,15 @@ class ChunkTokenizer:
     def _learn(self, missing: set[str]) -> None:
         """Store chunks; a word with a mark behind it, or with capitals, is put together from its parts.
 
-        Letters and other signs never share a token, and the vocabulary folds case.
+        Letters and other signs never share a token.  What counts as a letter is the word's
+        end after normalising; capitals are folded only if the vocabulary folds them.
         """
         parts = {}
         for chunk in missing:
-            low = chunk.lower() if chunk.isascii() else chunk
-            parts[chunk] = (low[:-1], low[-1]) if low[-1] in ".,;:!?" and low[-2:-1].isalpha() else (low,)
+            low = chunk.lower() if self.folds and chunk.isascii() else chunk
+            word = low[:-1] if low[-1] in ".,;:!?" else ""
+            ends = word[-1:].isalpha() and (word.isascii() or self.normal(word)[-1:].isalpha())
+            parts[chunk] = (word, low[-1]) if ends else (low,)
         new = list({p for ps in parts.values() for p in ps}.difference(self.store))
         self.store.update(zip(new, self._ids(new)))
         self.store.update((chunk, b"".join(map(self.store.__getitem__, ps))) for chunk, ps in parts.items())
