@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.functions.binning import bin_index, scaled_edges
+from probity.functions.binning import bin_index, even_bin_index, scaled_edges
 from probity.functions.util import as_col
 from probity.operators.cluster import Clusters, assign_clusters, fit_clusters
 from probity.operators.metrics import LOWER_IS_BETTER, auc_of_counts, evaluate
 from probity.plans.ordering import running_sums, top_levels
 from probity.plans.quantiles import exact_quantiles
 from probity.plans.reshape import bounded_broadcast, to_long
+from probity.session import cut_lineage
 
 PSI_FLOOR = 0.0001
 
@@ -50,18 +51,18 @@ def psi(df: DataFrame, features, side: str = "side", expected="expected", actual
     """
     features = list(features)
     edges = _psi_edges(df.where(F.col(side) == F.lit(expected)), features, buckets, kind)
-    # one row of edges beside every row: values are binned in place and only bin numbers are spread out
-    wide = df.select(F.col(side).alias("_side"), *[as_col(f).cast("double").alias(f"_v{i}") for i, f in enumerate(features)]).crossJoin(F.broadcast(edges))
-    named = F.array(*[F.struct(F.lit(f).alias("feature"), bin_index(f"_v{i}", f"_e{i}", buckets, "left").alias("bin")) for i, f in enumerate(features)])
-    known = F.array(*[F.col(f"_e{i}")[0].isNotNull() for i in range(len(features))])  # no edges without expected values
-    binned = wide.select("_side", F.explode(F.filter(named, lambda b, i: F.get(known, i))).alias("_b")).select("_side", "_b.feature", "_b.bin")
+    edges = edges.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_e{i}").alias("_e")) for i, f in enumerate(features)])).alias("_x")) \
+                 .select("_x.feature", "_x._e").where(F.col("_e")[0].isNotNull())  # no edges without expected values
+    spot = even_bin_index if kind == "bins" else bin_index
+    binned = to_long(df, [side], features).join(bounded_broadcast(edges, len(features)), "feature").select(
+        "feature", F.col(side).alias("_side"), F.coalesce(spot("value", "_e", buckets), F.lit(-1)).alias("bin"))  # -1: outside; no null, so that both uses of the counts share one plan
     counts = binned.groupBy("feature", "bin").agg(
         F.sum(F.when(F.col("_side") == expected, 1).otherwise(0)).alias("_ce"),
         F.sum(F.when(F.col("_side") == actual, 1).otherwise(0)).alias("_ca"))
     # sample sizes from the (feature × bin) table, null bin included: no second scan
     n = counts.groupBy("feature").agg(F.sum("_ce").alias("_ne"), F.sum("_ca").alias("_na"))
     grid = n.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bin"))
-    j = grid.join(counts.where(F.col("bin").isNotNull()), ["feature", "bin"], "left")
+    j = grid.join(counts, ["feature", "bin"], "left")
     e = F.try_divide(F.col("_ce"), F.col("_ne"))
     a = F.try_divide(F.col("_ca"), F.col("_na"))
     e = F.when(F.coalesce(F.col("_ce"), F.lit(0)) == 0, F.lit(PSI_FLOOR)).otherwise(e)
@@ -170,7 +171,7 @@ def resilience_sweep(df: DataFrame, metric: str, alphas=10, residual: str = "res
         label = F.when(as_col(eval_kw.get("y", "y")) == 1, 1).otherwise(0).cast("bigint")
         counts = first.groupBy("level", as_col(eval_kw.get("p", "p")).cast("double").alias("score")).agg(
             F.sum(label).alias("pos"), F.sum(F.lit(1).cast("bigint") - label).alias("neg"))
-        scores = auc_of_counts(counts.select(reach.alias("level"), "score", "pos", "neg"), ["level"]).select(
+        scores = auc_of_counts(cut_lineage(counts).select(reach.alias("level"), "score", "pos", "neg"), ["level"]).select(
             "level", F.lit("AUC").alias("metric"), F.col("auc").cast("double").alias("value"))
     else:
         scores = evaluate(first.withColumn("level", reach), metric, by=["level"], **eval_kw)

@@ -18,6 +18,9 @@ Values are ordered in their own type (bigints above 2^53, decimals, dates and ti
 keep every digit); only bucket numbers are computed through doubles, whose rounding is
 monotone.
 
+Tables that the optimizer estimates at fewer than ``WINDOW_ROWS`` rows are not cut further:
+whatever their values, a bucket fits one task, and the plan stays small.
+
 Rows per bucket: ``PER_BINADE`` coarse buckets for every power-of-two range of |value|; a
 bucket of more than ``CROWDED`` distinct values is cut into ceil(distinct / PART) parts, so
 values spread evenly over a bucket leave about ``PART`` in each.  The ``MAX_SPLIT`` most
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from probity.functions.util import as_col, quote
+from probity.session import cut_lineage
 
 PER_BINADE = 4096
 CROWDED = 1 << 17            # distinct values of a bucket that is cut further
@@ -40,6 +44,8 @@ MAX_SPLIT = 8192             # buckets cut at most: bounds the broadcast table o
 _MAX_PARTS = 1 << 24
 _EXP_SHIFT = 1100.0          # keeps e + shift > 0 for every finite double
 _TOP = 1 << 42               # bucket for +inf / NaN (beyond every finite bucket)
+WINDOW_ROWS = 1 << 21        # rows that one window may take in
+_ROW_BYTES = 8               # taken for a row of an estimate
 _LAST = -(1 << 62)           # bucket of rows without an order value
 _HASH_BUCKETS = 1 << 16
 
@@ -85,6 +91,14 @@ def axis(value: Column, kind: T.DataType) -> Column:
     return value
 
 
+def may_exceed(df: DataFrame, rows: int) -> bool:
+    """Whether the optimizer's size estimate allows more than ``rows`` rows; no job runs.
+
+    Decides between plans with the same result only.
+    """
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > rows * _ROW_BYTES
+
+
 def with_bucket(df: DataFrame, order: str, out: str = "__b") -> DataFrame:
     """``df`` with the coarse bucket of its order column, a value of ``ordered_value``."""
     return df.withColumn(out, order_bucket(axis(as_col(order), df.schema[order].dataType)))
@@ -108,14 +122,15 @@ def fine_buckets(pre: DataFrame, keys, order: str, bucket: str = "__b", out: str
         *[F.col(quote(c)) for c in pre.columns], F.coalesce(part, F.lit(0).cast("bigint")).alias(out))
 
 
-def running_sums(df: DataFrame, order: str, values, keys=(), descending: bool = False) -> DataFrame:
+def running_sums(df: DataFrame, order: str, values, keys=(), descending: bool = False, refine: bool | None = None) -> DataFrame:
     """Running sums of ``values`` over distinct ``order`` values within ``keys``.
 
     Returns one row per (keys, distinct order value) with columns
     ``keys..., <order>, <v>..., cum_<v>... (inclusive), prev_<order>, next_<order>``
     where prev/next are the neighbouring distinct values in the sort direction
     (null at the ends).  Rows with a null order value are ignored.  The order column keeps
-    its type (floats become doubles).
+    its type (floats become doubles).  ``refine``: whether crowded buckets are cut (default:
+    unless the table is small).
     """
     keys = list(keys)
     values = list(values)
@@ -124,9 +139,11 @@ def running_sums(df: DataFrame, order: str, values, keys=(), descending: bool =
         *[as_col(k).alias(k) for k in keys], ordered_value(df, order).alias("__o"),
         *[as_col(v).alias(v) for v in values])
     pre = with_bucket(src.groupBy(*keys, "__o").agg(*[F.sum(v).alias(v) for v in values]), "__o")
-    pre = fine_buckets(pre, keys, "__o")
+    parts = ["__b"]
+    if refine if refine is not None else may_exceed(df, WINDOW_ROWS):
+        pre, parts = fine_buckets(pre, keys, "__o"), ["__b", "__f"]
 
-    w_in = Window.partitionBy(*keys, "__b", "__f").orderBy(way("__o"))
+    w_in = Window.partitionBy(*keys, *parts).orderBy(way("__o"))
     w_run = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pre = pre.select(
         "*",
@@ -135,21 +152,20 @@ def running_sums(df: DataFrame, order: str, values, keys=(), descending: bool =
         F.lead("__o").over(w_in).alias("_next_in"))
 
     first, last = (F.max, F.min) if descending else (F.min, F.max)
-    tot = pre.groupBy(*keys, "__b", "__f").agg(
+    tot = pre.groupBy(*keys, *parts).agg(
         *[F.sum(v).alias(f"_t_{v}") for v in values],
         first("__o").alias("_bfirst"), last("__o").alias("_blast"))
-    w_b = Window.partitionBy(*keys).orderBy(way("__b"), way("__f"))
+    w_b = Window.partitionBy(*keys).orderBy(*map(way, parts))
     w_before = w_b.rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(
-        *keys, "__b", "__f",
+        *keys, *parts,
         *[F.coalesce(F.sum(f"_t_{v}").over(w_before), F.lit(0)).alias(f"_off_{v}") for v in values],
         F.lag("_blast").over(w_b).alias("_prev_b"),
         F.lead("_bfirst").over(w_b).alias("_next_b"))
 
     t = tot.alias("t")
     p = pre.alias("p")
-    cond = [F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys] + [
-        F.col("p.__b") == F.col("t.__b"), F.col("p.__f") == F.col("t.__f")]
+    cond = [F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys] + [F.col(f"p.{b}") == F.col(f"t.{b}") for b in parts]
     joined = p.join(t, cond, "inner")
     return joined.select(
         *[F.col(f"p.{k}").alias(k) for k in keys],
@@ -201,10 +217,11 @@ def row_numbers(df: DataFrame, order: str, tiebreak: str, keys=(), descending: b
     keys = list(keys)
     base = df.withColumn("_s", ordered_value(df, order)).withColumn("_h", tie_hash(tiebreak)) \
              .withColumn("_one", F.lit(1).cast("bigint"))
+    refine = may_exceed(base, WINDOW_ROWS)
 
-    a = running_sums(base, "_s", ["_one"], keys, descending).select(
+    a = running_sums(base, "_s", ["_one"], keys, descending, refine).select(
         *keys, "_s", (F.col("cum__one") - F.col("_one")).alias("_below"))
-    b = running_sums(base, "_h", ["_one"], keys + ["_s"]).select(
+    b = running_sums(base, "_h", ["_one"], keys + ["_s"], refine=refine).select(
         *keys, "_s", "_h", (F.col("cum__one") - F.col("_one")).alias("_tied_below"))
     w = Window.partitionBy(*keys, "_s", "_h").orderBy(as_col(tiebreak))
     c = base.withColumn("_coll", F.row_number().over(w) - F.lit(1))
@@ -237,7 +254,7 @@ def top_levels(df: DataFrame, order: str, tiebreak: str, cuts, keys=(), out: str
 
     A threshold search, not a ranking: counts per bucket say in which bucket each cut
     falls.  Rows of all other buckets get their level from the bucket number; only rows of
-    cut buckets (one per level and key) are numbered.
+    cut buckets (one per level and key) are numbered.  The counts run at once, as a job.
     """
     keys = list(keys)
     base = with_bucket(df.withColumn("_tv", ordered_value(df, order)), "_tv", "_tb").withColumn(
@@ -246,32 +263,63 @@ def top_levels(df: DataFrame, order: str, tiebreak: str, cuts, keys=(), out: str
     each = Window.partitionBy(*keys)
     down = each.orderBy(F.col("_tb").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = hist.select(*keys, "_tb", "_c", F.sum("_c").over(down).alias("_cum"), F.sum("_c").over(each).alias("_size"))
-    # the bucket in which each level ends, with the rows before it
-    wanted = F.array(*[F.struct(F.lit(i + 1).alias("i"), cut(F.col("_size")).cast("bigint").alias("n")) for i, cut in enumerate(cuts)])
-    ends = hist.select(*keys, "_tb", (F.col("_cum") - F.col("_c")).alias("_before"), "_cum", F.explode(wanted).alias("_w")).where(
-        (F.col("_w.n") > F.col("_before")) & (F.col("_w.n") <= F.col("_cum")))
-    place = F.struct(F.col("_w.i").alias("i"), F.col("_tb").alias("b"), F.col("_before").alias("before"), F.col("_w.n").alias("n"),
-                     (F.col("_w.n") == F.col("_cum")).alias("whole"))
-    found = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(place)).alias("_ends"))  # one entry a level
-    if keys:
-        names = [f"_tk{i}" for i in range(len(keys))]
-        found = found.select(*[F.col(quote(k)).alias(n) for k, n in zip(keys, names)], "_ends")
-        found = F.broadcast(found) if max_groups is not None and max_groups <= MAX_SPLIT else found
-        placed = base.join(found, [F.col(quote(k)).eqNullSafe(F.col(n)) for k, n in zip(keys, names)], "inner").drop(*names)
-    else:
-        placed = base.crossJoin(F.broadcast(found))
-    # the first level that ends at or below the row's bucket; levels without rows have no entry
-    reach = F.filter("_ends", lambda e: e["b"] <= F.col("_tb"))
-    hit = F.get(reach, 0)
-    placed = placed.where(F.col("_tv").isNotNull() & (F.size(reach) > 0)).withColumn("_hit", hit)
-    inside = (F.col("_hit.b") == F.col("_tb")) & ~F.col("_hit.whole")
-    settled = placed.where(~inside).withColumn(out, F.col("_hit.i"))
-    open_ = row_numbers(placed.where(inside), "_tv", tiebreak, keys + ["_tb"], descending=True, out="_tr")
-    later = F.get(F.filter("_ends", lambda e: (e["b"] < F.col("_tb")) | (
-        (e["b"] == F.col("_tb")) & (e["n"] - e["before"] >= F.col("_tr")))), 0)
-    open_ = open_.withColumn("_hit", later).where(F.col("_hit").isNotNull()).withColumn(out, F.col("_hit.i"))
-    names = [F.col(quote(c)) for c in df.columns] + [F.col(out).cast("int").alias(out)]
-    return settled.select(*names).unionByName(open_.select(*names))
+    # per level: the bucket in which it ends, how many rows of that bucket it takes, whether all
+    ends = hist.groupBy(*keys).agg(*[x for i, cut in enumerate(cuts) for x in _level_end(i, cut)],
+                                   F.max(F.when(_cut_inside(cuts), F.col("_c"))).alias("_fullest"))
+    bs, rs = [f"_b{i}" for i in range(len(cuts))], [f"_r{i}" for i in range(len(cuts))]
+    ends = ends.select(*keys, *[F.coalesce(b, F.lit(_TOP + 2).cast("bigint")).alias(b) for b in bs],  # a level without rows ends above all buckets
+                       *rs, F.coalesce("_fullest", F.lit(0).cast("bigint")).alias("_fullest"))
+    # cut off from the rows, as the thresholds are read several times
+    names = [f"_tk{i}" for i in range(len(keys))]
+    side = cut_lineage(ends.select(*[F.col(quote(k)).alias(n) for k, n in zip(keys, names)], *bs, *rs, "_fullest"))
+    small = not keys or (max_groups is not None and max_groups <= MAX_SPLIT)
+    on = [F.col(quote(k)).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+
+    def beside(full: bool | None = None) -> DataFrame:
+        """Rows with the thresholds of their key; only keys whose cut buckets are (not) too full for a window."""
+        table = side if full is None else side.where((F.col("_fullest") > F.lit(WINDOW_ROWS)) == F.lit(full))
+        table = F.broadcast(table) if small else table
+        return base.join(table, on, "inner") if keys else base.crossJoin(table)
+
+    tb = F.col("_tb")
+    above = sum(((F.col(b) > tb).cast("int") for b in bs), F.lit(1))               # first level that reaches the row's bucket
+    cut_here = sum((((F.col(b) == tb) & F.col(r).isNotNull()).cast("int") for b, r in zip(bs, rs)), F.lit(0))
+    known = F.col("_tv").isNotNull()
+    out_names = [F.col(quote(c)) for c in df.columns]
+    settled = beside().where(known & (cut_here == 0) & (above <= F.lit(len(cuts)))).select(*out_names, above.alias(out))
+
+    def ranked(open_: DataFrame) -> DataFrame:
+        later = sum((((F.col(b) > tb) | ((F.col(b) == tb) & F.coalesce(F.col(r) < F.col("_tr"), F.lit(False)))).cast("int") for b, r in zip(bs, rs)), F.lit(1))
+        return open_.where(later <= F.lit(len(cuts))).select(*out_names, later.alias(out))
+
+    # rows of cut buckets: in one window a bucket, or in parts where a bucket is too full for one task
+    w = Window.partitionBy(*keys, "_tb").orderBy(F.col("_tv").desc(), tie_hash(tiebreak), as_col(tiebreak))
+    large = may_exceed(df, WINDOW_ROWS)
+    found = settled.unionByName(ranked(beside(False if large else None).where(known & (cut_here > 0)).withColumn("_tr", F.row_number().over(w))))
+    if large:
+        many = beside(True).where(known & (cut_here > 0))
+        found = found.unionByName(ranked(row_numbers(many, "_tv", tiebreak, [*keys, "_tb"], descending=True, out="_tr")))
+    return found
+
+
+def _cut(cut) -> Column:
+    return cut(F.col("_size")).cast("bigint")
+
+
+def _cut_inside(cuts) -> Column:
+    """Whether a level ends inside the bucket of a histogram row, not with it."""
+    before = F.col("_cum") - F.col("_c")
+    inside = F.lit(False)
+    for cut in cuts:
+        inside = inside | ((_cut(cut) > before) & (_cut(cut) < F.col("_cum")))
+    return inside
+
+
+def _level_end(i: int, cut) -> list[Column]:
+    """The bucket where level i ends, and how many of its rows it takes (null: all)."""
+    before, n = F.col("_cum") - F.col("_c"), _cut(cut)
+    here = (n > before) & (n <= F.col("_cum"))
+    return [F.max(F.when(here, F.col("_tb"))).alias(f"_b{i}"), F.max(F.when(here & (n < F.col("_cum")), n - before)).alias(f"_r{i}")]
 
 
 def number_by_hash(df: DataFrame, hash01: Column, tiebreak: str, out: str = "rn") -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions.util import as_col
-from probity.plans.ordering import running_sums, with_bucket
+from probity.plans import ordering
+from probity.plans.ordering import may_exceed, running_sums, with_bucket
 from probity.plans.reshape import BROADCAST_ROW_LIMIT
+from probity.session import cut_lineage
 
 
 def order_statistics(df: DataFrame, value: str, positions, keys=(), max_groups: int | None = None) -> DataFrame:
@@ -22,7 +24,7 @@ def order_statistics(df: DataFrame, value: str, positions, keys=(), max_groups:
 
     ``positions`` are functions from a key's row count (a Column) to a position; ``slot`` is
     a position's place in that list.  Nulls are ignored, keys without values absent.  The
-    table of wanted buckets has at most groups × positions rows: without keys, or with
+    table of wanted buckets (made at once, as a job) has at most groups × positions rows: without keys, or with
     ``max_groups``, it is broadcast, otherwise AQE decides from the runtime size.
     """
     keys = list(keys)
@@ -39,10 +41,11 @@ def order_statistics(df: DataFrame, value: str, positions, keys=(), max_groups:
     bounded = (max_groups or 1) * len(positions) <= BROADCAST_ROW_LIMIT if (max_groups is not None or not keys) else False
     hint = F.broadcast if bounded else (lambda x: x)
     names = [f"_wk{i}" for i in range(len(keys) + 1)]
-    side = wanted.select(*[as_col(k).alias(n) for k, n in zip([*keys, "_sb"], names)], "_s", "_first", "_n")
+    # cut off from the rows: the wanted buckets are read twice
+    side = cut_lineage(wanted.select(*[as_col(k).alias(n) for k, n in zip([*keys, "_sb"], names)], "_s", "_first", "_n"))
     on = [as_col(k).eqNullSafe(F.col(n)) for k, n in zip([*keys, "_sb"], names)]
     near = base.join(hint(side.select(*names)), on, "inner").select(*keys, "_sb", "_v", F.lit(1).cast("bigint").alias("_one"))
-    rs = running_sums(near, "_v", ["_one"], [*keys, "_sb"])
+    rs = running_sums(near, "_v", ["_one"], [*keys, "_sb"], refine=may_exceed(df, ordering.WINDOW_ROWS))
     lo, hi = F.col("_first") + F.col("cum__one") - F.col("_one"), F.col("_first") + F.col("cum__one")
     hit = rs.join(hint(side), on, "inner").select(*keys, "_v", "_n", F.explode(F.filter("_s", lambda s: (s["at"] >= lo) & (s["at"] < hi))).alias("_t"))
     return hit.select(*keys, F.col("_t.slot").alias("slot"), F.col("_v").alias("value"), F.col("_n").alias("n"))

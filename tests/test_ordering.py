@@ -149,6 +149,7 @@ def _cases():
 def test_running_sums_of_crowded_values(spark, monkeypatch, name):
     monkeypatch.setattr(ordering, "CROWDED", 200)
     monkeypatch.setattr(ordering, "PART", 100)
+    monkeypatch.setattr(ordering, "WINDOW_ROWS", 0)
     kind, values = _cases()[name]
     df = _spread(spark, values, kind)
     counts = collections.Counter(values)
@@ -176,6 +177,7 @@ def test_ranks_above_2_53(spark):
 def test_quantiles_of_crowded_values(spark, monkeypatch):
     monkeypatch.setattr(ordering, "CROWDED", 200)
     monkeypatch.setattr(ordering, "PART", 100)
+    monkeypatch.setattr(ordering, "WINDOW_ROWS", 0)
     rng = np.random.default_rng(3)
     groups = {"epoch": 1.7e9 + rng.integers(0, 90_000, 4_000), "hot": np.concatenate([np.full(900, 2.5), rng.normal(size=2_000)]),
               "one": np.array([4.0]), "two": np.array([-1.0, 9.0]), "wide": 10.0 ** rng.uniform(-200, 200, 500) * rng.choice([-1, 1], 500)}
@@ -203,8 +205,10 @@ def _tie(i):
     return int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_top_levels(spark, seed):
+@pytest.mark.parametrize("seed,window", [(1, 1 << 21), (2, 1 << 21), (2, 40)])
+def test_top_levels(spark, monkeypatch, seed, window):
+    monkeypatch.setattr(ordering, "WINDOW_ROWS", window)
+    monkeypatch.setattr(ordering, "_ROW_BYTES", 1)
     rng = random.Random(seed)
     rows = [(i, rng.choice(["a", "b", None]), rng.choice([0.5, 0.5, round(rng.uniform(0, 2), 2), None if seed == 2 else 1.0])) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, k string, v double").repartition(4)
@@ -233,3 +237,15 @@ def test_numbers_and_samples_in_hash_order(spark):
     assert [got[i] for i in order] == list(range(1, 3_001))
     for n in (0, 1, 999, 3_000, 5_000):
         assert sorted(r["id"] for r in first_by_hash(df, F.col("h"), "id", n).collect()) == sorted(order[:n])
+
+
+def test_evenly_spaced_bins_equal_comparisons_with_every_edge(spark):
+    from probity.functions.binning import bin_index, even_bin_index, scaled_edges
+    rng = random.Random(9)
+    rows = []
+    for lo, hi in ((0.0, 1.0), (-3.3, 7.1), (1e9, 1e9 + 1e-3), (0.1, 0.1), (-1e-300, 1e-300)):
+        edges = [lo if hi == lo else (i / 10 * 100.0) / (100.0 / (hi - lo)) + lo for i in range(11)]
+        values = edges + [math.nextafter(e, d) for e in edges for d in (-math.inf, math.inf)] + [rng.uniform(lo, hi) for _ in range(60)] + [lo - 1, hi + 1]
+        rows += [(lo, hi, v) for v in values] + [(lo, hi, None)]
+    df = spark.createDataFrame(rows, "lo double, hi double, v double").withColumn("e", scaled_edges("lo", "hi", 10))
+    assert df.where(~bin_index("v", "e", 10).eqNullSafe(even_bin_index("v", "e", 10))).count() == 0
