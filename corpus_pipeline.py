@@ -18,33 +18,52 @@ from probity.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples do not call toxic."""
+    """Documents that the nearest labelled examples do not call toxic.
+
+    Null and empty texts, null ids and repeated rows stay; an empty table stays empty.
+    Columns besides doc_id and text pass through.
+    """
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that three of them share, except in the largest doc_id."""
+    """Documents without lines that three of them share, except in the largest doc_id.
+
+    Every row stays; null texts stay null, rows without an id keep all lines, repeated rows are cut alike.
+    Columns besides doc_id and text pass through.
+    """
     return drop_repeated_lines(docs).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of every group of near copies."""
+    """The smallest doc_id of every group of near copies.
+
+    Texts without words, and rows without an id, have no copies and stay; of repeated rows of the doc_id kept, all stay.
+    Columns besides doc_id and text pass through.
+    """
     return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts and null ids stay; benchmark items without words match nothing.
+    Columns besides doc_id and text pass through.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place of every token piece in sequences of 4096."""
+    """Place of every token piece in sequences of 4096.
+
+    Null and empty texts are one end mark; every row, also a repeated one, is packed.
+    """
     return pack_documents(docs)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_copies", near_copies), ("decontamination", decontamination), ("packing", packing)]
 
-#: The toxicity votes and the packing are no SQL; tests/llm checks the pipeline against its parts.
+#: The toxicity votes and the packing are no SQL; tests/llm/test_pipeline.py runs each stage and all of them on planted cases.
 ORACLE_SQL = None
 
 
