@@ -419,8 +419,8 @@ def worst_cluster_k(spark, d):
 SELECT id, l_quantity, l_extendedprice, l_discount, l_returnflag FROM nul
 WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL
   AND l_returnflag IS NOT NULL
-ORDER BY {H('id', 'sample:42')}, id LIMIT 1000""", "nul"))
+ORDER BY {H('id', 'sample:42')}, id LIMIT 30000""", "nul"))
 def preset_sample(spark, d):
     spec = files.DatasetSpec("nul", "classification", "l_returnflag", None, None, "lineitem with nulls",
-                             "lineitem", drop=("l_linestatus", "absent_column"), sample=1000)
+                             "lineitem", drop=("l_linestatus", "absent_column"), sample=30_000)
     return rounded(files.prepare_preset(fx.nul(spark, d), spec))
