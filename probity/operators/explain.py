@@ -159,7 +159,7 @@ def sampled_shap(df: DataFrame, scorer: Scorer, features, background: DataFrame,
     nbg = bgk.count()
     ex = spread_for_fanout(df, id_col).select(as_col(id_col).alias("_id"), *[as_col(f) for f in features]) \
            .withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
-    ex = ex.withColumn("_zi", F.pmod(hash_long("_id", "_m", salt=f"bg:{seed}"), F.lit(max(nbg, 1))))
+    ex = ex.withColumn("_zi", F.floor(hash_long("_id", "_m", salt=f"bg:{seed}") / F.lit(float(1 << 60)) * F.lit(nbg)))
     ex = ex.join(bgk, "_zi")          # equi-join; AQE broadcasts a small background
     # feature order: sort features by a hash per (row, sample)
     keys = F.array(*[F.struct(hash01("_id", "_m", F.lit(f), salt=f"ord:{seed}").alias("h"), F.lit(i).alias("i"))
