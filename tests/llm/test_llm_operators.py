@@ -59,6 +59,16 @@ def test_jaccard_components(awkward):
     assert jaccard_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_null_ids_take_no_part(spark):
+    """A row without an id stands first in the only task; the texts after it still link."""
+    words = [f"q{i}" for i in range(100)]
+    near = words[:50] + ["other"] + words[51:]
+    rows = [(None, " ".join(words)), (7, " ".join(words)), (9, " ".join(near)), (5, " ".join(words[:40]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r[0] or 0, r[2]) for r in jaccard_join.jaccard_components(df).collect())
+    assert got == [(0, None), (5, 5), (7, 7), (9, 7)]
+
+
 def test_line_dedup(awkward):
     rows, df = awkward
     holders = collections.defaultdict(set)
