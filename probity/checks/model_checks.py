@@ -102,19 +102,83 @@ def shap_local(spark, d):
     return rounded(explain.shap_local(phi, first))
 
 
-@register("sampled_shap")
+_MULTI_FEATS = ["f1", "f2", "f3"]
+_MULTI_S = ["(0.5::DOUBLE + f1 / 500000.0::DOUBLE)", "1.0::DOUBLE", "(0.2::DOUBLE + f3 / 10.0::DOUBLE)"]
+_MULTI_P = [f"{x} / ({' + '.join(_MULTI_S)})" for x in _MULTI_S]
+
+
+def _sampled_sql(view: str, feats, scores, key: str, samples: int = 32) -> str:
+    """Views t (explained rows) and ph (id, feature, cls, phi) of ``explain.sampled_shap``."""
+    k = len(feats)
+    order = [H(f"{key}, m, '{f}'", "ord:0") for f in feats]
+    before = [" + ".join(f"CAST(u{j} {'<=' if j < i else '<'} u{i} AS INT)" for j in range(k) if j != i) or "0" for i in range(k)]
+    at = ", ".join(f"at{i}" for i in range(k))
+    walk = ", ".join(f"CASE WHEN at{i} < s THEN {f} ELSE z{i} END AS {f}" for i, f in enumerate(feats))
+    rows = " UNION ALL ".join(
+        f"SELECT id, '{f}' AS feature, {c} AS cls, sum((CAST(s = at{i} + 1 AS INT) - CAST(s = at{i} AS INT)) * v{c}) / {samples}.0 AS phi FROM sc GROUP BY id"
+        for i, f in enumerate(feats) for c in range(len(scores)))
+    return f"""
+t AS (SELECT * FROM {view} WHERE split = 'test'),
+bg AS (SELECT {", ".join(f"{f} AS z{i}" for i, f in enumerate(feats))}, row_number() OVER (ORDER BY {H(key, 'bgn:0')}, id) - 1 AS zi
+       FROM {view} WHERE split = 'train'),
+sm AS (SELECT id, {", ".join(feats)}, m, {", ".join(f"{u} AS u{i}" for i, u in enumerate(order))},
+              CAST(floor(('0x' || substr(md5(concat_ws(':', 'bg:0', {key}, m)), 1, 15))::BIGINT / {float(1 << 60)!r}::DOUBLE * nb) AS BIGINT) AS zi
+       FROM t CROSS JOIN (SELECT unnest(range(1, {samples + 1})) AS m) ms CROSS JOIN (SELECT count(*) AS nb FROM bg) n),
+po AS (SELECT sm.*, bg.* EXCLUDE (zi), {", ".join(f"{x} AS at{i}" for i, x in enumerate(before))} FROM sm JOIN bg ON sm.zi = bg.zi),
+st AS (SELECT id, s, {at}, {walk} FROM po CROSS JOIN (SELECT unnest(range({k + 1})) AS s) ss),
+sc AS (SELECT id, s, {at}, {", ".join(f"{v} AS v{c}" for c, v in enumerate(scores))} FROM st),
+ph AS ({rows})
+"""
+
+
+_MULTI_PHI = _sampled_sql("multi", _MULTI_FEATS, _MULTI_P, "CAST(id AS VARCHAR)")
+
+
+@register("sampled_shap", with_views("SELECT id, feature, round(phi, 6) AS phi FROM ph", "clf",
+                                     ctes=_sampled_sql("clf", _FEATS, [CLF_P], "id")))
 def sampled_shap(spark, d):
     c = fx.clf(spark, d)
     return rounded(explain.sampled_shap(c.where(F.col("split") == "test"), fx.clf_scorer(), _FEATS,
-                                        background=c.where(F.col("split") == "train").select(*_FEATS),
-                                        n_samples=8))
+                                        background=c.where(F.col("split") == "train"), background_id="id"))
+
+
+def _multi_phi(spark, d):
+    m = fx.multi(spark, d)
+    test = m.where(F.col("split") == "test")
+    return test, explain.sampled_shap(test, fx.multi_scorer(), _MULTI_FEATS, background=m.where(F.col("split") == "train"), background_id="id")
+
+
+@register("sampled_shap_classes", with_views("SELECT id, feature, cls, round(phi, 6) AS phi FROM ph", "multi", ctes=_MULTI_PHI))
+def sampled_shap_classes(spark, d):
+    return rounded(_multi_phi(spark, d)[1])
+
+
+@register("shap_global_classes", with_views("""
+SELECT feature, round(sum(m), 6) AS mean_abs_phi FROM (SELECT feature, cls, avg(abs(phi)) AS m FROM ph GROUP BY feature, cls) c GROUP BY feature""",
+                                            "multi", ctes=_MULTI_PHI))
+def shap_global_classes(spark, d):
+    return rounded(explain.shap_global(_multi_phi(spark, d)[1], by_class=True))
+
+
+@register("shap_predicted_class", with_views(f"""
+SELECT t.id, ph.cls, ph.feature, round(CASE ph.feature WHEN 'f1' THEN f1 WHEN 'f2' THEN f2 ELSE f3 END, 6) AS data, round(phi, 6) AS phi,
+       round(CASE yh WHEN 0 THEN {_MULTI_P[0]} WHEN 1 THEN {_MULTI_P[1]} ELSE {_MULTI_P[2]} END - sum(phi) OVER (PARTITION BY ph.id, ph.cls), 6) AS base
+FROM t JOIN ph ON t.id = ph.id AND ph.cls = t.yh""", "multi", ctes=_MULTI_PHI))
+def shap_predicted_class(spark, d):
+    test, phi = _multi_phi(spark, d)
+    return rounded(explain.shap_predicted(phi, test, fx.multi_scorer(), _MULTI_FEATS))
 
 
 @register("lime")
 def lime(spark, d):
     c = fx.clf(spark, d)
-    return rounded(explain.lime(c.where(F.col("split") == "test"), fx.clf_scorer(), _FEATS,
-                                train=c.where(F.col("split") == "train"), n_samples=100))
+    return rounded(explain.lime(c.where(F.col("split") == "test"), fx.clf_scorer(), _FEATS, train=c.where(F.col("split") == "train")))
+
+
+@register("lime_classes")
+def lime_classes(spark, d):
+    m = fx.multi(spark, d)
+    return rounded(explain.lime(m.where(F.col("split") == "test"), fx.multi_scorer(), _MULTI_FEATS, train=m.where(F.col("split") == "train")))
 
 
 # ------------------------------------------------------- partial dependence

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.functions.hashing import gaussians, hash01, hash_long
+from probity.functions.hashing import hash01, hash_long, uniforms
 from probity.functions.util import as_col, quote
 from probity.operators.metrics import LOWER_IS_BETTER, evaluate
 from probity.operators.scoring import Scorer, eval_kwargs
@@ -128,21 +129,26 @@ def linear_shap(df: DataFrame, weights: dict, intercept: float = 0.0, background
             .select("id", "_r.feature", "_r.phi", "base")
 
 
-def number_background(background: DataFrame, features) -> DataFrame:
+def number_background(background: DataFrame, features, id_col: str | None = None, seed: int = 0) -> DataFrame:
     """Background rows as (_zi, _z_0.._z_k-1) with _zi = 0..n-1 in a hash order.
 
-    Ids are content hashes plus a copy number (skew-free for duplicated rows) and
-    the numbering is by equal slices of the hash (``number_by_hash``), so any background
-    size works."""
+    Without ``id_col`` ids are content hashes plus a copy number (skew-free for duplicated
+    rows); the numbering is by equal slices of the hash (``number_by_hash``), so any
+    background size works."""
     from probity.sources.files import with_row_id
-    bg = background.select(*[as_col(f).alias(f"_z_{i}") for i, f in enumerate(features)])
-    bg = with_row_id(bg, out="_bid")
-    return number_by_hash(bg, tie_hash("_bid") / F.lit(float(1 << 52)), "_bid", out="_zi1").select(
-        (F.col("_zi1") - F.lit(1)).alias("_zi"), *[f"_z_{i}" for i in range(len(list(features)))])
+    values = [as_col(f).alias(f"_z_{i}") for i, f in enumerate(features)]
+    if id_col is None:
+        bg = with_row_id(background.select(*values), out="_bid")
+        draw = tie_hash("_bid") / F.lit(float(1 << 52))
+    else:
+        bg = background.select(as_col(id_col).alias("_bid"), *values)
+        draw = hash01("_bid", salt=f"bgn:{seed}")
+    return number_by_hash(bg, draw, "_bid", out="_zi1").select(
+        (F.col("_zi1") - F.lit(1)).alias("_zi"), *[f"_z_{i}" for i in range(len(values))])
 
 
 def sampled_shap(df: DataFrame, scorer: Scorer, features, background: DataFrame, id_col: str = "id",
-                 n_samples: int = 32, seed: int = 0, output: str = "p") -> DataFrame:
+                 n_samples: int = 32, seed: int = 0, background_id: str | None = None) -> DataFrame:
     """Shapley values by sampled permutations (Strumbelj-Kononenko) for any model.
 
     For each row and sample m: a feature order and a background row z are drawn
@@ -151,11 +157,17 @@ def sampled_shap(df: DataFrame, scorer: Scorer, features, background: DataFrame,
     the contributions add up exactly to f(x) − f(z).  Background rows are picked by
     a hash-drawn index into the background, numbered without a single-partition
     window (``number_background``): an equi-join, no cross join, no size bound.
+
+    The explained score is ``yh`` (regression), ``p`` (two classes) or the whole vector
+    ``probs`` (more classes).  Every scored step adds to one sum per feature and class of
+    its row; all steps of a row are made in one task, so the partial aggregation collapses
+    them and one narrow row per id shuffles.  Returns (id, feature, phi), with ``cls``
+    (0-based class) between feature and phi for more than two classes.
     """
     features = list(features)
     k = len(features)
     kinds = {f: df.schema[f].dataType.simpleString() for f in features}
-    bgk = number_background(background, features)
+    bgk = number_background(background, features, background_id, seed)
     nbg = bgk.count()
     ex = spread_for_fanout(df, id_col).select(as_col(id_col).alias("_id"), *[as_col(f) for f in features]) \
            .withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
@@ -164,31 +176,36 @@ def sampled_shap(df: DataFrame, scorer: Scorer, features, background: DataFrame,
     # feature order: sort features by a hash per (row, sample)
     keys = F.array(*[F.struct(hash01("_id", "_m", F.lit(f), salt=f"ord:{seed}").alias("h"), F.lit(i).alias("i"))
                      for i, f in enumerate(features)])
-    ex = ex.withColumn("_order", F.transform(F.array_sort(keys), lambda s: s["i"]))
+    ex = ex.withColumn("_order", F.transform(F.array_sort(keys), lambda x: x["i"]))
+    ex = ex.select("*", *[(F.array_position("_order", F.lit(i)) - F.lit(1)).alias(f"_at_{i}") for i in range(k)])
     # steps 0..k: features at order positions < step come from x, the rest from z
     ex = ex.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    hybrid = []
-    for i, f in enumerate(features):
-        pos = F.array_position(F.col("_order"), F.lit(i)) - F.lit(1)
-        hybrid.append(F.when(pos < F.col("_step"), as_col(f)).otherwise(F.col(f"_z_{i}")).cast(kinds[f]).alias(f))
-    hy = ex.select("_id", "_m", "_step", "_order", *hybrid)
-    sc = scorer.score(hy)
-    out_col = "p" if output == "p" and scorer.task != "regression" else "yh"
-    # Telescoping: the score at step s counts + for the feature at order position s-1
-    # and - for the feature at position s.  Each scored row emits those (at most two)
-    # signed contributions; all steps of a row are produced in the same task, so the
-    # partial aggregation collapses them before the only shuffle (n·k rows).
-    fval = F.col(out_col).cast("double")
-    contrib = F.array(
-        F.struct(F.element_at("_order", F.greatest(F.col("_step"), F.lit(1))).alias("i"),
-                 F.when(F.col("_step") >= 1, fval).otherwise(F.lit(0.0)).alias("v")),
-        F.struct(F.element_at("_order", F.least(F.col("_step") + 1, F.lit(k))).alias("i"),
-                 F.when(F.col("_step") < k, -fval).otherwise(F.lit(0.0)).alias("v")))
-    named = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(i), F.lit(f))])
-    parts = sc.select("_id", F.explode(contrib).alias("_c")) \
-              .select("_id", named[F.col("_c.i")].alias("feature"), F.col("_c.v").alias("_v"))
-    return parts.groupBy(F.col("_id").alias("id"), "feature").agg(
-        (F.sum("_v") / F.lit(float(n_samples))).alias("phi"))
+    places = [f"_at_{i}" for i in range(k)]
+    hybrid = [F.when(F.col(places[i]) < F.col("_step"), as_col(f)).otherwise(F.col(f"_z_{i}")).cast(kinds[f]).alias(f)
+              for i, f in enumerate(features)]
+    scored = scorer.score(ex.select("_id", "_step", *places, *hybrid))
+    outputs = _outputs(scorer)
+    scored = scored.select("_id", "_step", *places, *[v.alias(f"_f_{c}") for c, v in enumerate(outputs)])
+    # the score at step s counts + for the feature at position s-1 and - for the one at position s
+    sums = []
+    for i in range(k):
+        sign = (F.col("_step") == F.col(places[i]) + F.lit(1)).cast("int") - (F.col("_step") == F.col(places[i])).cast("int")
+        sums += [F.sum(F.when(sign != 0, sign * F.col(f"_f_{c}"))).alias(f"_phi_{i}_{c}") for c in range(len(outputs))]
+    wide = scored.groupBy(F.col("_id").alias("id")).agg(*sums)
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(c).alias("cls"),
+                               (F.col(f"_phi_{i}_{c}") / F.lit(float(n_samples))).alias("phi"))
+                      for i, f in enumerate(features) for c in range(len(outputs))])
+    long = wide.select("id", F.explode(cells).alias("_c")).select("id", "_c.feature", "_c.cls", "_c.phi")
+    return long if len(outputs) > 1 else long.drop("cls")
+
+
+def _outputs(scorer: Scorer) -> list:
+    """Score columns that are explained: regression value, binary p, or each class's probability."""
+    if scorer.task == "regression":
+        return [F.col("yh").cast("double")]
+    if scorer.n_classes <= 2:
+        return [F.col("p").cast("double")]
+    return [F.col("probs")[c].cast("double") for c in range(scorer.n_classes)]
 
 
 def shap_global(phi: DataFrame, by_class: bool = False) -> DataFrame:
@@ -200,100 +217,185 @@ def shap_global(phi: DataFrame, by_class: bool = False) -> DataFrame:
     return g.orderBy(F.col("mean_abs_phi").desc(), "feature")
 
 
+def shap_predicted(phi: DataFrame, rows: DataFrame, scorer: Scorer, features, id_col: str = "id") -> DataFrame:
+    """Contributions to the class each row is predicted as, with the row's own values.
+
+    ``rows`` are the explained rows with their features; they are scored again for the
+    class and its score.  Returns (id, cls, feature, data, phi, base): ``data`` is the
+    feature's value as double and base = f(x) − Σ phi, the mean score of the row's
+    background draws.  Binary and regression scores have one output, ``cls`` 1 and null.
+    """
+    features = list(features)
+    outputs = _outputs(scorer)
+    if len(outputs) > 1:
+        cls = F.col("yh").cast("int")
+    else:
+        cls = F.lit(None).cast("int") if scorer.task == "regression" else F.lit(1)
+    scored = scorer.score(rows.select(as_col(id_col).alias("_id"), *[as_col(f) for f in features])).select(
+        "_id", cls.alias("_cls"), F.get(F.array(*outputs), F.col("yh").cast("int") if len(outputs) > 1 else F.lit(0)).alias("_f"),
+        *[as_col(f).cast("double").alias(f"_x_{i}") for i, f in enumerate(features)])
+    per_row = phi if "cls" in phi.columns else phi.withColumn("cls", cls)
+    values = F.map_from_arrays(F.array(*[F.lit(f) for f in features]), F.array(*[F.col(f"_x_{i}") for i in range(len(features))]))
+    mine = per_row.select("id", "feature", "cls", "phi").join(scored, F.col("id") == F.col("_id")) \
+                  .where(F.col("cls").eqNullSafe(F.col("_cls")))
+    gathered = mine.groupBy("id", "cls").agg(
+        F.first("_f").alias("_f"), F.sum("phi").alias("_total"), F.first(values).alias("_values"),
+        F.collect_list(F.struct("feature", "phi")).alias("_all"))      # one entry a feature
+    return gathered.select("id", "cls", F.explode("_all").alias("_r"), "_values", (F.col("_f") - F.col("_total")).alias("base")) \
+                   .select("id", "cls", "_r.feature", F.col("_values")[F.col("_r.feature")].alias("data"), "_r.phi", "base")
+
+
 def shap_local(phi: DataFrame, row_id) -> DataFrame:
-    """Contributions for one row, largest |phi| first."""
+    """Contributions for one row, largest |phi| first.
+
+    ``phi`` of several classes: give the rows of ``shap_predicted`` to see the predicted class."""
     return phi.where(F.col("id") == F.lit(row_id)).orderBy(F.abs("phi").desc(), "feature")
 
 
 # -------------------------------------------------------------------- LIME
 
-_LIME_SCHEMA = "id string, feature string, weight double, intercept double, score double"
+_KNOTS = 256       # equal steps of probability in a bin's table of quantiles
+
+
+def quartile_bins(train: DataFrame, features) -> dict[str, dict]:
+    """Quartile bins of every feature: inner edges, and share, mean, std, lowest and highest value per bin.
+
+    A bin is the number of distinct quartiles below the value, so a value on an edge
+    belongs to the lower bin.  Exact quartiles; one grouped pass for the bins' statistics.
+    What comes to the driver is at most four rows a feature.  Nulls and NaNs are left out.
+    """
+    features = list(features)
+    bins = {}
+    for f in features:
+        v = as_col(f).cast("double")
+        known = train.select(v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        edges = sorted({r["quantile"] for r in exact_quantiles(known, "_v", [0.25, 0.5, 0.75]).collect() if r["quantile"] is not None})
+        if not edges:
+            raise ValueError(f"feature {f!r} has no value to cut into quartiles")
+        bins[f] = {"edges": edges}
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), as_col(f).cast("double").alias("v"), _bin_of(as_col(f).cast("double"), bins[f]["edges"]).alias("b"))
+                      for i, f in enumerate(features)])
+    stats = train.select(F.explode(cells).alias("_c")).select("_c.*").where(F.col("v").isNotNull() & ~F.isnan("v")) \
+                 .groupBy("i", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
+                                        F.min("v").alias("low"), F.max("v").alias("high"))
+    found = {(r["i"], r["b"]): r for r in stats.collect()}
+    for i, f in enumerate(features):
+        edges = bins[f]["edges"]
+        mine = [found.get((i, b)) for b in range(len(edges) + 1)]
+        total = sum(r["n"] for r in mine if r)
+        lows = [min(r["low"] for r in mine if r), *edges]
+        highs = [*edges, max(r["high"] for r in mine if r)]
+        bins[f].update(share=[(r["n"] if r else 0) / total for r in mine], low=lows, high=highs,
+                       mean=[r["mean"] if r else 0.0 for r in mine], std=[r["std"] if r else 0.0 for r in mine])
+    return bins
+
+
+def _bin_of(value, edges):
+    return sum(((value > F.lit(float(e))).cast("int") for e in edges), F.lit(0))
+
+
+def _truncated_quantiles(mean: float, std: float, low: float, high: float) -> list[float]:
+    """Quantiles of the normal (mean, std) cut to [low, high], at probabilities 0, 1/_KNOTS, ..., 1."""
+    if not std > 1e-11 or not high > low:
+        return [min(max(mean, min(low, high)), max(low, high))] * (_KNOTS + 1)
+    normal = NormalDist(mean, std)
+    a, b = normal.cdf(low), normal.cdf(high)
+    if not b > a:
+        return [low + (high - low) * j / _KNOTS for j in range(_KNOTS + 1)]
+    inner = [a + (b - a) * j / _KNOTS for j in range(1, _KNOTS)]
+    return [low, *(min(max(normal.inv_cdf(q), low), high) if 0.0 < q < 1.0 else (low if q <= 0.0 else high) for q in inner), high]
 
 
 def lime(df: DataFrame, scorer: Scorer, features, train: DataFrame, id_col: str = "id", n_samples: int = 200,
          kernel_width: float | None = None, ridge: float = 1.0, seed: int = 0) -> DataFrame:
-    """Local linear surrogates for every row (X6, re-aimed from one row to all).
-
-    Perturbations are drawn around the training mean with the training std
-    (Box-Muller from hashes), weighted by an exponential kernel on the scaled
-    distance to the explained row, and a ridge regression is fit per row.  The
-    per-row normal equations are summed by ``groupBy(id)``; only the small
-    (k+1)×(k+1) solves run in pandas (``mapInPandas`` on one row per id).
+    """Local linear surrogates for every row, over quartile bins (X6, re-aimed from one row to all).
+
+    Per row, sample and feature: a bin is drawn by the bins' shares in ``train`` and a value
+    by the normal of the bin's mean and deviation cut to the bin (a table of _KNOTS quantiles,
+    read linearly).  Sample 0 is the row itself.  The surrogate's inputs are 1 where the drawn
+    bin is the row's own and 0 elsewhere; samples weigh by an exponential kernel on the distance
+    to the all-ones row, and a ridge regression with a free intercept is fitted per row.  A
+    model of more than two classes gets one surrogate a class, all from the same sums.
+
+    A row's samples are made in one task and summed into its normal equations, so one row per
+    id shuffles; the (k+1)×(k+1) solves run in pandas, a batch of rows at a time.  A null
+    feature has the lowest bin and is drawn like any other.  Returns (id, feature, weight,
+    intercept, score), with ``cls`` after id for more than two classes.
     """
     features = list(features)
     k = len(features)
     kw = kernel_width if kernel_width is not None else 0.75 * math.sqrt(k)
-    stats = train.agg(*[x for i, f in enumerate(features) for x in
-                        (F.avg(as_col(f)).alias(f"_mu{i}"), F.stddev_samp(as_col(f)).alias(f"_sd{i}"))])
-    ex = spread_for_fanout(df, id_col).select(as_col(id_col).cast("string").alias("_id"),
-                                              *[as_col(f) for f in features]) \
-           .crossJoin(F.broadcast(stats)).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-    pert, zcols = [], []
-    draws = gaussians("_id", "_s", salt=f"lime:{seed}", n=k)      # one digest per 4 draws
-    is0 = (F.col("_s") == 0).cast("double")
+    bins = quartile_bins(train, features)
+    kinds = {f: df.schema[f].dataType.simpleString() for f in features}
+    ex = spread_for_fanout(df, id_col).select(
+        as_col(id_col).cast("string").alias("_id"), *[as_col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)])
+    ex = ex.select("*", *[F.coalesce(_bin_of(F.col(f"_x{i}"), bins[f]["edges"]), F.lit(0)).alias(f"_own{i}") for i, f in enumerate(features)]) \
+           .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+    draws = uniforms("_id", "_s", salt=f"lime:{seed}", n=2 * k)
+    ex = ex.select("*", *[u.alias(f"_u{j}") for j, u in enumerate(draws)])
+    first = F.col("_s") == 0
+    picks = []
     for i, f in enumerate(features):
-        sd = F.coalesce(F.when(F.col(f"_sd{i}") > 0, F.col(f"_sd{i}")), F.lit(1.0))
-        # sample 0 is the row itself; an arithmetic blend (not CASE) keeps the shared
-        # digest outside a conditional branch, so Spark evaluates it once per row
-        z = is0 * F.coalesce((as_col(f) - F.col(f"_mu{i}")) / sd, F.lit(0.0)) + (F.lit(1.0) - is0) * draws[i]
-        zcols.append(z.alias(f"_z{i}"))
-    ex = ex.select("*", *zcols)
+        upto, total = [], 0.0
+        for share in bins[f]["share"][:-1]:
+            total += share
+            upto.append(total)
+        picks.append(sum(((F.col(f"_u{2 * i}") >= F.lit(c)).cast("int") for c in upto), F.lit(0)).alias(f"_b{i}"))
+    ex = ex.select("*", *picks)
+    made = []
     for i, f in enumerate(features):
-        sd = F.coalesce(F.when(F.col(f"_sd{i}") > 0, F.col(f"_sd{i}")), F.lit(1.0))
-        pert.append((F.col(f"_z{i}") * sd + F.col(f"_mu{i}")).alias(f))
-    # distance of each perturbation to the explained row (in scaled units)
-    x0 = [(as_col(f) - F.col(f"_mu{i}")) / F.coalesce(F.when(F.col(f"_sd{i}") > 0, F.col(f"_sd{i}")), F.lit(1.0))
-          for i, f in enumerate(features)]
-    d2 = F.lit(0.0)
-    for i in range(k):
-        d2 = d2 + F.pow(F.col(f"_z{i}") - x0[i], 2)
-    samples = ex.select("_id", *[F.col(f"_z{i}") for i in range(k)], F.sqrt(d2).alias("_d"), *pert)
-    scored = scorer.score(samples)
-    target = "p" if scorer.task != "regression" else "yh"
-    sw = scored.select("_id", *[F.col(f"_z{i}") for i in range(k)], F.col(target).cast("double").alias("_t"),
-                       F.sqrt(F.exp(-(F.col("_d") * F.col("_d")) / F.lit(kw * kw))).alias("_w"))
-    xs = [F.lit(1.0)] + [F.col(f"_z{i}") for i in range(k)]
-    sums = []
-    for a in range(k + 1):
-        for b in range(a, k + 1):
-            sums.append(F.sum(F.col("_w") * xs[a] * xs[b]).alias(f"_xx{a}_{b}"))
-        sums.append(F.sum(F.col("_w") * xs[a] * F.col("_t")).alias(f"_xy{a}"))
-    sums.append(F.sum(F.col("_w") * F.col("_t") * F.col("_t")).alias("_yy"))
-    sums.append(F.sum("_w").alias("_sw"))
+        b = bins[f]
+        table = [x for m, sd, lo, hi in zip(b["mean"], b["std"], b["low"], b["high"]) for x in _truncated_quantiles(m, sd, lo, hi)]
+        knots = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")      # folded to a constant
+        at = F.col(f"_u{2 * i + 1}") * F.lit(float(_KNOTS))
+        start = F.least(F.floor(at).cast("int"), F.lit(_KNOTS - 1))
+        low = F.get(knots, F.col(f"_b{i}") * F.lit(_KNOTS + 1) + start)
+        high = F.get(knots, F.col(f"_b{i}") * F.lit(_KNOTS + 1) + start + F.lit(1))
+        made.append(F.when(first, F.col(f"_x{i}")).otherwise(low + (high - low) * (at - start)).cast(kinds[f]).alias(f))
+    same = [(first | (F.col(f"_b{i}") == F.col(f"_own{i}"))).cast("double").alias(f"_z{i}") for i in range(k)]
+    scored = scorer.score(ex.select("_id", *same, *made))
+    outputs = _outputs(scorer)
+    zs = [F.col(f"_z{i}") for i in range(k)]
+    apart = F.lit(float(k)) - sum(zs[1:], zs[0])                   # squared distance of 0/1 rows
+    sw = scored.select("_id", *zs, *[v.alias(f"_t{c}") for c, v in enumerate(outputs)],
+                       F.sqrt(F.exp(-apart / F.lit(kw * kw))).alias("_w"))
+    xs = [F.lit(1.0), *zs]
+    sums = [F.sum(F.col("_w") * xs[a] * xs[b]).alias(f"_xx{a}_{b}") for a in range(k + 1) for b in range(a, k + 1)]
+    for c in range(len(outputs)):
+        sums += [F.sum(F.col("_w") * xs[a] * F.col(f"_t{c}")).alias(f"_xy{c}_{a}") for a in range(k + 1)]
+        sums.append(F.sum(F.col("_w") * F.col(f"_t{c}") * F.col(f"_t{c}")).alias(f"_yy{c}"))
     normal = sw.groupBy("_id").agg(*sums)
-    names = list(features)
+    classes = len(outputs)
+    schema = "id string, " + ("cls int, " if classes > 1 else "") + "feature string, weight double, intercept double, score double"
 
     def solve(batches):
         for pdf in batches:
             m = len(pdf)
             if m == 0:
                 continue
-            A = np.zeros((m, k + 1, k + 1))
-            bvec = np.zeros((m, k + 1))
+            gram = np.zeros((m, k + 1, k + 1))
             for a in range(k + 1):
-                bvec[:, a] = pdf[f"_xy{a}"].to_numpy()
                 for b in range(a, k + 1):
-                    v = pdf[f"_xx{a}_{b}"].to_numpy()
-                    A[:, a, b] = v
-                    A[:, b, a] = v
-            reg = np.eye(k + 1) * ridge
-            reg[0, 0] = 0.0            # intercept is not penalised
-            coef = np.linalg.solve(A + reg, bvec[..., None])[..., 0]
-            # weighted R² of the surrogate
-            pred_ss = np.einsum("ni,nij,nj->n", coef, A, coef)
-            cross = np.einsum("ni,ni->n", coef, bvec)
-            yy, sw_ = pdf["_yy"].to_numpy(), pdf["_sw"].to_numpy()
-            ybar = bvec[:, 0] / sw_
-            sst = yy - sw_ * ybar * ybar
-            sse = yy - 2 * cross + pred_ss
-            r2 = np.where(sst > 0, 1 - sse / np.where(sst > 0, sst, 1), 1.0)
-            rows = []
-            for j, nm in enumerate(names):
-                rows.append(pd.DataFrame({"id": pdf["_id"], "feature": nm, "weight": coef[:, j + 1],
-                                          "intercept": coef[:, 0], "score": r2}))
-            yield pd.concat(rows, ignore_index=True)
-
-    return normal.mapInPandas(solve, _LIME_SCHEMA)
+                    gram[:, a, b] = gram[:, b, a] = pdf[f"_xx{a}_{b}"].to_numpy()
+            penalty = np.eye(k + 1) * ridge
+            penalty[0, 0] = 0.0            # intercept is not penalised
+            parts = []
+            for c in range(classes):
+                xy = np.stack([pdf[f"_xy{c}_{a}"].to_numpy() for a in range(k + 1)], axis=1)
+                coef = np.linalg.solve(gram + penalty, xy[..., None])[..., 0]
+                yy, weight = pdf[f"_yy{c}"].to_numpy(), gram[:, 0, 0]
+                spread = yy - xy[:, 0] ** 2 / weight
+                left = yy - 2 * np.einsum("ni,ni->n", coef, xy) + np.einsum("ni,nij,nj->n", coef, gram, coef)
+                flat = spread <= 1e-12 * np.maximum(yy, 1e-300)      # the score does not move: nothing to explain
+                r2 = np.where(flat, 1.0, 1 - left / np.where(flat, 1.0, spread))
+                for j, name in enumerate(features):
+                    part = {"id": pdf["_id"], "feature": name, "weight": coef[:, j + 1], "intercept": coef[:, 0], "score": r2}
+                    if classes > 1:
+                        part["cls"] = np.full(m, c, dtype=np.int32)
+                    parts.append(pd.DataFrame(part))
+            yield pd.concat(parts, ignore_index=True)
+
+    return normal.mapInPandas(solve, schema)
 
 
 # ---------------------------------------------------------- partial dependence
@@ -341,5 +443,5 @@ def partial_dependence(df: DataFrame, scorer: Scorer, features, grid_resolution:
              .select(*[F.lit(f).alias(f"feature_{i + 1}") for i, f in enumerate(features)], *keys, "average")
 
 
-__all__ = ["importance_summary", "lime", "linear_shap", "partial_dependence", "pdp_grid",
-           "permutation_importance", "sampled_shap", "shap_global", "shap_local"]
+__all__ = ["importance_summary", "lime", "linear_shap", "partial_dependence", "pdp_grid", "quartile_bins",
+           "permutation_importance", "sampled_shap", "shap_global", "shap_local", "shap_predicted"]

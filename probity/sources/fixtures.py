@@ -246,6 +246,21 @@ def reg_scorer():
     return Scorer(fn=reg_score, task="regression")
 
 
+def multi_scorer():
+    """The three-class fixture scorer: the arithmetic of ``multi`` over f1 and f3."""
+    from probity.operators.scoring import Scorer
+
+    def fn(df):
+        s0 = F.lit(0.5) + F.col("f1") / F.lit(500000.0)
+        s1 = F.lit(1.0)
+        s2 = F.lit(0.2) + F.col("f3") / F.lit(10.0)
+        tot = s0 + s1 + s2
+        out = df.withColumn("probs", F.array(s0 / tot, s1 / tot, s2 / tot))
+        p = [F.col("probs")[c] for c in range(3)]
+        return out.withColumn("yh", F.when((p[0] >= p[1]) & (p[0] >= p[2]), 0).when(p[1] >= p[2], 1).otherwise(2))
+    return Scorer(fn=fn, task="classification", n_classes=3)
+
+
 # linear weights of ``reg_score`` (intercept 0)
 REG_WEIGHTS = {"f1": 2000.0, "f3": -5000.0, "f4": 10000.0}
 
