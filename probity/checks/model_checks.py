@@ -283,6 +283,14 @@ runs AS (SELECT size, iteration,
 """
 
 
+_RUNS_AUC = _RUNS[:_RUNS.index("runs AS (")] + f"""
+rr AS (SELECT size, iteration, y, rank() OVER (PARTITION BY size, iteration ORDER BY p)
+              + (count(*) OVER (PARTITION BY size, iteration, p) - 1) / 2.0 AS r FROM (SELECT *, {CLF_P} AS p FROM pt) x),
+runs AS (SELECT size, iteration, (sum(y * r) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS value
+         FROM rr GROUP BY size, iteration)
+"""
+
+
 @register("robustness_runs", with_views("""
 SELECT round(size, 6) AS size, iteration, 'ACC' AS metric, round(value, 6) AS value FROM runs""",
                                         "clf", ctes=_RUNS))
@@ -293,9 +301,9 @@ def robustness_runs(spark, d):
 @register("robustness_summary", with_views("""
 SELECT round(size, 6) AS size, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q1,
        round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3,
-       round(max(value), 6) AS max, round(avg(value), 6) AS mean FROM runs GROUP BY size""", "clf", ctes=_RUNS))
+       round(max(value), 6) AS max, round(avg(value), 6) AS mean FROM runs GROUP BY size""", "clf", ctes=_RUNS_AUC))
 def robustness_summary(spark, d):
-    runs = robust.robustness_runs(_clf_test(spark, d), fx.clf_scorer(), _FEATS, metric="ACC")
+    runs = robust.robustness_runs(_clf_test(spark, d), fx.clf_scorer(), _FEATS, metric="AUC")
     return rounded(robust.robustness_summary(runs))
 
 
@@ -308,9 +316,9 @@ SELECT round(size, 6) AS size, iteration, lang, count(*) AS n FROM (
          CASE WHEN {_CU[0]} < r.size
               THEN (SELECT c.lang FROM cum c WHERE {_CU[1]} >= c.lo AND {_CU[1]} < c.hi)
               ELSE r.lang END AS lang
-  FROM (SELECT docs.id, docs.lang, sz.size, it.iteration, sz.si * 3 + it.iteration - 1 AS run FROM docs
+  FROM (SELECT docs.id, docs.lang, sz.size, it.iteration, sz.si * 10 + it.iteration - 1 AS run FROM docs
         CROSS JOIN (SELECT * FROM (VALUES {_SIZES_SQL}) s(size, si)) sz
-        CROSS JOIN (SELECT unnest(range(1, 4)) AS iteration) it) r) x
+        CROSS JOIN (SELECT unnest(range(1, 11)) AS iteration) it) r) x
 GROUP BY size, iteration, lang""", "docs", ctes="""
 fq AS (SELECT lang, count(*) AS n FROM docs GROUP BY lang),
 cum AS (SELECT lang, (sum(n) OVER (ORDER BY lang) - n) / (SELECT sum(n) FROM fq) AS lo,
@@ -318,7 +326,7 @@ cum AS (SELECT lang, (sum(n) OVER (ORDER BY lang) - n) / (SELECT sum(n) FROM fq)
 """))
 def category_noise(spark, d):
     docs = fx.docs(spark, d).select("id", "lang")
-    runs = robust.explode_runs(docs, robust.DEFAULT_SIZES, 3)
+    runs = robust.explode_runs(docs, robust.DEFAULT_SIZES, 10)
     out = robust.category_noise(runs, ["lang"], "id", seed=0, stats_from=docs)
     return rounded(out.groupBy("size", "iteration", "lang").agg(F.count(F.lit(1)).alias("n")))
 
@@ -328,10 +336,10 @@ SELECT round(size, 6) AS size, iteration, round(avg(val), 6) AS mean_f2, round(m
        round(max(val), 6) AS max_f2 FROM (
   SELECT size, iteration, CASE WHEN tt >= 0.5 THEN vb - (vb - va) * (1.0 - tt) ELSE va + (vb - va) * tt END AS val
   FROM (SELECT q.size, q.iteration, pos - floor(pos) AS tt, a.v AS va, b.v AS vb
-        FROM (SELECT size, iteration, least(greatest(pct + ({U("id, si * 2 + iteration - 1", 'qn:0:f2', 1)[0]}
+        FROM (SELECT size, iteration, least(greatest(pct + ({U("id, si * 10 + iteration - 1", 'qn:0:f2', 1)[0]}
                                                              * 2.0 - 1.0) * size, 0.0), 1.0) * (n - 1) AS pos
-              FROM pc CROSS JOIN (SELECT * FROM (VALUES (0.1::DOUBLE, 0), (0.2::DOUBLE, 1)) s(size, si)) sz
-              CROSS JOIN (SELECT unnest(range(1, 3)) AS iteration) it) q
+              FROM pc CROSS JOIN (SELECT * FROM (VALUES {_SIZES_SQL}) s(size, si)) sz
+              CROSS JOIN (SELECT unnest(range(1, 11)) AS iteration) it) q
         LEFT JOIN srt a ON a.k = CAST(floor(q.pos) AS BIGINT) + 1
         LEFT JOIN srt b ON b.k = CAST(ceil(q.pos) AS BIGINT) + 1) j) v
 GROUP BY size, iteration""", "reg", ctes="""
@@ -343,7 +351,7 @@ srt AS (SELECT f2 AS v, row_number() OVER (ORDER BY f2) AS k FROM t)
 def quantile_noise(spark, d):
     t = fx.reg(spark, d).where(F.col("split") == "test").select("id", "f2")
     base = robust.with_percentile(t, "f2", "_pct")
-    runs = robust.explode_runs(base, [0.1, 0.2], 2)
+    runs = robust.explode_runs(base, robust.DEFAULT_SIZES, 10)
     out = robust.quantile_noise(runs, t, "f2", "_pct", "id", seed=0)
     return rounded(out.groupBy("size", "iteration").agg(
         F.avg("f2").alias("mean_f2"), F.min("f2").alias("min_f2"), F.max("f2").alias("max_f2")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from probity.functions.util import as_col, quote
 from probity.plans.ordering import first_by_hash
 from probity.plans.quantiles import exact_quantiles
 from probity.plans.reshape import to_long
+from probity.session import cut_lineage
 
 NUMERIC_STRATEGIES = ("mean", "median", "most_frequent", "constant")
 STRING_STRATEGIES = ("most_frequent", "constant")
@@ -141,16 +142,36 @@ def sample_rows(df: DataFrame, n: int, id_col: str = "id", seed=42) -> DataFrame
     return first_by_hash(df, hash01(id_col, salt=f"sample:{seed}"), id_col, int(n))
 
 
+def dense_codes(df: DataFrame, col: str) -> DataFrame:
+    """(value, code) with codes 0..K−1 for the K distinct non-null values of ``col``, as strings in order.
+
+    The distinct values are range-partitioned and written once, numbered inside each range
+    and moved on by the counts of the ranges before; only one count a range (at most
+    ``spark.sql.shuffle.partitions``) meets in one task, and no value reaches the driver.
+    """
+    values = df.select(as_col(col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
+    ranged = cut_lineage(values.repartitionByRange("value").withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size")) \
+                   .select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("value")) - F.lit(1)
+    return ranged.withColumn("_place", inside).join(F.broadcast(starts), "_range") \
+                 .select("value", (F.col("_start") + F.col("_place")).cast("int").alias("code"))
+
+
 def label_encode(df: DataFrame, cols, suffix: str = "") -> DataFrame:
-    """Sorted ordinal codes 0..K−1 per categorical column."""
-    cols = list(cols)
-    idx = [StringIndexer(inputCol=c, outputCol=f"_{i}_idx", stringOrderType="alphabetAsc",
-                         handleInvalid="keep") for i, c in enumerate(cols)]
-    model = Pipeline(stages=idx).fit(df)
-    out = model.transform(df)
-    for i, c in enumerate(cols):
-        code = F.when(as_col(c).isNull(), F.lit(None)).otherwise(F.col(f"_{i}_idx").cast("int"))
-        out = out.withColumn(c + suffix, code).drop(f"_{i}_idx")
+    """Sorted ordinal codes 0..K−1 per categorical column; null stays null.
+
+    The code table (``dense_codes``) is joined on the value: AQE broadcasts a small one
+    and splits hot values of a large one.
+    """
+    out = df
+    for c in list(cols):
+        codes = dense_codes(df, c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        name = c + suffix
+        kept = [F.col("_code").alias(x) if x == name else F.col(quote(x)) for x in out.columns]
+        joined = out.join(codes, as_col(c).cast("string") == F.col("_value"), "left")
+        out = joined.select(*kept) if name in out.columns else joined.select(*kept, F.col("_code").alias(name))
     return out
 
 
