@@ -34,6 +34,11 @@ def hash01(*id_cols, salt=None) -> Column:
     return hash_u32(*id_cols, salt=salt) / F.lit(TWO_POW_32)
 
 
+def hash_hex(*id_cols, salt=None) -> Column:
+    """The eight hexadecimal digits behind ``hash_u32``: they compare as the number does."""
+    return F.substring(F.md5(_keyed(id_cols, salt)), 1, 8)
+
+
 def hash_open01(*id_cols, salt=None) -> Column:
     """Uniform draw in (0, 1): safe for ``ln``."""
     return (hash_u32(*id_cols, salt=salt) + F.lit(0.5)) / F.lit(TWO_POW_32)

@@ -18,13 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.functions.hashing import hash01, hash_long, uniforms
+from probity.functions.hashing import hash01, hash_hex, hash_long, uniforms
 from probity.functions.util import as_col, quote
 from probity.operators.metrics import LOWER_IS_BETTER, evaluate
 from probity.operators.scoring import Scorer, eval_kwargs
 from probity.plans.ordering import number_by_hash, tie_hash
 from probity.plans.quantiles import exact_quantiles
 from probity.plans.reshape import bounded_broadcast, spread_for_fanout
+from probity.session import cut_lineage
 
 
 def _replace_features(df: DataFrame, features, key: str, value: str, kinds: dict) -> DataFrame:
@@ -157,11 +158,13 @@ def sampled_shap(df: DataFrame, scorer: Scorer, features, background: DataFrame,
     the contributions add up exactly to f(x) − f(z).  Background rows are picked by
     a hash-drawn index into the background, numbered without a single-partition
     window (``number_background``): an equi-join, no cross join, no size bound.
+    Only (index, draw number) travels to the background and only the values come back;
+    the row itself, its features and its sums meet them by a row number.
 
     The explained score is ``yh`` (regression), ``p`` (two classes) or the whole vector
     ``probs`` (more classes).  Every scored step adds to one sum per feature and class of
-    its row; all steps of a row are made in one task, so the partial aggregation collapses
-    them and one narrow row per id shuffles.  Returns (id, feature, phi), with ``cls``
+    its row; all steps of a row are made in one task, so they are summed up there and one
+    narrow row per id shuffles.  Returns (id, feature, phi), with ``cls``
     (0-based class) between feature and phi for more than two classes.
     """
     features = list(features)
@@ -169,29 +172,36 @@ def sampled_shap(df: DataFrame, scorer: Scorer, features, background: DataFrame,
     kinds = {f: df.schema[f].dataType.simpleString() for f in features}
     bgk = number_background(background, features, background_id, seed)
     nbg = bgk.count()
-    ex = spread_for_fanout(df, id_col).select(as_col(id_col).alias("_id"), *[as_col(f) for f in features]) \
-           .withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
-    ex = ex.withColumn("_zi", F.floor(hash_long("_id", "_m", salt=f"bg:{seed}") / F.lit(float(1 << 60)) * F.lit(nbg)))
-    ex = ex.join(bgk, "_zi")          # equi-join; AQE broadcasts a small background
-    # feature order: sort features by a hash per (row, sample)
-    keys = F.array(*[F.struct(hash01("_id", "_m", F.lit(f), salt=f"ord:{seed}").alias("h"), F.lit(i).alias("i"))
-                     for i, f in enumerate(features)])
-    ex = ex.withColumn("_order", F.transform(F.array_sort(keys), lambda x: x["i"]))
-    ex = ex.select("*", *[(F.array_position("_order", F.lit(i)) - F.lit(1)).alias(f"_at_{i}") for i in range(k)])
+    # written down once: the rows are read for the draws and again for the walk, under the same numbers
+    rows = cut_lineage(spread_for_fanout(df, id_col).select(
+        as_col(id_col).alias("_id"), *[as_col(f) for f in features], F.monotonically_increasing_id().alias("_row")))
+    # a draw is two numbers on its way to the background, and one number and the values on its way back
+    asked = rows.select("_id", "_row", F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("_m")).select(
+        F.floor(hash_long("_id", "_m", salt=f"bg:{seed}") / F.lit(float(1 << 60)) * F.lit(nbg)).alias("_zi"),
+        (F.col("_row") * F.lit(n_samples) + F.col("_m") - F.lit(1)).alias("_draw"))
+    drawn = asked.join(bgk.hint("shuffle_hash"), "_zi").select("_draw", *[f"_z_{i}" for i in range(k)])
+    drawn = drawn.withColumn("_row", F.expr(f"_draw div {n_samples}"))
+    ex = drawn.join(rows.hint("shuffle_hash"), "_row").withColumn("_m", F.pmod("_draw", F.lit(n_samples)).cast("int") + F.lit(1))
+    # feature order: by a hash per (row, sample), ties by the feature's number
+    ex = ex.select("*", *[hash_hex("_id", "_m", F.lit(f), salt=f"ord:{seed}").alias(f"_h_{i}") for i, f in enumerate(features)])
+    ex = ex.select("*", *[sum(((F.col(f"_h_{j}") <= F.col(f"_h_{i}") if j < i else F.col(f"_h_{j}") < F.col(f"_h_{i}")).cast("int")
+                               for j in range(k) if j != i), F.lit(0)).alias(f"_at_{i}") for i in range(k)])
     # steps 0..k: features at order positions < step come from x, the rest from z
     ex = ex.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(k))))
     places = [f"_at_{i}" for i in range(k)]
     hybrid = [F.when(F.col(places[i]) < F.col("_step"), as_col(f)).otherwise(F.col(f"_z_{i}")).cast(kinds[f]).alias(f)
               for i, f in enumerate(features)]
-    scored = scorer.score(ex.select("_id", "_step", *places, *hybrid))
+    scored = scorer.score(ex.select("_row", "_id", "_step", *places, *hybrid))
     outputs = _outputs(scorer)
-    scored = scored.select("_id", "_step", *places, *[v.alias(f"_f_{c}") for c, v in enumerate(outputs)])
+    scored = scored.select("_row", "_id", "_step", *places, *[v.alias(f"_f_{c}") for c, v in enumerate(outputs)])
     # the score at step s counts + for the feature at position s-1 and - for the one at position s
     sums = []
     for i in range(k):
         sign = (F.col("_step") == F.col(places[i]) + F.lit(1)).cast("int") - (F.col("_step") == F.col(places[i])).cast("int")
         sums += [F.sum(F.when(sign != 0, sign * F.col(f"_f_{c}"))).alias(f"_phi_{i}_{c}") for c in range(len(outputs))]
-    wide = scored.groupBy(F.col("_id").alias("id")).agg(*sums)
+    # all draws of a row are in one task by its number; rows of the same id then add up
+    each = scored.groupBy("_row", "_id").agg(*sums)
+    wide = each.groupBy(F.col("_id").alias("id")).agg(*[F.sum(c).alias(c) for c in each.columns[2:]])
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(c).alias("cls"),
                                (F.col(f"_phi_{i}_{c}") / F.lit(float(n_samples))).alias("phi"))
                       for i, f in enumerate(features) for c in range(len(outputs))])
