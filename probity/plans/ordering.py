@@ -355,17 +355,22 @@ def number_by_hash(df: DataFrame, hash01: Column, tiebreak: str, out: str = "rn"
 def first_by_hash(df: DataFrame, hash01: Column, tiebreak: str, n: int) -> DataFrame:
     """Exactly min(n, rows) rows: those with the smallest draws, ties by ``tiebreak``.
 
-    All buckets of draws below the one in which the n-th row falls are taken as they are;
-    only that bucket is numbered.
+    Two passes over the rows: one counts them by buckets of the draw, the other takes the
+    rows up to the bucket in which the n-th falls.  Only that bucket is numbered.
     """
-    base = df.withColumn("_hv", hash01).withColumn("_hb", F.floor(F.col("_hv") * F.lit(float(_HASH_BUCKETS))).cast("int"))
+    bucket = F.floor(hash01 * F.lit(float(_HASH_BUCKETS))).cast("int")
     up = Window.orderBy("_ob").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # _HASH_BUCKETS rows
-    cut = base.groupBy(F.col("_hb").alias("_ob")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_cum", F.sum("_c").over(up)) \
-              .where((F.col("_cum") >= F.lit(n)) & (F.col("_cum") - F.col("_c") < F.lit(n)))
-    edge = cut.agg(F.min("_ob").alias("_edge"), F.min(F.lit(n) - (F.col("_cum") - F.col("_c"))).alias("_left"))  # one row; nulls if there are fewer rows
-    j = base.crossJoin(F.broadcast(edge))
+    cut = df.select(bucket.alias("_ob")).groupBy("_ob").agg(F.count(F.lit(1)).alias("_c")).withColumn("_cum", F.sum("_c").over(up)) \
+            .where((F.col("_cum") >= F.lit(n)) & (F.col("_cum") - F.col("_c") < F.lit(n)))
+    # one row, nulls if there are fewer rows; the rows are then cut by a number instead of a join
+    edge = cut.agg(F.min("_ob").alias("at"), F.min(F.lit(n) - (F.col("_cum") - F.col("_c"))).alias("left")).first() if n > 0 else None
     names = [F.col(quote(c)) for c in df.columns]
-    below = j.where(F.col("_edge").isNull() | (F.col("_hb") < F.col("_edge"))).where(F.lit(n > 0))
+    if n <= 0:
+        return df.where(F.lit(False)).select(*names)
+    if edge["at"] is None:
+        return df.select(*names)
+    taken = df.where(bucket <= F.lit(edge["at"])).withColumn("_hv", hash01)
     w = Window.partitionBy("_hb").orderBy("_hv", as_col(tiebreak))
-    at = j.where(F.col("_hb") == F.col("_edge")).withColumn("_in", F.row_number().over(w)).where(F.col("_in") <= F.col("_left"))
-    return below.select(*names).unionByName(at.select(*names))
+    marked = taken.withColumn("_hb", F.floor(F.col("_hv") * F.lit(float(_HASH_BUCKETS))).cast("int")) \
+                  .withColumn("_in", F.row_number().over(w))
+    return marked.where((F.col("_hb") < F.lit(edge["at"])) | (F.col("_in") <= F.lit(edge["left"]))).select(*names)
