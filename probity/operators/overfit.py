@@ -59,17 +59,19 @@ def learning_curve(df: DataFrame, estimator, task: str = "classification", y: st
                                           F.lit(folds - 1))) \
              .withColumn("_u", hash01(id_col, salt=f"lc:{seed}"))
     base = cut_lineage(featurize(base) if featurize else base)
-    rows = []
-    for size in sizes:
-        for k in range(folds):
-            tr = base.where((F.col("_fold") != k) & (F.col("_u") < F.lit(float(size))))
-            te = base.where(F.col("_fold") == k)
-            model = estimator.fit(tr)
-            scorer = Scorer(model=model, task=task)
-            kw = eval_kwargs(scorer)
-            s_tr = evaluate(scorer.score(tr), metric, y=y, **kw).first()["value"]
-            s_te = evaluate(scorer.score(te), metric, y=y, **kw).first()["value"]
-            rows.append((float(size), k, tr.count(), s_tr, s_te))
+    fits = [(float(size), k) for size in sizes for k in range(folds)]
+    inside = [(F.col("_fold") != k) & (F.col("_u") < F.lit(size)) for size, k in fits]
+    # all fitted models are scored side by side in one pass, training and held-out rows together
+    wide, out = base.withColumn("_y", as_col(y)), "yh" if task == "regression" else "p"
+    for i in range(len(fits)):
+        scorer = Scorer(model=estimator.fit(base.where(inside[i])), task=task)
+        wide = scorer.score(wide).withColumnRenamed(out, f"_out{i}")
+    cells = F.array(*[F.struct(F.lit(i).alias("fit"), inside[i].alias("inside"), (F.col("_fold") == k).alias("held"),
+                               F.col(f"_out{i}").cast("double").alias("out")) for i, (_, k) in enumerate(fits)])
+    scored = wide.select("_y", F.explode(cells).alias("_c")).select("_y", "_c.*").where(F.col("inside") | F.col("held"))
+    found = {(r["fit"], r["inside"]): r["value"] for r in evaluate(scored, metric, by=["fit", "inside"], y="_y", **{out: "out"}).collect()}  # two rows a fit
+    sizes_of = base.agg(*[F.count_if(c) for c in inside]).first()
+    rows = [(size, k, sizes_of[i], found.get((i, True)), found.get((i, False))) for i, (size, k) in enumerate(fits)]
     spark = df.sparkSession
     res = spark.createDataFrame(rows, "size double, fold int, n_train long, train double, cv double")
     return res.groupBy("size").agg(
