@@ -373,3 +373,17 @@ def test_quotations(spark):
     assert [got[2, t]["parent_turn"] for t in (5, 9, 5000)] == [None, 5, 9]
     assert got[3, None]["reply_path"] is None and got[1, 3]["max_level"] == 2
     assert quotations.link_quotations(df.limit(0)).count() == 0
+
+
+def test_dropped_ids_move_no_text(spark, monkeypatch):
+    from probity.llm import common
+    schema = "doc_id long, text string"
+    df = spark.createDataFrame([(i % 50, f"text {i}") for i in range(300)] + [(None, "none")], schema).repartition(3)
+    gone = spark.createDataFrame([(i,) for i in (3, 3, 7, 99)] + [(None,)], "id long").repartition(2).distinct()
+    want = sorted(r["text"] for r in df.collect() if r["doc_id"] not in (3, 7))
+    kept = common.without_ids(common.materialise(df), "doc_id", gone)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sorted(r["text"] for r in kept.collect()) == want
+    monkeypatch.setattr(common, "BROADCAST_IDS", 1)
+    assert sorted(r["text"] for r in common.without_ids(df, "doc_id", gone).collect()) == want
