@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +30,9 @@ from probity.llm.common import materialise, rows
 CHUNK_STORE = 800_000
 _LONG_CHUNK = 64
 _RANK_BITS = 48
+#: Words that are encoded as one text.
+_JOINED = 256
+_WORD_END = "</w>"
 #: White space for str.split but not for the tokenizer's pattern.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -36,7 +41,9 @@ class ChunkTokenizer:
     """ids of a text as little-endian uint32 bytes, one white-space chunk at a time.
 
     The vocabulary's normaliser and pre-tokenizer never look across white space, so a
-    text's ids are the ids of its chunks in order; common chunks are encoded once.
+    text's ids are the ids of its chunks in order; common chunks are encoded once.  New
+    words of Latin letters are encoded many in one text, which is cut behind every token
+    that ends a word; where these are not as many as the words, each is encoded by itself.
     """
 
     def __init__(self, path: str):
@@ -46,28 +53,54 @@ class ChunkTokenizer:
         normaliser = self.tokenizer.normalizer
         self.normal = normaliser.normalize_str if normaliser is not None else str
         self.folds = self.normal("AZ") == "az"
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        # array("I") holds 32 bits in the machine's order
+        return [np.frombuffer(array("I", e.ids), dtype=np.uint32).astype("<u4", copy=False).tobytes()
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """``_ids`` of words that the tokenizer does not split further."""
+        groups = [words[at:at + _JOINED] for at in range(0, len(words), _JOINED)]
+        out = []
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
+            cuts = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, dtype="<u4")]) + 4).tolist()
+            if len(cuts) == len(group) and cuts[-1] == len(ids):
+                out += [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+            else:
+                out += self._ids(group)
+        return out
 
     def _learn(self, missing: set[str]) -> None:
-        """Store chunks; a word with a mark behind it, or with capitals, is put together from its parts.
+        """Store chunks; a word with marks behind it, or with capitals, is put together from its parts.
 
         Letters and other signs never share a token.  What counts as a letter is the word's
         end after normalising; capitals are folded only if the vocabulary folds them.
         """
-        parts = {}
+        same, lowered, parts = [], {}, {}
         for chunk in missing:
             low = chunk.lower() if self.folds and chunk.isascii() else chunk
-            word = low[:-1] if low[-1] in ".,;:!?" else ""
-            ends = word[-1:].isalpha() and (word.isascii() or self.normal(word)[-1:].isalpha())
-            parts[chunk] = (word, low[-1]) if ends else (low,)
-        new = list({p for ps in parts.values() for p in ps}.difference(self.store))
-        self.store.update(zip(new, self._ids(new)))
-        self.store.update((chunk, b"".join(map(self.store.__getitem__, ps))) for chunk, ps in parts.items())
-        for chunk in new:
-            if len(chunk) > _LONG_CHUNK and chunk not in parts:
-                del self.store[chunk]
+            word = low.rstrip(string.punctuation)
+            if len(word) < len(low) and word[-1:].isalpha() and (word.isascii() or self.normal(word)[-1:].isalpha()):
+                parts[chunk] = (word, low[len(word):])
+            elif low != chunk:
+                lowered[chunk] = low
+            else:
+                same.append(chunk)
+        new = set(same).union(lowered.values(), *parts.values()).difference(self.store)
+        words = [p for p in new if p.isalpha() and (p.isascii() or max(p) <= "\xff")]
+        self.store.update(zip(words, self._ids_of_words(words)))
+        others = list(new.difference(words))
+        self.store.update(zip(others, self._ids(others)))
+        get = self.store.__getitem__
+        self.store.update([(chunk, get(low)) for chunk, low in lowered.items()])
+        self.store.update([(chunk, get(word) + get(tail)) for chunk, (word, tail) in parts.items()])
+        for part in new:
+            if len(part) > _LONG_CHUNK and part not in missing:
+                del self.store[part]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [None if _ODD_SPACE.search(t) else t.split() for t in texts]

@@ -375,6 +375,24 @@ def test_quotations(spark):
     assert quotations.link_quotations(df.limit(0)).count() == 0
 
 
+def test_new_words_are_encoded_together():
+    from tokenizers import Tokenizer
+    path = packing.default_vocabulary()
+    tok, own, rng = Tokenizer.from_file(path), packing.ChunkTokenizer(path), random.Random(17)
+    asked, plain = [], own._ids
+    own._ids = lambda texts: asked.extend(texts) or plain(texts)
+    letters = [chr(i) for i in range(256) if chr(i).isalpha()]
+    marks = ["", "", ".", "###", "'", "\">", "--", "&&&'s"]
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) + rng.choice(marks) for _ in range(400)) for _ in range(10)]
+    want = [np.asarray(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(texts) == want
+    assert len(asked) < 1000                       # 4,000 words, most of them new
+
+    own = packing.ChunkTokenizer(path)
+    own.ends[:] = False                            # a vocabulary without such marks: one word at a time
+    assert own.encode(texts) == want
+
+
 def test_dropped_ids_move_no_text(spark, monkeypatch):
     from probity.llm import common
     schema = "doc_id long, text string"
