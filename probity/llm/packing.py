@@ -53,6 +53,8 @@ class ChunkTokenizer:
         normaliser = self.tokenizer.normalizer
         self.normal = normaliser.normalize_str if normaliser is not None else str
         self.folds = self.normal("AZ") == "az"
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
@@ -82,6 +84,9 @@ class ChunkTokenizer:
         """
         same, lowered, parts = [], {}, {}
         for chunk in missing:
+            if self.added.search(chunk):    # added tokens are found before normalising, in any place
+                same.append(chunk)
+                continue
             low = chunk.lower() if self.folds and chunk.isascii() else chunk
             word = low.rstrip(string.punctuation)
             if len(word) < len(low) and word[-1:].isalpha() and (word.isascii() or self.normal(word)[-1:].isalpha()):

@@ -384,6 +384,7 @@ def test_new_words_are_encoded_together():
     letters = [chr(i) for i in range(256) if chr(i).isalpha()]
     marks = ["", "", ".", "###", "'", "\">", "--", "&&&'s"]
     texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) + rng.choice(marks) for _ in range(400)) for _ in range(10)]
+    texts += ["a<|endoftext|> <|endoftext|>, A<|ENDOFTEXT|> b <|startoftext|>!"]
     want = [np.asarray(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
     assert own.encode(texts) == want
     assert len(asked) < 1000                       # 4,000 words, most of them new
