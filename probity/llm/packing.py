@@ -46,6 +46,8 @@ class ChunkTokenizer:
     that ends a word; where these are not as many as the words, each is encoded by itself.
     """
 
+    added, ends = re.compile(r"(?!)"), np.zeros(1, dtype=bool)     # no added tokens, no ends of words known
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -69,7 +71,7 @@ class ChunkTokenizer:
         groups = [words[at:at + _JOINED] for at in range(0, len(words), _JOINED)]
         out = []
         for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
-            cuts = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, dtype="<u4")]) + 4).tolist()
+            cuts = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, dtype="<u4")]) + 4).tolist() if self.ends.any() else []
             if len(cuts) == len(group) and cuts[-1] == len(ids):
                 out += [ids[a:b] for a, b in zip([0, *cuts], cuts)]
             else:
