@@ -7,6 +7,7 @@ by feature.  Nothing but schema-sized results ever reaches the driver.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from probity.functions.binning import bin_index, linspace_edges
 from probity.functions.util import as_col, categorical_columns, count_if, numeric_columns, quote, safe_div
 from probity.plans.quantiles import quantile_table
 from probity.plans.reshape import bounded_broadcast, to_long
+from probity.session import cut_lineage
 
 
 def schema_info(df: DataFrame) -> DataFrame:
@@ -182,13 +184,31 @@ def outlier_fences(df: DataFrame, cols=None, k: float = 1.5) -> DataFrame:
                                                    F.coalesce("n_outliers", F.lit(0)).alias("n_outliers"))
 
 
+RANKS_BROADCAST = 1 << 17     # distinct values of a column whose table of ranks goes to every task
+ROWS_A_TASK = 1 << 19         # rows that one task brings together by id
+
+
 def spearman_matrix(df: DataFrame, cols, id_col: str = "id") -> DataFrame:
-    """Spearman rho for every pair a < b: average ranks per column (skew-safe
-    ``average_ranks`` on the long table), pivoted back by id, then Pearson of the
-    ranks (V6).  Ranks are taken over each column's non-null values."""
-    from probity.plans.ordering import average_ranks
+    """Spearman rho for every pair a < b: average ranks per column (V6), one row per id, then Pearson of the ranks.
+
+    Ranks are taken over each column's non-null values of all rows; an id on several rows has
+    its largest value per column.  Values stay one row an id and meet the tables of ranks
+    column by column: a table of up to RANKS_BROADCAST distinct values is broadcast, a longer
+    one is joined by value, with the values alone on the other side.  Rows are brought together
+    by id in parts of about ROWS_A_TASK, however many there are.
+    """
+    from probity.plans.ordering import ordered_value, rank_table
     cols = list(cols)
-    long = to_long(df, [id_col], cols).where(F.col("value").isNotNull())
-    ranked = average_ranks(long, "value", ["feature"], out="_rank")
-    wide = ranked.groupBy(id_col).pivot("feature", cols).agg(F.first("_rank"))
-    return pearson_matrix(wide, cols)
+    names = [f"_x{i}" for i in range(len(cols))]
+    values = df.select(as_col(id_col).alias("_id"), *[as_col(c).cast("double").alias(x) for c, x in zip(cols, names)])
+    long = to_long(values, [], names).where(F.col("value").isNotNull())
+    ranks = cut_lineage(rank_table(long, "value", ["feature"], "_rank"))
+    distinct = {r["feature"]: r["n"] for r in ranks.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per column
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(values.count() / ROWS_A_TASK))
+    wide = values.repartition(parts, "_id").groupBy("_id").agg(*[F.max(x).alias(x) for x in names]).drop("_id")
+    for x in names:
+        table = ranks.where(F.col("feature") == F.lit(x)).select(F.col("_v").alias("_k"), F.col("_rank").alias("_r"))
+        if distinct.get(x, 0) <= RANKS_BROADCAST:
+            table = F.broadcast(table)
+        wide = wide.withColumn(x, ordered_value(wide, x)).join(table, F.col(x) == F.col("_k"), "left").withColumn(x, F.col("_r")).drop("_k", "_r")
+    return pearson_matrix(wide.toDF(*cols), cols)
