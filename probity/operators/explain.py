@@ -15,10 +15,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.functions.hashing import hash01, hash_hex, hash_long, uniforms
+from probity.functions.hashing import hash01, hash_hex, hash_long, uniforms_of_runs
 from probity.functions.util import as_col, quote
 from probity.operators.metrics import LOWER_IS_BETTER, evaluate
 from probity.operators.scoring import Scorer, eval_kwargs
@@ -271,15 +272,16 @@ def quartile_bins(train: DataFrame, features) -> dict[str, dict]:
     """Quartile bins of every feature: inner edges, and share, mean, std, lowest and highest value per bin.
 
     A bin is the number of distinct quartiles below the value, so a value on an edge
-    belongs to the lower bin.  Exact quartiles; one grouped pass for the bins' statistics.
+    belongs to the lower bin.  Exact quartiles of all features in the same passes; one grouped pass for the bins' statistics.
     What comes to the driver is at most four rows a feature.  Nulls and NaNs are left out.
     """
     features = list(features)
+    values = F.array(*[F.struct(F.lit(i).alias("i"), as_col(f).cast("double").alias("v")) for i, f in enumerate(features)])
+    known = train.select(F.explode(values).alias("_c")).select("_c.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    cuts = exact_quantiles(known, "v", [0.25, 0.5, 0.75], ["i"], max_groups=len(features)).collect()   # three rows a feature
     bins = {}
-    for f in features:
-        v = as_col(f).cast("double")
-        known = train.select(v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        edges = sorted({r["quantile"] for r in exact_quantiles(known, "_v", [0.25, 0.5, 0.75]).collect() if r["quantile"] is not None})
+    for i, f in enumerate(features):
+        edges = sorted({r["quantile"] for r in cuts if r["i"] == i and r["quantile"] is not None})
         if not edges:
             raise ValueError(f"feature {f!r} has no value to cut into quartiles")
         bins[f] = {"edges": edges}
@@ -316,6 +318,42 @@ def _truncated_quantiles(mean: float, std: float, low: float, high: float) -> li
     return [low, *(min(max(normal.inv_cdf(q), low), high) if 0.0 < q < 1.0 else (low if q <= 0.0 else high) for q in inner), high]
 
 
+def _lime_samples(batches, tables, n_samples, salt):
+    """(_id, same bin and value of every feature) of each sample of each row; sample 0 is the row itself.
+
+    ``tables``: a feature's cumulated shares of bins, then the lower ends of its table of quantiles
+    and the steps to the next ones, _KNOTS a bin.
+    """
+    k, at_once = len(tables), max(1, 16_384 // n_samples)
+    names = ["_id", *[x for i in range(k) for x in (f"_z{i}", f"_m{i}")]]
+    for batch in batches:
+        for start in range(0, batch.num_rows, at_once):
+            rows = batch.slice(start, at_once)
+            column = lambda name: rows.column(rows.schema.get_field_index(name))      # noqa: E731, B023
+            ids = column("_id")
+            draws = uniforms_of_runs(ids.to_pylist(), n_samples, salt, 2 * k)
+            out = [ids.take(pa.array(np.repeat(np.arange(rows.num_rows), n_samples)))]
+            for i, (upto, low, step) in enumerate(tables):
+                bins = np.zeros(draws[0].shape, dtype=np.int64)
+                for c in upto:
+                    bins += draws[2 * i] >= c
+                at = draws[2 * i + 1] * _KNOTS
+                knot = np.minimum(at.astype(np.int64), _KNOTS - 1)
+                at -= knot
+                knot += bins * _KNOTS
+                made = low[knot] + step[knot] * at
+                same = (bins == column(f"_own{i}").to_numpy()[:, None]).astype(np.float64)
+                known = column(f"_x{i}")
+                made[:, 0], same[:, 0] = known.to_numpy(zero_copy_only=False), 1.0
+                missing = None
+                if known.null_count:
+                    missing = np.zeros(made.shape, dtype=bool)
+                    missing[:, 0] = known.is_null().to_numpy(zero_copy_only=False)
+                    missing = missing.ravel()
+                out += [pa.array(same.ravel()), pa.array(made.ravel(), pa.float64(), mask=missing)]
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+
 def lime(df: DataFrame, scorer: Scorer, features, train: DataFrame, id_col: str = "id", n_samples: int = 200,
          kernel_width: float | None = None, ridge: float = 1.0, seed: int = 0) -> DataFrame:
     """Local linear surrogates for every row, over quartile bins (X6, re-aimed from one row to all).
@@ -339,38 +377,26 @@ def lime(df: DataFrame, scorer: Scorer, features, train: DataFrame, id_col: str
     kinds = {f: df.schema[f].dataType.simpleString() for f in features}
     ex = spread_for_fanout(df, id_col).select(
         as_col(id_col).cast("string").alias("_id"), *[as_col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)])
-    ex = ex.select("*", *[F.coalesce(_bin_of(F.col(f"_x{i}"), bins[f]["edges"]), F.lit(0)).alias(f"_own{i}") for i, f in enumerate(features)]) \
-           .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-    draws = uniforms("_id", "_s", salt=f"lime:{seed}", n=2 * k)
-    ex = ex.select("*", *[u.alias(f"_u{j}") for j, u in enumerate(draws)])
-    first = F.col("_s") == 0
-    picks = []
-    for i, f in enumerate(features):
-        upto, total = [], 0.0
-        for share in bins[f]["share"][:-1]:
+    ex = ex.select("*", *[F.coalesce(_bin_of(F.col(f"_x{i}"), bins[f]["edges"]), F.lit(0)).alias(f"_own{i}") for i, f in enumerate(features)])
+    tables = []
+    for f in features:
+        b, upto, total = bins[f], [], 0.0
+        for share in b["share"][:-1]:
             total += share
             upto.append(total)
-        picks.append(sum(((F.col(f"_u{2 * i}") >= F.lit(c)).cast("int") for c in upto), F.lit(0)).alias(f"_b{i}"))
-    ex = ex.select("*", *picks)
-    made = []
-    for i, f in enumerate(features):
-        b = bins[f]
-        table = [x for m, sd, lo, hi in zip(b["mean"], b["std"], b["low"], b["high"]) for x in _truncated_quantiles(m, sd, lo, hi)]
-        knots = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")      # folded to a constant
-        at = F.col(f"_u{2 * i + 1}") * F.lit(float(_KNOTS))
-        start = F.least(F.floor(at).cast("int"), F.lit(_KNOTS - 1))
-        low = F.get(knots, F.col(f"_b{i}") * F.lit(_KNOTS + 1) + start)
-        high = F.get(knots, F.col(f"_b{i}") * F.lit(_KNOTS + 1) + start + F.lit(1))
-        made.append(F.when(first, F.col(f"_x{i}")).otherwise(low + (high - low) * (at - start)).cast(kinds[f]).alias(f))
-    same = [(first | (F.col(f"_b{i}") == F.col(f"_own{i}"))).cast("double").alias(f"_z{i}") for i in range(k)]
-    scored = scorer.score(ex.select("_id", *same, *made))
+        knots = np.array([_truncated_quantiles(*cell) for cell in zip(b["mean"], b["std"], b["low"], b["high"])])
+        tables.append((upto, knots[:, :-1].ravel(), np.diff(knots, axis=1).ravel()))
+    drawn = ex.mapInArrow(lambda it: _lime_samples(it, tables, n_samples, f"lime:{seed}"),
+                          "_id string, " + ", ".join(f"_z{i} double, _m{i} double" for i in range(k)))
+    scored = scorer.score(drawn.select("_id", *[f"_z{i}" for i in range(k)], *[F.col(f"_m{i}").cast(kinds[f]).alias(f) for i, f in enumerate(features)]))
     outputs = _outputs(scorer)
     zs = [F.col(f"_z{i}") for i in range(k)]
     apart = F.lit(float(k)) - sum(zs[1:], zs[0])                   # squared distance of 0/1 rows
     sw = scored.select("_id", *zs, *[v.alias(f"_t{c}") for c, v in enumerate(outputs)],
                        F.sqrt(F.exp(-apart / F.lit(kw * kw))).alias("_w"))
     xs = [F.lit(1.0), *zs]
-    sums = [F.sum(F.col("_w") * xs[a] * xs[b]).alias(f"_xx{a}_{b}") for a in range(k + 1) for b in range(a, k + 1)]
+    # an input is 0 or 1, its own square: the diagonal stands in the first row
+    sums = [F.sum(F.col("_w") * xs[a] * xs[b] if a else F.col("_w") * xs[b]).alias(f"_xx{a}_{b}") for a in range(k + 1) for b in range(a and a + 1, k + 1)]
     for c in range(len(outputs)):
         sums += [F.sum(F.col("_w") * xs[a] * F.col(f"_t{c}")).alias(f"_xy{c}_{a}") for a in range(k + 1)]
         sums.append(F.sum(F.col("_w") * F.col(f"_t{c}") * F.col(f"_t{c}")).alias(f"_yy{c}"))
@@ -386,7 +412,7 @@ def lime(df: DataFrame, scorer: Scorer, features, train: DataFrame, id_col: str
             gram = np.zeros((m, k + 1, k + 1))
             for a in range(k + 1):
                 for b in range(a, k + 1):
-                    gram[:, a, b] = gram[:, b, a] = pdf[f"_xx{a}_{b}"].to_numpy()
+                    gram[:, a, b] = gram[:, b, a] = pdf[f"_xx{0 if a == b else a}_{b}"].to_numpy()
             penalty = np.eye(k + 1) * ridge
             penalty[0, 0] = 0.0            # intercept is not penalised
             parts = []
