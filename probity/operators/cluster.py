@@ -22,9 +22,11 @@ from pyspark.sql import types as T
 from probity.functions.hashing import hash01
 from probity.functions.util import as_col
 from probity.plans.ordering import first_by_hash
+from probity.plans.reshape import spread_for_fanout
 
 SEEDS = 4_096
 MAX_PASSES = 300
+BLOCK = 1_024      # rows worked out at once: their distances to the starts of one k stay in a core's cache
 TOLERANCE = 1e-4   # squared centroid movement at which a start has settled (features have variance 1)
 
 
@@ -66,21 +68,51 @@ def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(chosen)
 
 
+def _stacked(starts: dict[int, np.ndarray]) -> list[tuple[list[int], int, np.ndarray]]:
+    """Starts of equal k together: (sets, k, matrix) with a row [-2c, |c|^2] a centroid, the first ones of all sets before the second ones."""
+    out = []
+    for k in sorted({len(c) for c in starts.values()}):
+        sets = [s for s, c in starts.items() if len(c) == k]
+        c = np.stack([starts[s] for s in sets], axis=1).reshape(k * len(sets), -1)
+        out.append((sets, k, np.column_stack([-2 * c, (c * c).sum(axis=1)])))
+    return out
+
+
+def _nearest_of_all(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(1 where the centroid is the row's nearest, else 0; least distance) for distances centroids by sets by rows; ties to the smaller number."""
+    best = d.min(axis=0)
+    mine = (d == best).astype(np.float64)
+    if mine.sum() != best.size:      # ties
+        mine = (np.arange(len(d))[:, None, None] == d.argmin(axis=0)).astype(np.float64)
+    return mine, best
+
+
 def _sums(batches, model, sets):
-    """Per task: (set, centroid, rows, cost, sums) of all sets."""
+    """Per task: (set, centroid, rows, cost, sums) of all sets; a set's cost stands with its first centroid.
+
+    The starts of one k share one product for their distances and one for their sums.
+    """
     frame, starts = model.value, sets.value
-    totals = {s: (np.zeros(len(c)), np.zeros(len(c)), np.zeros(c.shape)) for s, c in starts.items()}
+    groups, totals = _stacked(starts), {s: (np.zeros(len(c)), np.zeros(len(c)), np.zeros(c.shape)) for s, c in starts.items()}
     for batch in batches:
-        for at in range(0, batch.num_rows, 4_096):
-            x = frame.standardised(batch.slice(at, 4_096))
-            for s, c in starts.items():
-                near, d = nearest(x, c)
+        rows = frame.standardised(batch)
+        added = [(np.zeros((k * len(names), rows.shape[1] + 1)), np.zeros(len(names))) for names, k, _ in groups]
+        for at in range(0, len(rows), BLOCK):
+            x = rows[at:at + BLOCK]
+            squares, ones = (x * x).sum(axis=1), np.column_stack([x, np.ones(len(x))])
+            across = np.ascontiguousarray(ones.T)
+            for (names, k, c), (sums, costs) in zip(groups, added):
+                mine, best = _nearest_of_all((c @ across).reshape(k, len(names), -1))
+                sums += mine.reshape(k * len(names), -1) @ ones
+                costs += np.maximum(best + squares, 0.0).sum(axis=1)
+        for (names, k, _), (sums, costs) in zip(groups, added):
+            by_set = sums.reshape(k, len(names), -1)
+            for i, s in enumerate(names):
                 count, cost, total = totals[s]
-                count += np.bincount(near, minlength=len(c))
-                cost += np.bincount(near, weights=d, minlength=len(c))
-                for j in range(x.shape[1]):
-                    total[:, j] += np.bincount(near, weights=x[:, j], minlength=len(c))
-    out = [(s, i, int(n[i]), float(cost[i]), v[i].tolist()) for s, (n, cost, v) in totals.items() for i in range(len(n)) if n[i]]
+                count += by_set[:, i, -1]
+                cost[0] += costs[i]
+                total += by_set[:, i, :-1]
+    out = [(s, i, int(n[i]), float(cost[i]), v[i].tolist()) for s, (n, cost, v) in totals.items() for i in range(len(n)) if n[i] or cost[i]]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64()),
                                       pa.array([r[3] for r in out], pa.float64()), pa.array([r[4] for r in out], pa.list_(pa.float64()))],
                                      names=["set", "centroid", "n", "cost", "sums"])
@@ -108,7 +140,7 @@ def fit_clusters(df: DataFrame, features, ks, n_init: int = 10, seed: int = 0, i
     sample = first_by_hash(rows, hash01("_id", salt=f"clusters:{seed}"), "_id", SEEDS).orderBy("_id").select(*names).collect()  # at most SEEDS rows
     x = (np.array([list(r) for r in sample]) - mean) / scale
     sets = {s: plus_plus(x, k, np.random.default_rng([seed, k, i])) for s, (k, i) in enumerate((k, i) for k in ks for i in range(n_init))}
-    spark, values = df.sparkSession, rows.select(*names).persist()
+    spark, values = df.sparkSession, spread_for_fanout(rows, "_id").select(*names).persist()
     model, cost, moving, passes = spark.sparkContext.broadcast(frame), {}, dict(sets), 0
     try:
         # the pass after a start has settled gives its cost
@@ -123,7 +155,8 @@ def fit_clusters(df: DataFrame, features, ks, n_init: int = 10, seed: int = 0, i
             fresh = {s: c.copy() for s, c in moving.items()}
             for r in found:
                 cost[r["set"]] += r["cost"]
-                fresh[r["set"]][r["centroid"]] = [r[f"s{j}"] / r["n"] for j in range(len(names))]
+                if r["n"]:
+                    fresh[r["set"]][r["centroid"]] = [r[f"s{j}"] / r["n"] for j in range(len(names))]
             settled = [s for s, c in moving.items() if ((fresh[s] - c) ** 2).sum() <= TOLERANCE]
             sets |= {s: c for s, c in fresh.items() if s not in settled}
             moving = {s: sets[s] for s in moving if s not in settled}
