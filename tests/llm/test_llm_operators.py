@@ -192,6 +192,37 @@ def test_repeated_passages(awkward):
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_partners_of_one_text_with_passages_of_other_extent_share_a_class(spark):
+    """a and c recur in b with extents that differ by more than a tenth; what a and c share has a class of its own, however many hold it."""
+    rng = random.Random(5)
+    b = text(rng, 300).split()
+    a, c = text(rng, 30).split() + b[20:200] + text(rng, 30).split(), text(rng, 10).split() + b[70:260]
+    docs = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))] + [(10 + i, text(rng, 40) + " " + " ".join(b[80:190])) for i in range(80)]
+    rows = substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    at = {1: 30 + 80, 2: 100, 3: 10 + 30} | {10 + i: 40 + 20 for i in range(80)}  # the words b[100:150]
+    classes = {i: {(r["class_id"], r["class_first_word"]) for r in rows if r["doc_id"] == i and r["first_word"] <= p + 10 and r["first_word"] + r["n_words"] >= p + 40}
+               for i, p in at.items()}
+    assert all(classes[i] & classes[j] for i, j in ((1, 2), (1, 3), (2, 3)))
+    assert all(classes[2] & classes[i] for i in at)
+
+
+def test_word_runs_follow_the_word_rule():
+    runs = substring_dedup.WordRuns(2)
+    assert runs.sequence(b"  Ab\tc \x0b\nAB c ").tolist() == runs.sequence(b"aB C\r\x0cab  C").tolist()
+    assert len(runs.sequence("a\u00a0b \u2003 c".encode())) == 2 and not len(runs.sequence(b" \n")) and not len(runs.sequence(b""))
+    assert runs.sequence(b"ab ba")[0] != runs.sequence(b"ba ab")[0] and len(set(runs.sequence(b"a b c a b c " + b"x" * 5000).tolist())) == 4
+
+
+def test_shuffles_of_a_written_step_are_freed(spark):
+    from probity.llm.common import materialise, shuffles_freed
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    with shuffles_freed(spark):
+        assert spark.conf.get(name) == "true"
+        assert materialise(spark.range(100).groupBy((substring_dedup.F.col("id") % 7).alias("k")).count()).count() == 7
+    assert spark.conf.get(name) == before
+
+
 def test_a_passage_shared_with_another_hub_explains_no_token(monkeypatch):
     """w's passages with hubs h1 (0..60) and h2 (50..116) cover it; against h1 its tokens from 60 on stay unexplained."""
     import pyarrow as pa
