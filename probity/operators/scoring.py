@@ -64,6 +64,7 @@ class Scorer:
                     out = out.withColumn("yh", (F.col("p") >= F.lit(self.threshold)).cast("int"))
         helper = [c for c in ("features", "rawPrediction", "probability", "prediction", "_features")
                   if c in out.columns and c not in df.columns]
+        helper += [c for c in out.columns if c.startswith("_bin") and c not in df.columns]      # of binned.bucketizer
         return out.drop(*helper)
 
 
