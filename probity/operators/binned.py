@@ -69,6 +69,11 @@ def parts_of(pipeline) -> tuple[VectorAssembler, object] | None:
     return None
 
 
+def takes_bins(model) -> bool:
+    """Whether a fitted pipeline begins with the bins of its features."""
+    return isinstance(model.stages[0], Bucketizer)
+
+
 def usable(df: DataFrame, features, label: str) -> bool:
     kinds = [df.schema[c].dataType for c in [*features, label]]
     return len(set(features)) == len(features) and all(isinstance(k, T.NumericType) for k in kinds)

@@ -7,11 +7,13 @@ are hash-nested subsets, so every fit sees a deterministic sample.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.functions.hashing import gaussians, hash01
 from probity.functions.util import as_col, quote
+from probity.operators import binned
 from probity.operators.metrics import evaluate
 from probity.operators.scoring import Scorer, eval_kwargs
 from probity.plans.reshape import spread_for_fanout
@@ -58,19 +60,29 @@ def learning_curve(df: DataFrame, estimator, task: str = "classification", y: st
     base = df.withColumn("_fold", F.least(F.floor(hash01(id_col, salt=f"fold:{seed}") * F.lit(folds)).cast("int"),
                                           F.lit(folds - 1))) \
              .withColumn("_u", hash01(id_col, salt=f"lc:{seed}"))
-    base = cut_lineage(featurize(base) if featurize else base)
+    parts = None if featurize or task != "classification" else binned.parts_of(estimator)
+    if parts is not None:       # read by every fit: what the pipeline looks at, and no more
+        base = base.select(*[as_col(c) for c in dict.fromkeys([*parts[0].getInputCols(), parts[1].getLabelCol(), y])], "_fold", "_u").persist()
+    else:
+        base = cut_lineage(featurize(base) if featurize else base)
     fits = [(float(size), k) for size in sizes for k in range(folds)]
     inside = [(F.col("_fold") != k) & (F.col("_u") < F.lit(size)) for size, k in fits]
-    # all fitted models are scored side by side in one pass, training and held-out rows together
-    wide, out = base.withColumn("_y", as_col(y)), "yh" if task == "regression" else "p"
-    for i in range(len(fits)):
-        scorer = Scorer(model=estimator.fit(base.where(inside[i])), task=task)
-        wide = scorer.score(wide).withColumnRenamed(out, f"_out{i}")
-    cells = F.array(*[F.struct(F.lit(i).alias("fit"), inside[i].alias("inside"), (F.col("_fold") == k).alias("held"),
-                               F.col(f"_out{i}").cast("double").alias("out")) for i, (_, k) in enumerate(fits)])
-    scored = wide.select("_y", F.explode(cells).alias("_c")).select("_y", "_c.*").where(F.col("inside") | F.col("held"))
-    found = {(r["fit"], r["inside"]): r["value"] for r in evaluate(scored, metric, by=["fit", "inside"], y="_y", **{out: "out"}).collect()}  # two rows a fit
+    # a model of cells scores counted cells; all others are scored side by side in one pass, training and held-out rows together
+    wide, out, found, by_rows = base.withColumn("_y", as_col(y)), "yh" if task == "regression" else "p", {}, []
+    for i, (_, k) in enumerate(fits):
+        model = binned.fit(estimator, base.where(inside[i])) if parts is not None else estimator.fit(base.where(inside[i]))
+        if parts is not None and binned.takes_bins(model):
+            found |= {(i, key): value for key, value in _accuracy_of_cells(base, model, inside[i], F.col("_fold") == k, y).items()}
+            continue
+        by_rows.append(i)
+        wide = Scorer(model=model, task=task).score(wide).withColumnRenamed(out, f"_out{i}")
+    if by_rows:
+        cells = F.array(*[F.struct(F.lit(i).alias("fit"), inside[i].alias("inside"), (F.col("_fold") == fits[i][1]).alias("held"),
+                                   F.col(f"_out{i}").cast("double").alias("out")) for i in by_rows])
+        scored = wide.select("_y", F.explode(cells).alias("_c")).select("_y", "_c.*").where(F.col("inside") | F.col("held"))
+        found |= {(r["fit"], r["inside"]): r["value"] for r in evaluate(scored, metric, by=["fit", "inside"], y="_y", **{out: "out"}).collect()}  # two rows a fit
     sizes_of = base.agg(*[F.count_if(c) for c in inside]).first()
+    base.unpersist()
     rows = [(size, k, sizes_of[i], found.get((i, True)), found.get((i, False))) for i, (size, k) in enumerate(fits)]
     spark = df.sparkSession
     res = spark.createDataFrame(rows, "size double, fold int, n_train long, train double, cv double")
@@ -79,6 +91,16 @@ def learning_curve(df: DataFrame, estimator, task: str = "classification", y: st
         F.avg("cv").alias("cv_mean"), F.stddev_pop("cv").alias("cv_std")).orderBy("size")
 
 
+def _accuracy_of_cells(base: DataFrame, model, inside, held, y: str) -> dict:
+    """Accuracy of training (True) and held-out rows (False): rows of equal bins and label are counted, then scored once."""
+    counted = model.stages[0].transform(base.where(inside | held)).groupBy(*model.stages[0].getOutputCols(), as_col(y).alias("_y"), inside.alias("_in")) \
+                   .agg(F.count(F.lit(1)).alias("_n"))
+    right = F.col("_y") == F.when(F.col("p") >= F.lit(0.5), 1).otherwise(0)
+    scored = Scorer(model=PipelineModel(stages=model.stages[1:])).score(counted)
+    rows = scored.groupBy("_in").agg(F.try_divide(F.sum(F.when(right, F.col("_n")).otherwise(0)), F.sum(F.when(right.isNotNull(), F.col("_n")))).alias("value"))
+    return {r["_in"]: r["value"] for r in rows.collect()}
+
+
 def learning_curve_verdict(curve: DataFrame, gap_limit: float = 0.10, low: float = 0.60) -> DataFrame:
     """At the largest size: gap > 0.10 → high variance; CV < 0.60 → underfit; else OK (O3)."""
     last = curve.orderBy(F.col("size").desc()).limit(1)
